@@ -1,0 +1,89 @@
+from pyspark.sql import functions as F
+
+from conftest import rows
+from widestat.functions.labels import ATTAINMENT_LABELS, AGE_BANDS, age_band
+from widestat.operators.clean import domain_profile
+from widestat.operators.reshape import crosstab, stratum_crosstab, wide_to_long
+from widestat.operators.translate import relabel, relabel_age
+
+
+def test_age_bands(spark):
+    texts = [f"From {b.split('-')[0]} to {b.split('-')[1]} years" for b in AGE_BANDS]
+    df = spark.createDataFrame([(t,) for t in texts] + [("Total",)], "Age string")
+    assert [r.Age for r in relabel_age(df).collect()] == list(AGE_BANDS) + ["Total"]
+
+
+def test_attainment_labels(spark):
+    # explicit pairs, independent of the order of distinct().collect().
+    df = spark.createDataFrame([(k,) for k in reversed(list(ATTAINMENT_LABELS))], "a string")
+    assert [r.a for r in relabel(df, "a", ATTAINMENT_LABELS).collect()] == ["Vocational", "Tertiary", "Secondary"]
+
+
+def test_wide_to_long_keeps_nulls(spark):
+    df = spark.createDataFrame([("x", 1, None), ("y", 3, 4)], "k string, `2001` int, `2002` int")
+    out = wide_to_long(df, ["k"], [2001, 2002], "Year", "v")
+    assert out.count() == 2 * 2
+    assert rows(out) == sorted([("x", 2001, 1), ("x", 2002, None), ("y", 2001, 3), ("y", 2002, 4)], key=repr)
+    assert dict(out.dtypes)["Year"] == "int"
+
+
+def long_rows(spark):
+    data = [
+        ("AT", 2010, "18-74", "Secondary", 1.0),
+        ("AT", 2010, "18-74", "Tertiary", 2.0),
+        ("AT", 2010, "18-24", "Tertiary", 3.0),
+        ("AT", 2010, "25-34", "Tertiary", 4.0),
+        ("AT", 2010, "18-74", None, 9.0),
+        ("AT", 2011, "18-74", "Secondary", None),
+    ]
+    return spark.createDataFrame(data, "Country string, Year int, Age string, Education_Attainment string, Proportion double")
+
+
+def test_crosstab_null_pivot_and_all_null_group(spark):
+    out = crosstab(long_rows(spark), ["Country", "Year"], "Education_Attainment",
+                   ["Secondary", "Tertiary", "Vocational"], "Proportion", "Age", ["18-74"])
+    assert out.columns == ["Country", "Year", "Secondary", "Tertiary", "Vocational"]
+    assert rows(out) == [("AT", 2010, 1.0, 2.0, None), ("AT", 2011, None, None, None)]
+
+
+def test_stratum_crosstab_adds_bands(spark):
+    strata = {"global": ["18-74"], "young": ["18-24", "25-34"]}
+    out = stratum_crosstab(long_rows(spark), strata, "Age", ["Country", "Year"], "Education_Attainment",
+                           ["Secondary", "Tertiary"], "Proportion")
+    # all strata in one aggregation: a single partial/final pair, one exchange
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and plan.count("Exchange") == 1
+    got = {(r.stratum, r.Year): (r.Secondary, r.Tertiary) for r in out.collect()}
+    assert got[("young", 2010)] == (None, 7.0)
+    assert got[("global", 2010)] == (1.0, 2.0)
+
+
+def test_overlapping_strata(spark):
+    strata = {"all": ["18-24", "25-34", "18-74"], "young": ["18-24", "25-34"]}
+    out = stratum_crosstab(long_rows(spark), strata, "Age", ["Country", "Year"], "Education_Attainment",
+                           ["Tertiary"], "Proportion")
+    got = {(r.stratum, r.Year): r.Tertiary for r in out.collect()}
+    assert got[("all", 2010)] == 9.0 and got[("young", 2010)] == 7.0
+
+
+def test_crosstab_total_equals_filtered_input(spark):
+    df = spark.range(5000).select(
+        (F.col("id") % 13).cast("string").alias("Country"), (2000 + F.col("id") % 5).cast("int").alias("Year"),
+        F.when(F.col("id") % 3 == 0, "18-74").otherwise("x").alias("Age"),
+        F.when(F.col("id") % 2 == 0, "S").otherwise("T").alias("Education_Attainment"),
+        (F.col("id") % 7).cast("double").alias("Proportion"))
+    out = crosstab(df, ["Country", "Year"], "Education_Attainment", ["S", "T"], "Proportion", "Age", ["18-74"])
+    total = out.select(F.sum(F.coalesce("S", F.lit(0.0)) + F.coalesce("T", F.lit(0.0)))).first()[0]
+    expect = df.filter("Age = '18-74'").select(F.sum("Proportion")).first()[0]
+    assert total == expect
+
+
+def test_domain_profile(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "y")], "p string, q string")
+    assert rows(domain_profile(df, ["p", "q"])) == sorted(
+        [("p", "a", 2), ("p", None, 1), ("q", "x", 1), ("q", "y", 2)], key=repr)
+
+
+def test_age_band_expression_leaves_other_text(spark):
+    df = spark.createDataFrame([("From 5 to 9 years old",)], "a string")
+    assert df.select(age_band("a").alias("a")).first().a == "From 5 to 9 years old"

@@ -45,9 +45,33 @@ def lookup_table(codes: DataFrame, code_list: str | None = None) -> DataFrame:
             .agg(F.max_by("description", order).alias("description")))
 
 
+def checked_lookup(codes: DataFrame, code_list: str | None = None, broadcast: str = "auto",
+                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``lookup_table`` with a broadcast policy.
+
+    ``auto``: no hint.  The planner broadcasts the table only when its size
+        estimate (from the source files, an upper bound for a deduplicated
+        list) is under ``spark.sql.autoBroadcastJoinThreshold``, and AQE
+        re-checks with the real size; otherwise it is a sort-merge join.
+    ``checked``: hint broadcast after counting the raw code rows of the list
+        (a scan with ``limit``, no shuffle) and finding at most ``max_rows``.
+    ``never``: no broadcast (shuffle join).
+    """
+    table = lookup_table(codes, code_list)
+    if broadcast == "auto":
+        return table
+    if broadcast == "never":
+        return table.hint("shuffle_hash")
+    if broadcast != "checked":
+        raise ValueError("broadcast must be 'auto', 'checked' or 'never'")
+    raw = codes if code_list is None else codes.filter(F.col("code_list") == F.lit(code_list))
+    small = raw.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(table) if small else table
+
+
 def translate(df: DataFrame, columns: Mapping[str, str | None] | Sequence[str], codes: DataFrame,
               prefix: str | None = None, sep: str = ",", missing: str = "keep",
-              max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+              broadcast: str = "auto", max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Replace codes in ``columns`` by their descriptions.
 
     columns: ``{column: code_list}`` (``None`` = any list), or a list of columns
@@ -56,6 +80,7 @@ def translate(df: DataFrame, columns: Mapping[str, str | None] | Sequence[str],
         without that prefix are left alone.
     missing ``keep``: unknown codes, and codes with no description, stay as
         they are; ``empty``: a known code with no description becomes ``''``.
+    broadcast: policy for the dictionary side, see ``checked_lookup``.
     Row count is unchanged (left join on a unique key).
     """
     if missing not in ("keep", "empty"):
@@ -65,7 +90,7 @@ def translate(df: DataFrame, columns: Mapping[str, str | None] | Sequence[str],
     out = df
     for i, (col, code_list) in enumerate(mapping.items()):
         if code_list not in tables:
-            tables[code_list] = bounded_broadcast(lookup_table(codes, code_list), max_broadcast_rows)
+            tables[code_list] = checked_lookup(codes, code_list, broadcast, max_broadcast_rows)
         k, d = f"__code_{i}", f"__desc_{i}"
         table = tables[code_list].select(F.col("code").alias(k), F.col("description").alias(d))
         probe = strip_prefix(F.col(col), prefix, sep) if prefix else F.col(col)

@@ -65,19 +65,22 @@ def _year_cells(counts: DataFrame, keys: list[F.Column], flag: str, every: int)
     return sums.select("key", *[_flagged(F.col(f"n{y}"), flag, every).alias(str(y)) for y in YEARS])
 
 
-def orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_wide(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
     """``W``: key ``status,segment,priority,nationkey`` and one flagged text
-    cell per year (``12 b`` for odd counts, ``:`` for no orders)."""
-    counts = order_counts(spark, sf_dir)
+    cell per year (``12 b`` for odd counts, ``:`` for no orders).
+
+    Pass ``counts`` (from ``order_counts``) to share one scan, count and join
+    with ``births_wide`` in the same plan."""
+    counts = order_counts(spark, sf_dir) if counts is None else counts
     key = F.concat_ws(",", "o_orderstatus", "c_mktsegment", "o_orderpriority",
                       F.col("c_nationkey").cast("string")).alias("key")
     return _year_cells(counts, [key], "b", 2)
 
 
-def births_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def births_wide(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
     """Births-shaped table: key ``NORD,<nationkey>`` per nation plus a bare
     ``NORD`` total row, cells flagged `` p`` when the count is 1 mod 3."""
-    counts = order_counts(spark, sf_dir)
+    counts = order_counts(spark, sf_dir) if counts is None else counts
     per_nation = counts.groupBy(
         F.concat(F.lit(BIRTHS_INDICATOR + ","), F.col("c_nationkey").cast("string")).alias("key")
     ).agg(*[F.sum(F.when(F.col("y") == y, F.col("n"))).alias(f"n{y}") for y in YEARS])

@@ -105,11 +105,12 @@ def education_long(wide: DataFrame, codes: DataFrame, years: Sequence[int],
 def from_orders(spark: SparkSession, sf_dir: str, missing: str = "zero") -> Outputs:
     """The whole flow on the order-table analog."""
     codes = cube.nation_codes(spark, sf_dir)
-    natality = natality_long(cube.births_wide(spark, sf_dir), codes, cube.YEARS,
+    counts = cube.order_counts(spark, sf_dir)
+    natality = natality_long(cube.births_wide(spark, sf_dir, counts), codes, cube.YEARS,
                              cube.BIRTHS_INDICATOR, code_list=cube.GEO_LIST, label_pairs=(),
                              missing=missing)
     education = education_long(
-        cube.orders_wide(spark, sf_dir), codes, cube.YEARS, cube.EDU_KEY_NAMES,
+        cube.orders_wide(spark, sf_dir, counts), codes, cube.YEARS, cube.EDU_KEY_NAMES,
         {"Country": cube.GEO_LIST}, {"Citizen": cube.CITIZEN_TOTAL}, label_pairs=(),
         missing=missing)
     crosstab = stratum_crosstab(education, cube.STRATA, "Age", ["Country", "Year"],
