@@ -25,6 +25,7 @@ from widestat.operators.keys import restrict, split_key
 from widestat.operators.reshape import stratum_crosstab, wide_to_long
 from widestat.operators.translate import relabel, relabel_age, shorten, translate
 from widestat.plans import cube
+from widestat.session import scratch_path
 from widestat.sources.codelist import load_codes
 from widestat.sources.published import publish
 from widestat.sources.wide import read_wide
@@ -143,16 +144,24 @@ def from_files(spark: SparkSession, births_tsv: str, births_dsd: str, education_
     return Outputs(natality, education, crosstab)
 
 
-def publish_all(out: Outputs, base: str, fmt: str = "csv", feed: bool = True) -> dict[str, str]:
-    """Write the nine datasets and the stream feed (the only actions).
-
-    The cross-tab is written once to Parquet and the four stratum outputs read
-    that table, so the unpivot and aggregation run once, not four times."""
+def settle(out: Outputs) -> Outputs:
+    """Write the reused intermediates (births long, all-strata cross-tab) as
+    Parquet under the shared checkpoint folder and continue from those
+    tables: the nine outputs then read them instead of recomputing the
+    unpivot and aggregation, and a lost executor costs a re-read, not the
+    whole lineage."""
     spark = out.natality.sparkSession
-    ct_path = f"{base.rstrip('/')}/_crosstab"
+    nat_path = scratch_path(spark, "natality")
+    ct_path = scratch_path(spark, "crosstab")
+    out.natality.write.mode("overwrite").parquet(nat_path)
     out.crosstab.write.mode("overwrite").partitionBy("stratum").parquet(ct_path)
-    settled = Outputs(out.natality, out.education, spark.read.parquet(ct_path), out.strata)
-    paths = publish(settled.datasets(), base, fmt)
+    return Outputs(spark.read.parquet(nat_path), out.education, spark.read.parquet(ct_path), out.strata)
+
+
+def publish_all(out: Outputs, base: str, fmt: str = "csv", feed: bool = True) -> dict[str, str]:
+    """Write the nine datasets and the stream feed (the only actions besides
+    ``settle``)."""
+    paths = publish(settle(out).datasets(), base, fmt)
     if feed:
         paths["stream"] = write_stream_feed(out.education, f"{base.rstrip('/')}/stream", "Year")
     return paths
