@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from widestat.functions.sql import ident, literal
+
 # The cleaning patterns of the source notebooks.
 MISSING_MARKER = ":"
 INT_DROP_PATTERN = r"[^0-9]"
@@ -30,11 +32,10 @@ def clean_cell(c: Column | str, kind: str = "int", missing: str = "zero",
              any cell holding ``:`` null.
     Text that leaves no number behind is null (``try_cast``), never an error.
     """
-    if kind not in _TYPES:
-        raise ValueError(f"kind must be one of {sorted(_TYPES)}")
-    if missing not in ("zero", "null"):
-        raise ValueError("missing must be 'zero' or 'null'")
-    col = F.col(c) if isinstance(c, str) else c
+    _check(kind, missing)
+    if isinstance(c, str):
+        return F.expr(clean_cell_sql(c, kind, missing, keep_sign))
+    col = c
     text = F.regexp_replace(col, MISSING_MARKER, "0") if missing == "zero" else col
     if kind == "double":
         kept = F.regexp_replace(text, DOUBLE_DROP_PATTERN, "")
@@ -44,3 +45,25 @@ def clean_cell(c: Column | str, kind: str = "int", missing: str = "zero",
     if missing == "null":
         value = F.when(col.contains(MISSING_MARKER), F.lit(None).cast(_TYPES[kind])).otherwise(value)
     return value
+
+
+def _check(kind: str, missing: str) -> None:
+    if kind not in _TYPES:
+        raise ValueError(f"kind must be one of {sorted(_TYPES)}")
+    if missing not in ("zero", "null"):
+        raise ValueError("missing must be 'zero' or 'null'")
+
+
+def clean_cell_sql(name: str, kind: str = "int", missing: str = "zero", keep_sign: bool = False) -> str:
+    """``clean_cell`` for a named column, as one SQL expression string."""
+    _check(kind, missing)
+    col = ident(name)
+    text = f"regexp_replace({col}, {literal(MISSING_MARKER)}, '0')" if missing == "zero" else col
+    if kind == "double":
+        pattern = DOUBLE_DROP_PATTERN
+    else:
+        pattern = INT_DROP_PATTERN_SIGNED if keep_sign else INT_DROP_PATTERN
+    value = f"try_cast(regexp_replace({text}, {literal(pattern)}, '') AS {_TYPES[kind]})"
+    if missing == "null":
+        value = f"CASE WHEN contains({col}, {literal(MISSING_MARKER)}) THEN NULL ELSE {value} END"
+    return value

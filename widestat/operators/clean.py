@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from widestat.functions.cells import clean_cell
+from widestat.functions.cells import clean_cell_sql
 from widestat.sources.wide import year_columns
 
 
@@ -23,7 +23,7 @@ def clean_measures(df: DataFrame, years: Iterable[int], kind: str = "int",
     if drop_keys:
         df = df.filter(~F.coalesce(F.col(key).isin(list(drop_keys)), F.lit(False)))
     return df.select(*[
-        clean_cell(F.col(c), kind, missing, keep_sign).alias(c) if c in cols else F.col(c)
+        F.expr(clean_cell_sql(c, kind, missing, keep_sign)).alias(c) if c in cols else F.col(c)
         for c in df.columns
     ])
 

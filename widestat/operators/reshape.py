@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from widestat.functions.sql import ident, literal
 from widestat.sources.wide import year_columns
 
 
@@ -24,7 +25,8 @@ def _pivot_sums(pivot_col: str, values: Sequence[str], measure: str) -> list[Col
     # Conditional sums are what a pivot with a value list computes; written out
     # they stay one hash aggregate (partial per task, one exchange).  A group
     # with no rows for a value, or only null measures, gives null.
-    return [F.sum(F.when(F.col(pivot_col) == F.lit(v), F.col(measure))).alias(v) for v in values]
+    return [F.expr(f"sum(CASE WHEN {ident(pivot_col)} = {literal(v)} THEN {ident(measure)} END)").alias(v)
+            for v in values]
 
 
 def crosstab(df: DataFrame, rows: Sequence[str], pivot_col: str, values: Sequence[str],

@@ -94,12 +94,12 @@ def translate(df: DataFrame, columns: Mapping[str, str | None] | Sequence[str],
         k, d = f"__code_{i}", f"__desc_{i}"
         table = tables[code_list].select(F.col("code").alias(k), F.col("description").alias(d))
         probe = strip_prefix(F.col(col), prefix, sep) if prefix else F.col(col)
-        out = out.join(table, probe == F.col(k), "left")
+        joined = out.join(table, probe == F.col(k), "left")
         if missing == "keep":
             new = F.coalesce(F.col(d), F.col(col))
         else:
             new = F.when(F.col(k).isNotNull(), F.coalesce(F.col(d), F.lit(""))).otherwise(F.col(col))
-        out = out.withColumn(col, new).drop(k, d)
+        out = joined.select(*[new.alias(c) if c == col else F.col(c) for c in out.columns])
     return out
 
 

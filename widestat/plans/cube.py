@@ -31,8 +31,20 @@ REGION_LIST = "REGION"
 CUSTOMER_LIST = "CUSTOMER"
 
 
+_READERS: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The driver table ``name``; one reader per session and path, so a plan
+    that uses a table twice holds one relation (and can reuse its exchanges).
+    The driver tables are read-only, so the file listing stays valid."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    hit = _READERS.get(key)
+    if hit is None or hit[0] is not spark or spark.sparkContext._jsc is None:
+        hit = (spark, spark.read.parquet(path))
+        _READERS[key] = hit
+    return hit[1]
 
 
 def order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,17 +64,21 @@ def order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(customer, counted["o_custkey"] == customer["c_custkey"], "inner")
 
 
-def _flagged(n: F.Column, flag: str, every: int) -> F.Column:
+def _flagged(count_col: str, flag: str, every: int) -> F.Column:
     """Count -> published cell: the number, plus `` <flag>`` when
     ``n % every == 1`` (odd counts for every=2); ``:`` when missing."""
-    text = F.concat(n.cast("string"), F.when(n % every == 1, F.lit(f" {flag}")).otherwise(F.lit("")))
-    return F.coalesce(text, F.lit(":"))
+    n = count_col
+    return F.expr(f"coalesce(concat(CAST({n} AS STRING), "
+                  f"CASE WHEN {n} % {every} = 1 THEN ' {flag}' ELSE '' END), ':')")
+
+
+def _year_sums(inner: str = "n") -> list[F.Column]:
+    return [F.expr(f"sum(CASE WHEN y = {y} THEN {inner} END)").alias(f"n{y}") for y in YEARS]
 
 
 def _year_cells(counts: DataFrame, keys: list[F.Column], flag: str, every: int) -> DataFrame:
-    sums = counts.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("y") == y, F.col("n"))).alias(f"n{y}") for y in YEARS])
-    return sums.select("key", *[_flagged(F.col(f"n{y}"), flag, every).alias(str(y)) for y in YEARS])
+    sums = counts.groupBy(*keys).agg(*_year_sums())
+    return sums.select("key", *[_flagged(f"n{y}", flag, every).alias(str(y)) for y in YEARS])
 
 
 def orders_wide(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
@@ -83,11 +99,11 @@ def births_wide(spark: SparkSession, sf_dir: str, counts: DataFrame | None = Non
     counts = order_counts(spark, sf_dir) if counts is None else counts
     per_nation = counts.groupBy(
         F.concat(F.lit(BIRTHS_INDICATOR + ","), F.col("c_nationkey").cast("string")).alias("key")
-    ).agg(*[F.sum(F.when(F.col("y") == y, F.col("n"))).alias(f"n{y}") for y in YEARS])
-    total = per_nation.agg(*[F.sum(f"n{y}").alias(f"n{y}") for y in YEARS]).select(
+    ).agg(*_year_sums())
+    total = per_nation.agg(*[F.expr(f"sum(n{y})").alias(f"n{y}") for y in YEARS]).select(
         F.lit(BIRTHS_INDICATOR).alias("key"), *[f"n{y}" for y in YEARS])
     both = per_nation.unionByName(total)
-    return both.select("key", *[_flagged(F.col(f"n{y}"), "p", 3).alias(str(y)) for y in YEARS])
+    return both.select("key", *[_flagged(f"n{y}", "p", 3).alias(str(y)) for y in YEARS])
 
 
 def nation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
