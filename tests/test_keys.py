@@ -42,6 +42,9 @@ def test_row_id_dense_and_unique(spark):
     again = {r.k: r.row_id for r in with_row_id(df, ["k"], buckets=5).collect()}
     first = {r.k: r.row_id for r in with_row_id(df, ["k"], buckets=5).collect()}
     assert again == first
+    sparse = with_row_id(df, ["k"], buckets=5, dense=False)
+    assert sparse.select("row_id").distinct().count() == 2000
+    assert "SinglePartition" not in sparse._jdf.queryExecution().executedPlan().toString()
 
 
 def test_restrict_requires_fixed_or_sum_over(spark):

@@ -29,11 +29,12 @@ def split_key_pivot_form(df: DataFrame, key: str, names: Sequence[str], sep: str
     them back to ``code0..codeN`` per id, and join to the measures on the id.
 
     Kept to check ``split_key`` against.  The id comes from ``with_row_id``
-    ordered by ``key`` (must be unique), so both sides of the join agree.
+    ordered by ``key`` (must be unique), so both sides of the join agree; it
+    only has to be unique, so the sparse form (no global step) is used.
     Rows with a null key have no parts and drop out of the inner join.
     """
     slots = [f"code{i}" for i in range(len(names))]
-    ided = with_row_id(df, [key], "row_id")
+    ided = with_row_id(df, [key], "row_id", dense=False)
     parts = ided.select(F.col("row_id").alias("id"), F.posexplode(key_parts(F.col(key), sep)))
     named = parts.select(
         "id",

@@ -1,11 +1,14 @@
-"""Distributed dense row numbers.
+"""Distributed row numbers.
 
 ``row_number()`` over a window with no partition sends the whole table to one
-task.  Here rows are hashed into ``buckets`` by the ordering columns, numbered
-inside their bucket, and shifted by the running count of the buckets before
-them (a ``buckets``-row table, broadcast).  The id depends only on the values
-of ``order_cols``, so it is the same on every recomputation — when those
-columns are unique.
+task.  Here rows are hashed into ``buckets`` by the ordering columns and
+numbered inside their bucket.  The id depends only on the values of
+``order_cols``, so it is the same on every recomputation — when those columns
+are unique (ties would be numbered arbitrarily).
+
+dense=False: ``bucket * 2**40 + number in bucket`` — unique, no global step.
+dense=True:  1..N, shifted by the running count of the buckets before (a
+             ``buckets``-row table: one small single-partition step).
 """
 
 from __future__ import annotations
@@ -16,14 +19,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKET_SHIFT = 1 << 40
+
+
 def with_row_id(df: DataFrame, order_cols: Sequence[str], id_col: str = "row_id",
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, dense: bool = True) -> DataFrame:
     spark = df.sparkSession
     n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64(*order_cols), F.lit(n_buckets))
     tagged = df.withColumn("__bucket", bucket)
     within = Window.partitionBy("__bucket").orderBy(*order_cols)
     numbered = tagged.withColumn("__rn", F.row_number().over(within))
+    if not dense:
+        return (numbered.withColumn(id_col, F.col("__bucket") * F.lit(BUCKET_SHIFT) + F.col("__rn"))
+                .drop("__bucket", "__rn"))
     sizes = tagged.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     # `sizes` has at most `n_buckets` rows: a fixed bound, safe to broadcast.

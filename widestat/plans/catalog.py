@@ -52,6 +52,10 @@ PART_LABEL_PAIRS = (
 )
 PART_TYPE_LABELS = {"ECONOMY": "Budget", "LARGE": "Big", "SMALL": "Little", "PROMO": "Offer"}
 WINDOW = "5 weeks"
+# Stream replay: each year folder is written by FEED_FILES_PER_YEAR tasks and a
+# micro-batch takes FILES_PER_TRIGGER files (the notebooks used 1, a demo value).
+FEED_FILES_PER_YEAR = 2
+FILES_PER_TRIGGER = 8
 
 
 def _split_w(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +75,8 @@ def q_csv_roundtrip(spark, sf):
 
 def _orders_feed(spark, sf) -> tuple[str, T.StructType]:
     orders = cube.table(spark, sf, "orders").withColumn("Year", F.year("o_orderdate"))
-    path = write_stream_feed(orders, scratch_path(spark, "orders-feed"), "Year", files_per_value=2)
+    path = write_stream_feed(orders, scratch_path(spark, "orders-feed"), "Year",
+                             files_per_value=FEED_FILES_PER_YEAR)
     return path, feed_schema(orders.schema, "Year", T.TimestampNTZType())
 
 
@@ -188,16 +193,17 @@ def q_windowed_max_batch(spark, sf):
 
 def q_windowed_max_stream(spark, sf):
     path, schema = _orders_feed(spark, sf)
-    stream = read_file_stream(spark, path, schema, max_files_per_trigger=4)
+    stream = read_file_stream(spark, path, schema, max_files_per_trigger=FILES_PER_TRIGGER)
     agg = windowed_max(stream, ["o_orderstatus"], "o_orderdate", "o_totalprice", WINDOW, min_year=1995)
     return run_stream(agg, "orders_window_max", "complete")
 
 
 def q_stream_sql(spark, sf):
     education = etl.from_orders(spark, sf).education
-    path = write_stream_feed(education, scratch_path(spark, "education-feed"), "Year")
+    path = write_stream_feed(education, scratch_path(spark, "education-feed"), "Year",
+                             files_per_value=FEED_FILES_PER_YEAR)
     schema = feed_schema(education.schema, "Year", T.TimestampNTZType())
-    stream = read_file_stream(spark, path, schema, max_files_per_trigger=1)
+    stream = read_file_stream(spark, path, schema, max_files_per_trigger=FILES_PER_TRIGGER)
     agg = windowed_max(stream, ["Country"], "Year", "Proportion", WINDOW, min_year=1995)
     run_stream(agg, "counts", "complete")
     return spark.sql("SELECT Country, window_start, window_end, max_Proportion FROM counts")
