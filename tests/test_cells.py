@@ -68,3 +68,19 @@ def test_clean_measures_drop_keys(spark):
 def test_bad_kind(spark):
     with pytest.raises(ValueError):
         clean_cell(F.col("c"), "text")
+
+
+def test_preview_reads_raw_lines(spark, tmp_path):
+    from widestat.sources.wide import preview
+    p = tmp_path / "w.tsv"
+    p.write_text("indic_de,geo\\time\t2009\nGBIRTHRT_THSP,AT\t9.4 \nGBIRTHRT_THSP,BE\t: \n")
+    assert [r.value for r in preview(spark, str(p), 2).collect()] == ["indic_de,geo\\time\t2009", "GBIRTHRT_THSP,AT\t9.4 "]
+
+
+def test_read_wide_binds_by_position(spark, tmp_path):
+    from widestat.sources.wide import read_wide
+    p = tmp_path / "w.tsv"
+    p.write_text("indic_de,geo\\time\t2009\t2010\nGBIRTHRT_THSP,AT\t9.4 \t: \nGBIRTHRT_THSP,BE\t\t10 b\n")
+    df = read_wide(spark, str(p), [2009, 2010])
+    assert df.columns == ["key", "2009", "2010"]
+    assert sorted(df.collect(), key=repr) == sorted([("GBIRTHRT_THSP,AT", "9.4 ", ": "), ("GBIRTHRT_THSP,BE", None, "10 b")], key=repr)

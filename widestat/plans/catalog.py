@@ -18,7 +18,7 @@ from widestat.functions.cells import clean_cell
 from widestat.operators.clean import clean_measures, domain_profile
 from widestat.operators.keys import restrict, split_key, split_key_pivot_form
 from widestat.operators.reshape import wide_to_long
-from widestat.operators.slices import SliceParams, slices
+from widestat.operators.slices import SliceParams, joined_aggregate, slices
 from widestat.operators.translate import relabel, relabel_age, shorten, translate
 from widestat.operators.trends import co_movement, risers, series_gap, trend
 from widestat.plans import cube, etl
@@ -113,6 +113,22 @@ def q_translate_prefixed(spark, sf):
                      prefix=cube.BIRTHS_INDICATOR).withColumnRenamed("key", "Country")
 
 
+def q_translate_customer_names(spark, sf):
+    orders = cube.table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("string").alias("customer"))
+    return translate(orders, {"customer": cube.CUSTOMER_LIST}, cube.customer_codes(spark, sf))
+
+
+JOINED_SCHEMA = "Country string, Year int, Births int, F double, O double, P double"
+
+
+def q_published_slice_n5(spark, sf):
+    out = etl.from_orders(spark, sf)
+    paths = etl.publish_all(out, scratch_path(spark, "analysis"), feed=False)
+    joined = read_published(spark, paths["joined-global"], schema=JOINED_SCHEMA)
+    return joined_aggregate(joined, ORDER_SLICES)
+
+
 def _codes_xml(spark, sf) -> str:
     return write_code_rows(cube.code_rows(spark, sf), scratch_path(spark, "codelists"))
 
@@ -239,6 +255,7 @@ def queries() -> dict[str, Query]:
         "split_key_pivot_form": q_split_key_pivot_form,
         "translate_codes": q_translate_codes,
         "translate_prefixed": q_translate_prefixed,
+        "translate_customer_names": q_translate_customer_names,
         "codelist_xml": q_codelist_xml,
         "codelist_xml_missing_lang": q_codelist_xml_missing_lang,
         "shorten_labels": q_shorten_labels,
@@ -255,6 +272,7 @@ def queries() -> dict[str, Query]:
         reg[f"join_facts_{s}"] = _joined(s)
     for i in range(1, 14):
         reg[f"slice_n{i}"] = _slice(f"n{i}")
+    reg["published_slice_n5"] = q_published_slice_n5
     reg.update({
         "windowed_max_batch": q_windowed_max_batch,
         "windowed_max_stream": q_windowed_max_stream,

@@ -169,3 +169,12 @@ def customer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(F.col("c_mktsegment") == "MACHINERY", F.lit(BIRTHS_INDICATOR))
            .otherwise(F.concat(F.lit(BIRTHS_INDICATOR + ","), nk)))
     return table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"))
+
+
+def customer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code table for list ``CUSTOMER`` (customer key -> name): a dictionary
+    that grows with the data, so it is broadcast only while it is small."""
+    return table(spark, sf_dir, "customer").select(
+        F.lit(CUSTOMER_LIST).alias("code_list"), F.col("c_custkey").cast("string").alias("code"),
+        F.lit("en").alias("lang"), F.col("c_name").alias("description"),
+        F.struct(F.lit(0).cast("bigint").alias("list_pos"), F.col("c_custkey").alias("pos")).alias("code_pos"))

@@ -216,6 +216,9 @@ FROM W WHERE split_part(key, ',', 2) = '{cube.CITIZEN_TOTAL}'""",
     for s in cube.STRATA:
         out[f"join_facts_{s}"] = _joined_sql(s)
     out.update(_slice_sql())
+    out["published_slice_n5"] = out["slice_n5"]
+    out["translate_customer_names"] = """SELECT o_orderkey, coalesce(c.c_name, CAST(o.o_custkey AS VARCHAR)) AS customer
+FROM orders o LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = CAST(o.o_custkey AS VARCHAR)"""
     out["windowed_max_batch"] = _window_sql("orders", "o_orderstatus", "o_orderdate", "o_totalprice", 1995)
     out["windowed_max_stream"] = out["windowed_max_batch"]
     out["stream_sql"] = f"""WITH {EDU_CTE},
