@@ -1,0 +1,55 @@
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from widestat.operators.reshape import wide_to_long
+from widestat.operators.trends import co_movement, risers, series_gap, trend
+
+NAT = "Country string, Year int, Births int"
+
+
+def births(spark):
+    data = []
+    for y in range(2009, 2021):
+        data.append(("EU28", y, 100 - (y - 2009)))            # steadily down
+        data.append(("EU18", y, 90 - (y - 2009) // 2))
+        data.append(("Iceland", y, 50 + (3 if y > 2017 else 0)))
+        data.append(("Austria", y, 60))
+    return spark.createDataFrame(data, NAT)
+
+
+def test_trend_slope_and_change(spark):
+    got = {r.Country: r for r in trend(births(spark), "Country", "Year", "Births").collect()}
+    assert got["EU28"].slope == pytest.approx(-1.0)
+    assert got["EU28"].first_value == 100 and got["EU28"].last_value == 89 and got["EU28"].change == -11
+    assert got["Austria"].slope == pytest.approx(0.0)
+    assert got["EU28"].n == 12
+
+
+def test_co_movement_null_when_constant(spark):
+    df = spark.createDataFrame([("A", 1, 1.0, 2.0), ("A", 2, 2.0, 4.0), ("A", 3, 3.0, 6.1),
+                                ("B", 1, 1.0, 5.0), ("B", 2, 2.0, 5.0)], "k string, t int, a double, b double")
+    got = {r.k: r.corr for r in co_movement(df, "k", "a", "b").collect()}
+    assert got["A"] == pytest.approx(1.0, abs=1e-3) and got["B"] is None
+
+
+def test_series_gap(spark):
+    got = {r.Year: r for r in series_gap(births(spark), "Country", "Year", "Births", "EU28", "EU18").collect()}
+    assert got[2009].gap == 10 and got[2020].a_value == 89 and got[2020].b_value == 85
+
+
+def test_risers_and_members(spark):
+    # "no member state went up" must be asked of members, not of every
+    # non-aggregate label (Iceland is not a member).
+    b = births(spark)
+    assert rows(risers(b, "Country", "Year", "Births", 2017, 2020).select("Country")) == [("Iceland",)]
+    assert risers(b, "Country", "Year", "Births", 2017, 2020, members=["Austria"]).count() == 0
+
+
+def test_unpivot_equals_map_explode(spark):
+    df = spark.createDataFrame([("x", 1, None), ("y", 3, 4)], "k string, `2001` int, `2002` int")
+    fast = wide_to_long(df, ["k"], [2001, 2002], "Year", "v")
+    m = F.create_map(F.lit("2001"), F.col("2001"), F.lit("2002"), F.col("2002"))
+    slow = (df.select("k", F.explode(m)).select("k", F.col("key").cast("int").alias("Year"),
+                                                F.col("value").alias("v")))
+    assert rows(fast) == rows(slow)

@@ -23,12 +23,16 @@ def trend(df: DataFrame, key: str, t: str, y: str) -> DataFrame:
 
 def co_movement(df: DataFrame, key: str, y1: str, y2: str) -> DataFrame:
     """Per series: Pearson correlation of two measures over time (null when a
-    measure does not vary)."""
+    measure does not vary).
+
+    Written as covariance over the product of deviations with ``try_divide``:
+    under ANSI, ``corr`` of a constant series raises a division by zero.
+    """
     a, b = F.col(y1).cast("double"), F.col(y2).cast("double")
     return (df.filter(F.col(y1).isNotNull() & F.col(y2).isNotNull())
             .groupBy(key)
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.when(F.stddev_pop(a) > 0, F.when(F.stddev_pop(b) > 0, F.corr(a, b))).alias("corr")))
+                 F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias("corr")))
 
 
 def series_gap(df: DataFrame, key: str, t: str, y: str, a: str, b: str) -> DataFrame:

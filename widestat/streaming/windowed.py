@@ -24,7 +24,7 @@ def windowed_max(df: DataFrame, keys: Sequence[str], ts: str, measure: str,
     """
     event = F.col(ts)
     if isinstance(df.schema[ts].dataType, T.StringType):
-        event = F.to_timestamp(event)
+        event = F.try_to_timestamp(event)
         df = df.withColumn(ts, event)
     if min_year is not None:
         df = df.filter(F.year(ts) > F.lit(min_year))
