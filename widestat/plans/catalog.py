@@ -55,6 +55,9 @@ WINDOW = "5 weeks"
 # Stream replay: each year folder is written by FEED_FILES_PER_YEAR tasks and a
 # micro-batch takes FILES_PER_TRIGGER files (the notebooks used 1, a demo value).
 FEED_FILES_PER_YEAR = 2
+# Event stream: daily windows, closed one hour after the newest event seen.
+EVENT_WINDOW = "1 day"
+EVENT_DELAY = "1 hour"
 FILES_PER_TRIGGER = 8
 
 
@@ -225,6 +228,17 @@ def q_stream_sql(spark, sf):
     return spark.sql("SELECT Country, window_start, window_end, max_Proportion FROM counts")
 
 
+def q_windowed_max_watermark(spark, sf):
+    events = (cube.table(spark, sf, "events").select("event_type", "ts", "value")
+              .withColumn("day", F.to_date("ts")))
+    path = write_stream_feed(events, scratch_path(spark, "events-feed"), "day", year_int=False,
+                             files_per_value=FEED_FILES_PER_YEAR)
+    stream = read_file_stream(spark, path, feed_schema(events.schema, "day", T.DateType()),
+                              max_files_per_trigger=None)
+    agg = windowed_max(stream, ["event_type"], "ts", "value", EVENT_WINDOW, watermark=EVENT_DELAY)
+    return run_stream(agg, "events_daily_max", "append")
+
+
 def q_trend(spark, sf):
     out = trend(etl.from_orders(spark, sf).natality, "Country", "Year", "Births")
     return out.withColumn("slope", F.round("slope", 6))
@@ -277,6 +291,7 @@ def queries() -> dict[str, Query]:
         "windowed_max_batch": q_windowed_max_batch,
         "windowed_max_stream": q_windowed_max_stream,
         "stream_sql": q_stream_sql,
+        "windowed_max_watermark": q_windowed_max_watermark,
         "trend": q_trend,
         "co_movement": q_co_movement,
         "series_gap": q_series_gap,

@@ -227,6 +227,12 @@ SELECT Country, time_bucket(INTERVAL 35 DAY, ts, TIMESTAMP '1970-01-01') AS wind
   time_bucket(INTERVAL 35 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 35 DAY AS window_end,
   max(Proportion) AS max_Proportion
 FROM ev WHERE year(ts) > 1995 GROUP BY 1, 2, 3"""
+    out["windowed_max_watermark"] = """WITH b AS (
+  SELECT event_type, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window_start,
+    time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY AS window_end,
+    max(value) AS max_value
+  FROM events GROUP BY 1, 2, 3)
+SELECT * FROM b WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
     out["trend"] = f"""WITH {NAT_CTE}
 SELECT Country, count(*) AS n, round(regr_slope(CAST(Births AS DOUBLE), CAST("Year" AS DOUBLE)), 6) AS slope,
   min("Year") AS first_t, max("Year") AS last_t,

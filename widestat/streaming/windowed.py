@@ -22,17 +22,26 @@ def windowed_max(df: DataFrame, keys: Sequence[str], ts: str, measure: str,
         window for ever, as the notebook did.
     flatten: ``window`` struct -> ``window_start``, ``window_end``.
     """
-    event = F.col(ts)
-    if isinstance(df.schema[ts].dataType, T.StringType):
-        event = F.try_to_timestamp(event)
-        df = df.withColumn(ts, event)
+    dtype = df.schema[ts].dataType
+    if isinstance(dtype, T.StringType):
+        df = df.withColumn(ts, F.try_to_timestamp(F.col(ts)))
     if min_year is not None:
         df = df.filter(F.year(ts) > F.lit(min_year))
+    # A watermark needs TIMESTAMP event time.  Wall-clock (NTZ) times are read
+    # as UTC instants, so windows stay aligned to wall-clock boundaries in any
+    # session time zone; the bounds are turned back into wall clock below.
+    wall_clock = watermark is not None and isinstance(dtype, T.TimestampNTZType)
+    if wall_clock:
+        df = df.withColumn(ts, F.concat(F.col(ts).cast("string"), F.lit("Z")).cast("timestamp"))
     if watermark is not None:
         df = df.withWatermark(ts, watermark)
     name = out or f"max_{measure}"
     agg = df.groupBy(*keys, F.window(F.col(ts), width).alias("window")).agg(F.max(measure).alias(name))
     if not flatten:
         return agg
-    return agg.select(*keys, F.col("window.start").alias("window_start"),
-                      F.col("window.end").alias("window_end"), name)
+    start, end = F.col("window.start"), F.col("window.end")
+    if wall_clock:
+        zone = F.lit(df.sparkSession.conf.get("spark.sql.session.timeZone"))
+        start = F.convert_timezone(zone, F.lit("UTC"), start.cast("timestamp_ntz"))
+        end = F.convert_timezone(zone, F.lit("UTC"), end.cast("timestamp_ntz"))
+    return agg.select(*keys, start.alias("window_start"), end.alias("window_end"), name)
