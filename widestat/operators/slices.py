@@ -54,27 +54,51 @@ def joined_aggregate(joined: DataFrame, p: SliceParams = SliceParams()) -> DataF
     return joined.filter(_has(p.token) & (F.col("Year") > p.joined_after))
 
 
+# Which published dataset each slice reads.
+SLICE_SOURCE = {
+    "n1": "births", "n2": "births", "n6": "births", "n11": "births", "n12": "births", "n13": "births",
+    "n3": "education", "n4": "education", "n7": "education", "n8": "education", "n10": "education",
+    "n5": "joined", "n9": "joined",
+}
+
+
+def one_slice(sid: str, frame: DataFrame, p: SliceParams = SliceParams()) -> DataFrame:
+    """Slice ``sid`` of the dataset it reads (see ``SLICE_SOURCE``)."""
+    country = F.col("Country")
+    if sid == "n1":
+        return births_national(frame, p)
+    if sid == "n2":
+        return births_aggregate(frame, p)
+    if sid == "n3":
+        return education_national(frame, p)
+    if sid == "n4":
+        return education_aggregate(frame, p)
+    if sid == "n5":
+        return joined_aggregate(frame, p)
+    if sid == "n6":
+        return births_aggregate(frame, p).filter(country == p.births_series)
+    if sid == "n7":
+        return education_aggregate(frame, p).filter(country == p.education_wide)
+    if sid == "n8":
+        return education_aggregate(frame, p).filter(country == p.education_core)
+    if sid == "n9":
+        return joined_aggregate(frame, p).filter(country == p.h1_series)
+    if sid == "n10":
+        return education_aggregate(frame, p).filter(
+            (country != p.h2_not_equal) & ~country.contains(p.h2_not_containing))
+    if sid == "n11":
+        return births_aggregate(frame, p).filter(
+            (country == p.h3_equal) | country.contains(p.h3_containing))
+    if sid == "n12":
+        return births_national(frame, p).filter(F.col("Year") > p.h4_after)
+    if sid == "n13":
+        return births_national(frame, p).filter(country == p.h4_country)
+    raise KeyError(sid)
+
+
 def slices(births: DataFrame, education: DataFrame, joined: DataFrame,
            p: SliceParams = SliceParams()) -> dict[str, DataFrame]:
     """All thirteen slices by id.  Nothing is cached: each is a filter that
     Catalyst pushes to the scan of the published dataset."""
-    n1 = births_national(births, p)
-    n2 = births_aggregate(births, p)
-    n4 = education_aggregate(education, p)
-    n5 = joined_aggregate(joined, p)
-    country = F.col("Country")
-    return {
-        "n1": n1,
-        "n2": n2,
-        "n3": education_national(education, p),
-        "n4": n4,
-        "n5": n5,
-        "n6": n2.filter(country == p.births_series),
-        "n7": n4.filter(country == p.education_wide),
-        "n8": n4.filter(country == p.education_core),
-        "n9": n5.filter(country == p.h1_series),
-        "n10": n4.filter((country != p.h2_not_equal) & ~country.contains(p.h2_not_containing)),
-        "n11": n2.filter((country == p.h3_equal) | country.contains(p.h3_containing)),
-        "n12": n1.filter(F.col("Year") > p.h4_after),
-        "n13": n1.filter(country == p.h4_country),
-    }
+    frames = {"births": births, "education": education, "joined": joined}
+    return {sid: one_slice(sid, frames[src], p) for sid, src in SLICE_SOURCE.items()}

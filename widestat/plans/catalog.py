@@ -18,7 +18,7 @@ from widestat.functions.cells import clean_cell
 from widestat.operators.clean import clean_measures, domain_profile
 from widestat.operators.keys import restrict, split_key, split_key_pivot_form
 from widestat.operators.reshape import wide_to_long
-from widestat.operators.slices import SliceParams, joined_aggregate, slices
+from widestat.operators.slices import SLICE_SOURCE, SliceParams, joined_aggregate, one_slice
 from widestat.operators.translate import relabel, relabel_age, shorten, translate
 from widestat.operators.trends import co_movement, risers, series_gap, trend
 from widestat.plans import cube, etl
@@ -199,8 +199,10 @@ def _joined(name: str) -> Query:
 def _slice(sid: str) -> Query:
     def q(spark, sf):
         out = etl.from_orders(spark, sf)
-        return slices(out.natality, out.education_stratum("global"), out.joined("global"),
-                      ORDER_SLICES)[sid]
+        source = SLICE_SOURCE[sid]
+        frame = (out.natality if source == "births" else
+                 out.education_stratum("global") if source == "education" else out.joined("global"))
+        return one_slice(sid, frame, ORDER_SLICES)
     q.__name__ = f"q_slice_{sid}"
     return q
 

@@ -13,7 +13,6 @@ Nothing is collected; the only actions are the writes in ``publish_all``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,15 +45,36 @@ ATTAINMENT_VALUES = ("Secondary", "Tertiary", "Vocational")
 STRATUM_OUTPUT = {"global": "global", "young": "young", "middle": "middle-age", "old": "old"}
 
 
-@dataclass
 class Outputs:
-    """Lazy results of one run: births long, the stratum cross-tab (all
-    strata, keyed by ``stratum``) and the education long table."""
+    """Results of one run: births long, the education long table and the
+    stratum cross-tab (all strata, keyed by ``stratum``).
 
-    natality: DataFrame
-    education: DataFrame
-    crosstab: DataFrame
-    strata: Sequence[str] = field(default_factory=lambda: tuple(EDUCATION_STRATA))
+    Each may be given as a DataFrame or as a zero-argument builder; a builder
+    runs on first use, so a query that needs only the births table never
+    plans the education side.
+    """
+
+    def __init__(self, natality, education, crosstab, strata: Sequence[str] = tuple(EDUCATION_STRATA)):
+        self._parts = {"natality": natality, "education": education, "crosstab": crosstab}
+        self.strata = tuple(strata)
+
+    def _get(self, name: str) -> DataFrame:
+        part = self._parts[name]
+        if callable(part):
+            part = self._parts[name] = part()
+        return part
+
+    @property
+    def natality(self) -> DataFrame:
+        return self._get("natality")
+
+    @property
+    def education(self) -> DataFrame:
+        return self._get("education")
+
+    @property
+    def crosstab(self) -> DataFrame:
+        return self._get("crosstab")
 
     def education_stratum(self, name: str) -> DataFrame:
         return self.crosstab.filter(F.col("stratum") == name).drop("stratum")
@@ -105,18 +125,30 @@ def education_long(wide: DataFrame, codes: DataFrame, years: Sequence[int],
 
 def from_orders(spark: SparkSession, sf_dir: str, missing: str = "zero") -> Outputs:
     """The whole flow on the order-table analog."""
-    codes = cube.nation_codes(spark, sf_dir)
-    counts = cube.order_counts(spark, sf_dir)
-    natality = natality_long(cube.births_wide(spark, sf_dir, counts), codes, cube.YEARS,
-                             cube.BIRTHS_INDICATOR, code_list=cube.GEO_LIST, label_pairs=(),
-                             missing=missing)
-    education = education_long(
-        cube.orders_wide(spark, sf_dir, counts), codes, cube.YEARS, cube.EDU_KEY_NAMES,
-        {"Country": cube.GEO_LIST}, {"Citizen": cube.CITIZEN_TOTAL}, label_pairs=(),
-        missing=missing)
-    crosstab = stratum_crosstab(education, cube.STRATA, "Age", ["Country", "Year"],
-                                "Education_Attainment", cube.ATTAINMENT_VALUES, "Proportion")
-    return Outputs(natality, education, crosstab, tuple(cube.STRATA))
+    shared: dict[str, DataFrame] = {}
+
+    def counts() -> DataFrame:   # one scan/count/join feeds both wide tables
+        if "counts" not in shared:
+            shared["counts"] = cube.order_counts(spark, sf_dir)
+            shared["codes"] = cube.nation_codes(spark, sf_dir)
+        return shared["counts"]
+
+    def natality() -> DataFrame:
+        wide = cube.births_wide(spark, sf_dir, counts())
+        return natality_long(wide, shared["codes"], cube.YEARS, cube.BIRTHS_INDICATOR,
+                             code_list=cube.GEO_LIST, label_pairs=(), missing=missing)
+
+    def education() -> DataFrame:
+        wide = cube.orders_wide(spark, sf_dir, counts())
+        return education_long(wide, shared["codes"], cube.YEARS, cube.EDU_KEY_NAMES,
+                              {"Country": cube.GEO_LIST}, {"Citizen": cube.CITIZEN_TOTAL},
+                              label_pairs=(), missing=missing)
+
+    out = Outputs(natality, education, None, tuple(cube.STRATA))
+    out._parts["crosstab"] = lambda: stratum_crosstab(
+        out.education, cube.STRATA, "Age", ["Country", "Year"], "Education_Attainment",
+        cube.ATTAINMENT_VALUES, "Proportion")
+    return out
 
 
 def from_files(spark: SparkSession, births_tsv: str, births_dsd: str, education_tsv: str,
