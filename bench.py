@@ -48,7 +48,7 @@ HEADLINE = [
 ]
 
 
-def run(build, spark, sf, repeats=2):
+def run(build, spark, sf, repeats=3):
     best = None
     for _ in range(repeats):
         t0 = time.perf_counter()

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from widestat.functions.keys import strip_prefix
 from widestat.functions.labels import CASE_LIMIT, age_band, relabel_case, replace_chain
 
-# A dictionary is broadcast only after a bounded count shows it has at most
-# this many rows; a larger one takes the shuffle join path.
+# Row bound for the ``checked`` broadcast policy: a dictionary is hinted for
+# broadcast only after a bounded count shows at most this many rows.
 BROADCAST_MAX_ROWS = 1_000_000
 
 

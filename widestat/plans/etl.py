@@ -125,30 +125,28 @@ def education_long(wide: DataFrame, codes: DataFrame, years: Sequence[int],
 
 def from_orders(spark: SparkSession, sf_dir: str, missing: str = "zero") -> Outputs:
     """The whole flow on the order-table analog."""
-    shared: dict[str, DataFrame] = {}
-
-    def counts() -> DataFrame:   # one scan/count/join feeds both wide tables
-        if "counts" not in shared:
-            shared["counts"] = cube.order_counts(spark, sf_dir)
-            shared["codes"] = cube.nation_codes(spark, sf_dir)
-        return shared["counts"]
-
-    def natality() -> DataFrame:
-        wide = cube.births_wide(spark, sf_dir, counts())
-        return natality_long(wide, shared["codes"], cube.YEARS, cube.BIRTHS_INDICATOR,
-                             code_list=cube.GEO_LIST, label_pairs=(), missing=missing)
-
-    def education() -> DataFrame:
-        wide = cube.orders_wide(spark, sf_dir, counts())
-        return education_long(wide, shared["codes"], cube.YEARS, cube.EDU_KEY_NAMES,
-                              {"Country": cube.GEO_LIST}, {"Citizen": cube.CITIZEN_TOTAL},
-                              label_pairs=(), missing=missing)
-
-    out = Outputs(natality, education, None, tuple(cube.STRATA))
-    out._parts["crosstab"] = lambda: stratum_crosstab(
-        out.education, cube.STRATA, "Age", ["Country", "Year"], "Education_Attainment",
-        cube.ATTAINMENT_VALUES, "Proportion")
-    return out
+    memo: dict[str, DataFrame] = {}
+
+    def once(name, build):
+        def get() -> DataFrame:
+            if name not in memo:
+                memo[name] = build()
+            return memo[name]
+        return get
+
+    # One scan/count/join of the orders feeds both wide tables.
+    counts = once("counts", lambda: cube.order_counts(spark, sf_dir))
+    codes = once("codes", lambda: cube.nation_codes(spark, sf_dir))
+    natality = once("natality", lambda: natality_long(
+        cube.births_wide(spark, sf_dir, counts()), codes(), cube.YEARS, cube.BIRTHS_INDICATOR,
+        code_list=cube.GEO_LIST, label_pairs=(), missing=missing))
+    education = once("education", lambda: education_long(
+        cube.orders_wide(spark, sf_dir, counts()), codes(), cube.YEARS, cube.EDU_KEY_NAMES,
+        {"Country": cube.GEO_LIST}, {"Citizen": cube.CITIZEN_TOTAL}, label_pairs=(), missing=missing))
+    crosstab = once("crosstab", lambda: stratum_crosstab(
+        education(), cube.STRATA, "Age", ["Country", "Year"], "Education_Attainment",
+        cube.ATTAINMENT_VALUES, "Proportion"))
+    return Outputs(natality, education, crosstab, tuple(cube.STRATA))
 
 
 def from_files(spark: SparkSession, births_tsv: str, births_dsd: str, education_tsv: str,
