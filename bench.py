@@ -1,7 +1,7 @@
 """Benchmark: headline queries on $BENCH_SF_DIR with local[$BENCH_CPUS].
 
 Prints one JSON line.  Each query is built and run to completion into the
-``noop`` sink (no rows to the driver), twice; the faster run is reported.
+``noop`` sink (no rows to the driver), three times; the fastest run is reported.
 Build time is included: source/sink and stream queries do their writes there.
 
 Also timed, outside the total: the notebooks' cell-by-cell forms of key
