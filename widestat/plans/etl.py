@@ -195,3 +195,54 @@ def publish_all(out: Outputs, base: str, fmt: str = "csv", feed: bool = True) ->
     if feed:
         paths["stream"] = write_stream_feed(out.education, f"{base.rstrip('/')}/stream", "Year")
     return paths
+
+
+# Declared schemas of the published datasets (no inference pass on read).
+NATALITY_SCHEMA = "Country string, Year int, Births int"
+EDUCATION_CT_SCHEMA = "Country string, Year int, Secondary double, Tertiary double, Vocational double"
+JOINED_CT_SCHEMA = ("Country string, Year int, Births int, Secondary double, Tertiary double, "
+                    "Vocational double")
+FEED_DATA_SCHEMA = "Education_Attainment string, Age string, Country string, Proportion double"
+
+
+def read_analysis_inputs(spark: SparkSession, base: str, stratum: str = "global",
+                         fmt: str = "csv") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three published datasets the analysis slices read: births, one
+    education cross-tab and the matching joined table."""
+    from widestat.sources.published import read_published
+
+    label = STRATUM_OUTPUT.get(stratum, stratum)
+    root = base.rstrip("/")
+    return (read_published(spark, f"{root}/natality", NATALITY_SCHEMA, fmt),
+            read_published(spark, f"{root}/education-{label}", EDUCATION_CT_SCHEMA, fmt),
+            read_published(spark, f"{root}/joined-{label}", JOINED_CT_SCHEMA, fmt))
+
+
+def analysis(spark: SparkSession, base: str, params=None, fmt: str = "csv") -> dict[str, DataFrame]:
+    """N1-N13 over the published datasets under ``base``."""
+    from widestat.operators.slices import SliceParams, slices
+
+    births, education, joined = read_analysis_inputs(spark, base, "global", fmt)
+    return slices(births, education, joined, params or SliceParams())
+
+
+def stream_maxima(spark: SparkSession, feed_path: str, name: str = "counts", width: str = "5 weeks",
+                  after_year: int | None = 2004, files_per_trigger: int | None = 1,
+                  watermark: str | None = None) -> DataFrame:
+    """The streaming flow: replay the education feed, keep events after
+    ``after_year``, take the maximum proportion per country and ``width``
+    window, and return ``SELECT * FROM <name>``.
+
+    The feed is read with its real column order (the notebook's declared
+    schema moved values between columns, F1)."""
+    from pyspark.sql import types as T
+
+    from widestat.streaming.feed import feed_schema
+    from widestat.streaming.runner import read_file_stream, run_stream
+    from widestat.streaming.windowed import windowed_max
+
+    data = T._parse_datatype_string(FEED_DATA_SCHEMA)
+    stream = read_file_stream(spark, feed_path, feed_schema(data, "Year"), files_per_trigger)
+    agg = windowed_max(stream, ["Country"], "Year", "Proportion", width, min_year=after_year,
+                       watermark=watermark)
+    return run_stream(agg, name, "append" if watermark else "complete")
