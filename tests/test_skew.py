@@ -51,3 +51,11 @@ def test_hot_key_folded_before_exchange(spark, skewed):
     assert "partial_count" in tail  # the map-side count sits under the first exchange
     hot_rows = counts.filter(f"o_custkey = {HOT}").count()
     assert hot_rows <= 3 * 5 * len(cube.YEARS)
+
+
+def test_join_first_form_agrees(spark, skewed):
+    from pyspark.sql import functions as F
+    a = cube.orders_wide(spark, skewed, cube.order_counts(spark, skewed, pre_aggregate=True))
+    b = cube.orders_wide(spark, skewed, cube.order_counts(spark, skewed, pre_aggregate=False))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert b.filter(F.col("key").isNull()).count() == 0

@@ -47,21 +47,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return hit[1]
 
 
-def order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_counts(spark: SparkSession, sf_dir: str, pre_aggregate: bool = True) -> DataFrame:
     """Orders per (customer, status, priority, year), joined to the customer's
     segment and nation.
 
-    The count runs before the join: each task folds its own rows first, so a
-    customer holding a third of all orders reaches the join as at most
-    3 x 5 x years rows per task, not as a third of the table.
+    pre_aggregate=True: count before the join.  Each task folds its own rows
+    first, so a customer holding a third of all orders reaches the join as at
+    most 3 x 5 x years rows per task — skew-proof without relying on AQE.  The
+    price is a second shuffle of the counts (the join needs them by customer).
+    pre_aggregate=False: join first, count after (one shuffle of the orders
+    fewer); a hot customer is then left to AQE's skew-join split, and the
+    count is still partial per task before its own (small) exchange.
     """
     orders = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderstatus", "o_orderpriority",
         F.year("o_orderdate").alias("y"))
-    counted = (orders.groupBy("o_custkey", "o_orderstatus", "o_orderpriority", "y")
-               .agg(F.count(F.lit(1)).alias("n")))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    return counted.join(customer, counted["o_custkey"] == customer["c_custkey"], "inner")
+    if pre_aggregate:
+        counted = (orders.groupBy("o_custkey", "o_orderstatus", "o_orderpriority", "y")
+                   .agg(F.count(F.lit(1)).alias("n")))
+        return counted.join(customer, counted["o_custkey"] == customer["c_custkey"], "inner")
+    joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "inner")
+    return joined.withColumn("n", F.lit(1).cast("bigint"))
 
 
 def _flagged(count_col: str, flag: str, every: int) -> F.Column:
