@@ -54,3 +54,11 @@ def test_restrict_requires_fixed_or_sum_over(spark):
         restrict(df, {"Citizen": "Total"}, drop=["Sex"])
     assert rows(restrict(df, {"Citizen": "Total", "Sex": "F"})) == [(1.0,)]
     assert restrict(df, {"Citizen": "Total"}, sum_over=["Sex"]).columns == ["v"]
+
+
+def test_persisted_scope(spark):
+    from widestat.session import persisted
+    df = spark.range(100)
+    with persisted(df) as d:
+        assert d.is_cached and d.count() == 100
+    assert not df.is_cached

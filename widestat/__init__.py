@@ -14,7 +14,7 @@ from widestat.operators.slices import SliceParams, slices
 from widestat.operators.translate import (bounded_broadcast, relabel, relabel_age, shorten,
                                           translate)
 from widestat.operators.trends import co_movement, risers, series_gap, trend
-from widestat.session import checkpoint_root, get_spark, scratch_path
+from widestat.session import checkpoint_root, get_spark, persisted, scratch_path
 from widestat.sources.codelist import flatten_codes, load_codes, write_code_rows
 from widestat.sources.published import publish, read_feed, read_published
 from widestat.sources.wide import preview, read_wide, wide_schema, write_wide
@@ -25,7 +25,7 @@ from widestat.streaming.windowed import windowed_max
 __all__ = [
     "bounded_broadcast", "checkpoint_root", "clean_measures", "co_movement", "crosstab",
     "domain_profile", "feed_schema", "flatten_codes", "get_spark", "join_facts", "load_codes",
-    "preview", "publish", "read_feed", "read_file_stream", "read_published", "read_wide",
+    "persisted", "preview", "publish", "read_feed", "read_file_stream", "read_published", "read_wide",
     "relabel", "relabel_age", "restrict", "risers", "run_stream", "scratch_path", "series_gap",
     "shorten", "SliceParams", "slices", "split_key", "split_key_pivot_form", "stratum_crosstab",
     "translate", "trend", "wide_schema", "wide_to_long", "windowed_max", "with_row_id",

@@ -11,8 +11,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -70,3 +72,18 @@ def ensure_local_dir(path: str) -> None:
     """Create a directory for local file paths (no-op for remote URIs)."""
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.replace("file:", "", 1), exist_ok=True)
+
+
+@contextmanager
+def persisted(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+    """Keep ``df`` cached while a block fans out over it, and drop it after.
+
+    For reuse inside one job graph; to cut lineage (and survive losing the
+    executors that hold the blocks) write a table under ``checkpoint_root``
+    instead, as ``plans.etl.settle`` does.
+    """
+    df.persist(level)
+    try:
+        yield df
+    finally:
+        df.unpersist()
