@@ -26,6 +26,7 @@ from widestat.session import get_spark  # noqa: E402
 
 HEADLINE = [
     "join_facts_global",
+    "lineitem_crosstab",
     "crosstab_young",
     "natality_long",
     "education_long",

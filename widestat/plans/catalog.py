@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from widestat.functions.cells import clean_cell
 from widestat.operators.clean import clean_measures, domain_profile
 from widestat.operators.keys import restrict, split_key, split_key_pivot_form
-from widestat.operators.reshape import wide_to_long
+from widestat.operators.reshape import stratum_crosstab, wide_to_long
 from widestat.operators.slices import SLICE_SOURCE, SliceParams, joined_aggregate, one_slice
 from widestat.operators.translate import relabel, relabel_age, shorten, translate
 from widestat.operators.trends import co_movement, risers, series_gap, trend
@@ -207,6 +207,16 @@ def _slice(sid: str) -> Query:
     return q
 
 
+def q_lineitem_crosstab(spark, sf):
+    clean = clean_measures(cube.lineitem_wide(spark, sf), cube.YEARS, kind="double")
+    named = translate(split_key(clean, "key", cube.LINE_KEY_NAMES), {"Country": cube.GEO_LIST},
+                      cube.nation_codes(spark, sf))
+    long = wide_to_long(named, ["Flag", "Status", "Country"], cube.YEARS, "Year", "Quantity")
+    ct = stratum_crosstab(long, cube.LINE_STRATA, "Status", ["Country", "Year"], "Flag",
+                          cube.FLAG_VALUES, "Quantity")
+    return ct.filter(F.col("stratum") == "finished").drop("stratum")
+
+
 def q_windowed_max_batch(spark, sf):
     orders = cube.table(spark, sf, "orders")
     return windowed_max(orders, ["o_orderstatus"], "o_orderdate", "o_totalprice", WINDOW, min_year=1995)
@@ -289,6 +299,7 @@ def queries() -> dict[str, Query]:
     for i in range(1, 14):
         reg[f"slice_n{i}"] = _slice(f"n{i}")
     reg["published_slice_n5"] = q_published_slice_n5
+    reg["lineitem_crosstab"] = q_lineitem_crosstab
     reg.update({
         "windowed_max_batch": q_windowed_max_batch,
         "windowed_max_stream": q_windowed_max_stream,

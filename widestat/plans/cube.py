@@ -26,6 +26,9 @@ STRATA = {
     "old": ("5-LOW",),
 }
 BIRTHS_INDICATOR = "NORD"
+LINE_KEY_NAMES = ("Flag", "Status", "Country")
+FLAG_VALUES = ("A", "N", "R")
+LINE_STRATA = {"finished": ("F",), "open": ("O",)}
 GEO_LIST = "GEO"
 REGION_LIST = "REGION"
 CUSTOMER_LIST = "CUSTOMER"
@@ -79,8 +82,11 @@ def _flagged(count_col: str, flag: str, every: int) -> F.Column:
                   f"CASE WHEN {n} % {every} = 1 THEN ' {flag}' ELSE '' END), ':')")
 
 
-def _year_sums(inner: str = "n") -> list[F.Column]:
-    return [F.expr(f"sum(CASE WHEN y = {y} THEN {inner} END)").alias(f"n{y}") for y in YEARS]
+def _year_sums(inner: str = "n", as_type: str | None = None) -> list[F.Column]:
+    sums = [f"sum(CASE WHEN y = {y} THEN {inner} END)" for y in YEARS]
+    if as_type:
+        sums = [f"CAST({e} AS {as_type})" for e in sums]
+    return [F.expr(e).alias(f"n{y}") for e, y in zip(sums, YEARS)]
 
 
 def _year_cells(counts: DataFrame, keys: list[F.Column], flag: str, every: int) -> DataFrame:
@@ -185,3 +191,22 @@ def customer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(CUSTOMER_LIST).alias("code_list"), F.col("c_custkey").cast("string").alias("code"),
         F.lit("en").alias("lang"), F.col("c_name").alias("description"),
         F.struct(F.lit(0).cast("bigint").alias("list_pos"), F.col("c_custkey").alias("pos")).alias("code_pos"))
+
+
+def lineitem_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A larger wide table: shipped quantity per ``returnflag,linestatus,
+    supplier nation`` and ship year, as flagged text (`` e`` when odd).
+
+    Quantities are summed per (supplier, flag, status, year) before the
+    supplier join — hundreds of line items per supplier fold into a few dozen
+    rows per task — and the supplier table is broadcast only while small.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", F.year("l_shipdate").alias("y"))
+    summed = (lines.groupBy("l_suppkey", "l_returnflag", "l_linestatus", "y")
+              .agg(F.sum("l_quantity").alias("q")))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    joined = summed.join(supplier, summed["l_suppkey"] == supplier["s_suppkey"], "inner")
+    key = F.concat_ws(",", "l_returnflag", "l_linestatus", F.col("s_nationkey").cast("string")).alias("key")
+    sums = joined.groupBy(key).agg(*_year_sums("q", "BIGINT"))
+    return sums.select("key", *[_flagged(f"n{y}", "e", 2).alias(str(y)) for y in YEARS])

@@ -144,6 +144,27 @@ FROM {src} WHERE year({ts}) > {min_year}
 GROUP BY 1, 2, 3"""
 
 
+LINE_SQL = f"""WITH lcnt AS (
+  SELECT l.l_returnflag || ',' || l.l_linestatus || ',' || CAST(s.s_nationkey AS VARCHAR) AS key,
+         CAST(year(l.l_shipdate) AS INTEGER) AS y, CAST(sum(l.l_quantity) AS BIGINT) AS n
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  GROUP BY 1, 2),
+lwide AS (
+  SELECT key,
+    {_cells(2, 'e')}
+  FROM lcnt GROUP BY key),
+lnamed AS (
+  SELECT split_part(lwide.key, ',', 1) AS Flag, split_part(lwide.key, ',', 2) AS Status,
+         coalesce(n.n_name, split_part(lwide.key, ',', 3)) AS Country,
+    {", ".join(f'{clean_double(chr(34) + str(y) + chr(34))} AS "{y}"' for y in YEARS)}
+  FROM lwide LEFT JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = split_part(lwide.key, ',', 3)),
+ll AS (
+  {_unpivot("lnamed", "Flag, Status, Country", "Quantity")})
+SELECT Country, "Year",
+  {", ".join(f"sum(CASE WHEN Flag = '{v}' THEN Quantity END) AS " + chr(34) + v + chr(34) for v in cube.FLAG_VALUES)}
+FROM ll WHERE Status IN ('F') GROUP BY 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     split_cols = ("split_part(key, ',', 1) AS Education_Attainment, split_part(key, ',', 2) AS Citizen, "
                   "split_part(key, ',', 3) AS Age, split_part(key, ',', 4) AS Country")
@@ -217,6 +238,7 @@ FROM W WHERE split_part(key, ',', 2) = '{cube.CITIZEN_TOTAL}'""",
         out[f"join_facts_{s}"] = _joined_sql(s)
     out.update(_slice_sql())
     out["published_slice_n5"] = out["slice_n5"]
+    out["lineitem_crosstab"] = LINE_SQL
     out["translate_customer_names"] = """SELECT o_orderkey, coalesce(c.c_name, CAST(o.o_custkey AS VARCHAR)) AS customer
 FROM orders o LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = CAST(o.o_custkey AS VARCHAR)"""
     out["windowed_max_batch"] = _window_sql("orders", "o_orderstatus", "o_orderdate", "o_totalprice", 1995)
