@@ -110,6 +110,11 @@ def q_translate_codes(spark, sf):
     return translate(_split_w(spark, sf), {"Country": cube.GEO_LIST}, cube.nation_codes(spark, sf))
 
 
+def q_translate_flattened(spark, sf):
+    # F7 parity: every list merged into one map, the later list wins.
+    return translate(_split_w(spark, sf), ["Country"], cube.nation_codes(spark, sf))
+
+
 def q_translate_prefixed(spark, sf):
     keys = cube.customer_keys(spark, sf)
     return translate(keys, {"key": cube.GEO_LIST}, cube.nation_codes(spark, sf),
@@ -280,6 +285,7 @@ def queries() -> dict[str, Query]:
         "split_key": q_split_key,
         "split_key_pivot_form": q_split_key_pivot_form,
         "translate_codes": q_translate_codes,
+        "translate_flattened": q_translate_flattened,
         "translate_prefixed": q_translate_prefixed,
         "translate_customer_names": q_translate_customer_names,
         "codelist_xml": q_codelist_xml,

@@ -121,14 +121,21 @@ def births_wide(spark: SparkSession, sf_dir: str, counts: DataFrame | None = Non
 
 def nation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code table ``(code_list, code, lang, description, code_pos)``: nations
-    as list ``GEO`` and regions as list ``REGION`` — codes 0-4 exist in both."""
-    pos = F.struct(F.lit(0).cast("bigint").alias("list_pos"), F.lit(0).cast("bigint").alias("pos"))
+    as list ``GEO`` then regions as list ``REGION`` — codes 0-4 exist in both.
+    ``code_pos`` orders lists then codes, so a flattened lookup is
+    deterministic (the later list wins, as in the notebooks)."""
+    def pos(list_pos: int, key: str) -> F.Column:
+        return F.struct(F.lit(list_pos).cast("bigint").alias("list_pos"),
+                        F.col(key).cast("bigint").alias("pos"))
+
     nation = table(spark, sf_dir, "nation").select(
         F.lit(GEO_LIST).alias("code_list"), F.col("n_nationkey").cast("string").alias("code"),
-        F.lit("en").alias("lang"), F.col("n_name").alias("description"), pos.alias("code_pos"))
+        F.lit("en").alias("lang"), F.col("n_name").alias("description"),
+        pos(0, "n_nationkey").alias("code_pos"))
     region = table(spark, sf_dir, "region").select(
         F.lit(REGION_LIST).alias("code_list"), F.col("r_regionkey").cast("string").alias("code"),
-        F.lit("en").alias("lang"), F.col("r_name").alias("description"), pos.alias("code_pos"))
+        F.lit("en").alias("lang"), F.col("r_name").alias("description"),
+        pos(1, "r_regionkey").alias("code_pos"))
     return nation.unionByName(region)
 
 

@@ -212,6 +212,12 @@ FROM orders WHERE year(o_orderdate) > 1996""",
 SELECT split_part(key, ',', 1) AS Education_Attainment, split_part(key, ',', 2) AS Citizen,
   split_part(key, ',', 3) AS Age, coalesce(n.n_name, split_part(key, ',', 4)) AS Country, {YEAR_COLS}
 FROM W LEFT JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = split_part(W.key, ',', 4)""",
+        "translate_flattened": f"""WITH {W_CTE}
+SELECT split_part(key, ',', 1) AS Education_Attainment, split_part(key, ',', 2) AS Citizen,
+  split_part(key, ',', 3) AS Age,
+  coalesce(r.r_name, n.n_name, split_part(key, ',', 4)) AS Country, {YEAR_COLS}
+FROM W LEFT JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = split_part(W.key, ',', 4)
+  LEFT JOIN region r ON CAST(r.r_regionkey AS VARCHAR) = split_part(W.key, ',', 4)""",
         "translate_prefixed": f"""SELECT c_custkey, coalesce(n.n_name, k.key) AS Country
 FROM (SELECT c_custkey, {prefixed_key} AS key FROM customer) k
 LEFT JOIN nation n ON k.key = 'NORD,' || CAST(n.n_nationkey AS VARCHAR)""",
