@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from widestat.functions.cells import clean_cell
 from widestat.operators.clean import clean_measures, domain_profile
 from widestat.operators.keys import restrict, split_key, split_key_pivot_form
-from widestat.operators.reshape import stratum_crosstab, wide_to_long
+from widestat.operators.reshape import crosstab, stratum_crosstab, wide_to_long
 from widestat.operators.slices import SLICE_SOURCE, SliceParams, joined_aggregate, one_slice
 from widestat.operators.translate import relabel, relabel_age, shorten, translate
 from widestat.operators.trends import co_movement, risers, series_gap, trend
@@ -98,6 +98,13 @@ def q_clean_double(spark, sf):
     return cells.select("o_orderkey", "cell", clean_cell(F.col("cell"), "double").alias("value"))
 
 
+def q_clean_double_null(spark, sf):
+    # F2 fixed mode: a missing cell (":") is null, not 0.
+    cells = cube.price_cells(spark, sf)
+    return cells.select("o_orderkey", "cell",
+                        clean_cell(F.col("cell"), "double", missing="null").alias("value"))
+
+
 def q_split_key(spark, sf):
     return _split_w(spark, sf)
 
@@ -194,6 +201,16 @@ def _crosstab(name: str) -> Query:
     return q
 
 
+def q_crosstab_all_segments(spark, sf):
+    # F12 made explicit: the segment dimension is dropped on purpose and the
+    # cross-tab adds across its values (sum_over) instead of fixing one.
+    education = etl.education_long(
+        cube.orders_wide(spark, sf), cube.nation_codes(spark, sf), cube.YEARS, cube.EDU_KEY_NAMES,
+        {"Country": cube.GEO_LIST}, {}, sum_over=["Citizen"], label_pairs=())
+    return crosstab(education, ["Country", "Year"], "Education_Attainment", cube.ATTAINMENT_VALUES,
+                    "Proportion", "Age", cube.STRATA["global"])
+
+
 def _joined(name: str) -> Query:
     def q(spark, sf):
         return etl.from_orders(spark, sf).joined(name)
@@ -282,6 +299,7 @@ def queries() -> dict[str, Query]:
         "partitioned_feed_scan": q_partitioned_feed_scan,
         "clean_int": q_clean_int,
         "clean_double": q_clean_double,
+        "clean_double_null": q_clean_double_null,
         "split_key": q_split_key,
         "split_key_pivot_form": q_split_key_pivot_form,
         "translate_codes": q_translate_codes,
@@ -300,6 +318,7 @@ def queries() -> dict[str, Query]:
     }
     for s in cube.STRATA:
         reg[f"crosstab_{s}"] = _crosstab(s)
+    reg["crosstab_all_segments"] = q_crosstab_all_segments
     for s in cube.STRATA:
         reg[f"join_facts_{s}"] = _joined(s)
     for i in range(1, 14):

@@ -206,6 +206,8 @@ FROM orders WHERE year(o_orderdate) > 1996""",
                      + ", ".join(f'{clean_int(chr(34) + str(y) + chr(34))} AS "{y}"' for y in YEARS)
                      + " FROM W",
         "clean_double": f"SELECT o_orderkey, cell, {clean_double('cell')} AS value FROM ({cells})",
+        "clean_double_null": f"SELECT o_orderkey, cell, CASE WHEN contains(cell, ':') THEN NULL "
+                             f"ELSE {clean_double('cell')} END AS value FROM ({cells})",
         "split_key": split_sql,
         "split_key_pivot_form": split_sql,
         "translate_codes": f"""WITH {W_CTE}
@@ -240,6 +242,8 @@ FROM W WHERE split_part(key, ',', 2) = '{cube.CITIZEN_TOTAL}'""",
     }
     for s, bands in cube.STRATA.items():
         out[f"crosstab_{s}"] = f"WITH {EDU_CTE}\n{_ct(bands)}"
+    all_segments = EDU_CTE.replace(f"WHERE split_part(W.key, ',', 2) = '{cube.CITIZEN_TOTAL}'", "")
+    out["crosstab_all_segments"] = f"WITH {all_segments}\n{_ct(cube.STRATA['global'])}"
     for s in cube.STRATA:
         out[f"join_facts_{s}"] = _joined_sql(s)
     out.update(_slice_sql())
