@@ -103,3 +103,21 @@ def test_relabel_case_and_join_forms(spark):
     assert rows(relabel(df, "c", small)) == [("A",), ("B",), ("zz",)]
     big = {f"k{i}": f"v{i}" for i in range(100)} | small
     assert rows(relabel(df, "c", big)) == [("A",), ("B",), ("zz",)]
+
+
+def test_bounded_broadcast_checks_size(spark):
+    from widestat.operators.translate import bounded_broadcast
+    small = spark.range(10)
+    big = spark.range(50)
+    facts = spark.range(1000).withColumnRenamed("id", "k")
+    hinted = facts.join(bounded_broadcast(small, max_rows=20), facts.k == small.id)
+    assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = facts.join(bounded_broadcast(big, max_rows=20), facts.k == big.id)
+        assert "BroadcastHashJoin" not in plain._jdf.queryExecution().executedPlan().toString()
+        assert plain.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

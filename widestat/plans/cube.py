@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (id(spark), path)
     hit = _READERS.get(key)
-    if hit is None or hit[0] is not spark or spark.sparkContext._jsc is None:
+    if hit is None or hit[0] is not spark:
         hit = (spark, spark.read.parquet(path))
         _READERS[key] = hit
     return hit[1]

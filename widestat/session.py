@@ -52,14 +52,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     neither is set — a local run — make a fresh folder under the system temp
     directory and register it, so later calls agree.
     """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
+    try:
+        sc = spark.sparkContext
+        root = root or sc.getCheckpointDir()
+    except Exception:  # a Spark Connect session has no SparkContext
+        pass
     if root:
         return root.rstrip("/")
     root = tempfile.mkdtemp(prefix="widestat-")
-    sc.setCheckpointDir(root)
-    spark.conf.set("spark.checkpoint.dir", root)
-    return sc.getCheckpointDir() or root
+    if sc is not None:
+        sc.setCheckpointDir(root)
+    try:
+        spark.conf.set("spark.checkpoint.dir", root)
+    except Exception:
+        pass
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
