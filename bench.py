@@ -35,6 +35,7 @@ HEADLINE = [
     "split_key",
     "translate_codes",
     "translate_prefixed",
+    "translate_customer_names",
     "codelist_xml",
     "domain_profile",
     "wide_to_long",
