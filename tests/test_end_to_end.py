@@ -146,3 +146,15 @@ def test_analysis_and_stream_entry_points(spark, outputs, tmp_path):
                          min_year=2004)
     assert streamed.count() == 5 * 16
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_keyed_lists_and_null_missing(spark, inputs):
+    keyed = {"Unit": "CL_UNIT", "Sex": "CL_SEX", "ISCED11": "CL_ISCED11", "Citizen": "CL_CITIZEN",
+             "Age": "CL_AGE", "Country": "CL_GEO"}
+    out = etl.from_files(spark, f"{inputs}/births.tsv", f"{inputs}/births_dsd", f"{inputs}/education.tsv",
+                         f"{inputs}/education_dsd", education_lists=keyed, missing="null")
+    glob = {(r.Country, r.Year): r for r in out.education_stratum("global").collect()}
+    assert glob[("EU28", 2004)].Secondary is None          # ':' is missing, not 0
+    assert glob[("Austria", 2010)].Secondary == pytest.approx(edu_value("ED0-2", "Y18-74", "AT", 2010))
+    births = {(r.Country, r.Year): r.Births for r in out.natality.collect()}
+    assert births[("Iceland", 2020)] == births_value("IS", 2020)
