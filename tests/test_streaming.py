@@ -107,3 +107,14 @@ def test_watermark_drops_late_rows(spark, workdir):
     assert 9.0 in kept
     dropped = {r.max_v for r in run("1 day", "wm").collect()}
     assert 9.0 not in dropped and 1.0 in dropped
+
+
+def test_empty_feed_gives_empty_result(spark, workdir):
+    src = os.path.join(workdir, "empty")
+    os.makedirs(src)
+    edu = education(spark)
+    stream = read_file_stream(spark, src, feed_schema(edu.schema, "Year"), max_files_per_trigger=1)
+    out = run_stream(windowed_max(stream, ["Country"], "Year", "Proportion"), "empty_test", "complete",
+                     path=os.path.join(workdir, "o"), checkpoint=os.path.join(workdir, "c"))
+    assert out.count() == 0
+    assert out.columns == ["Country", "window_start", "window_end", "max_Proportion"]
