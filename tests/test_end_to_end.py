@@ -158,3 +158,13 @@ def test_keyed_lists_and_null_missing(spark, inputs):
     assert glob[("Austria", 2010)].Secondary == pytest.approx(edu_value("ED0-2", "Y18-74", "AT", 2010))
     births = {(r.Country, r.Year): r.Births for r in out.natality.collect()}
     assert births[("Iceland", 2020)] == births_value("IS", 2020)
+
+
+def test_parquet_copy_pushdown(spark, outputs, tmp_path):
+    base, pq_base = str(tmp_path / "csv"), str(tmp_path / "parquet")
+    etl.publish_all(outputs, base, feed=False, parquet_base=pq_base)
+    from_csv = {k: v.count() for k, v in etl.analysis(spark, base).items()}
+    from_pq = etl.analysis(spark, pq_base, fmt="parquet")
+    assert {k: v.count() for k, v in from_pq.items()} == from_csv
+    plan = from_pq["n13"]._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(Country), Not(StringContains(Country,EU))" in plan

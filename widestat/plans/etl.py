@@ -188,10 +188,18 @@ def settle(out: Outputs) -> Outputs:
     return Outputs(spark.read.parquet(nat_path), out.education, spark.read.parquet(ct_path), out.strata)
 
 
-def publish_all(out: Outputs, base: str, fmt: str = "csv", feed: bool = True) -> dict[str, str]:
+def publish_all(out: Outputs, base: str, fmt: str = "csv", feed: bool = True,
+                parquet_base: str | None = None) -> dict[str, str]:
     """Write the nine datasets and the stream feed (the only actions besides
-    ``settle``)."""
-    paths = publish(settle(out).datasets(), base, fmt)
+    ``settle``).
+
+    parquet_base: also write the nine datasets as Parquet there, so readers
+        get column pruning and filter pushdown (``analysis(fmt="parquet")``).
+    """
+    settled = settle(out)
+    paths = publish(settled.datasets(), base, fmt)
+    if parquet_base:
+        publish(settled.datasets(), parquet_base, "parquet")
     if feed:
         paths["stream"] = write_stream_feed(out.education, f"{base.rstrip('/')}/stream", "Year")
     return paths
