@@ -83,6 +83,14 @@ def naive_translate(spark, sf):
     return df.withColumn("Country", col)
 
 
+def _sf_value(sf_dir):
+    tag = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        return float(tag)
+    except ValueError:
+        return tag
+
+
 def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -105,7 +113,7 @@ def main():
         "unit": "sec",
         "queries": times,
         "cell_by_cell_forms": forms,
-        "sf": os.path.basename(sf.rstrip("/")).replace("sf", ""),
+        "sf": _sf_value(sf),
         "cpus": cpus,
         "spark": spark.version,
     }))
