@@ -121,3 +121,11 @@ def test_bounded_broadcast_checks_size(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_unique_codes_skips_dedup(spark):
+    codes = codes_df(spark, [("L", str(i), "en", f"d{i}") for i in range(20)])
+    df = spark.range(100).select((F.col("id") % 25).cast("string").alias("c"))
+    fast = translate(df, {"c": "L"}, codes, unique_codes=True)
+    assert rows(fast) == rows(translate(df, {"c": "L"}, codes))
+    assert "Aggregate" not in fast._jdf.queryExecution().executedPlan().toString()

@@ -31,22 +31,26 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
-def lookup_table(codes: DataFrame, code_list: str | None = None) -> DataFrame:
+def lookup_table(codes: DataFrame, code_list: str | None = None, unique: bool = False) -> DataFrame:
     """One row per code: ``(code, description)``.
 
     Restricted to ``code_list`` when given (codes are unique within a list,
     not across lists).  Duplicates of a code keep the last one in file order,
-    so the join can never multiply rows.
+    so the join can never multiply rows.  ``unique=True`` skips that step for
+    code tables keyed by a primary key (the caller's guarantee): no sort-based
+    aggregate over a dictionary that grows with the data.
     """
     if code_list is not None:
         codes = codes.filter(F.col("code_list") == F.lit(code_list))
+    if unique:
+        return codes.select("code", "description")
     order = "code_pos" if "code_pos" in codes.columns else "description"
     return (codes.groupBy("code")
             .agg(F.max_by("description", order).alias("description")))
 
 
 def checked_lookup(codes: DataFrame, code_list: str | None = None, broadcast: str = "auto",
-                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                   max_rows: int = BROADCAST_MAX_ROWS, unique: bool = False) -> DataFrame:
     """``lookup_table`` with a broadcast policy.
 
     ``auto``: no hint.  The planner broadcasts the table only when its size
@@ -57,7 +61,7 @@ def checked_lookup(codes: DataFrame, code_list: str | None = None, broadcast: st
         (a scan with ``limit``, no shuffle) and finding at most ``max_rows``.
     ``never``: no broadcast (shuffle join).
     """
-    table = lookup_table(codes, code_list)
+    table = lookup_table(codes, code_list, unique)
     if broadcast == "auto":
         return table
     if broadcast == "never":
@@ -71,7 +75,8 @@ def checked_lookup(codes: DataFrame, code_list: str | None = None, broadcast: st
 
 def translate(df: DataFrame, columns: Mapping[str, str | None] | Sequence[str], codes: DataFrame,
               prefix: str | None = None, sep: str = ",", missing: str = "keep",
-              broadcast: str = "auto", max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+              broadcast: str = "auto", max_broadcast_rows: int = BROADCAST_MAX_ROWS,
+              unique_codes: bool = False) -> DataFrame:
     """Replace codes in ``columns`` by their descriptions.
 
     columns: ``{column: code_list}`` (``None`` = any list), or a list of columns
@@ -81,6 +86,8 @@ def translate(df: DataFrame, columns: Mapping[str, str | None] | Sequence[str],
     missing ``keep``: unknown codes, and codes with no description, stay as
         they are; ``empty``: a known code with no description becomes ``''``.
     broadcast: policy for the dictionary side, see ``checked_lookup``.
+    unique_codes: the code table has one row per (list, code) by construction
+        (a primary key); skips the deduplicating aggregate.
     Row count is unchanged (left join on a unique key).
     """
     if missing not in ("keep", "empty"):
@@ -90,7 +97,8 @@ def translate(df: DataFrame, columns: Mapping[str, str | None] | Sequence[str],
     out = df
     for i, (col, code_list) in enumerate(mapping.items()):
         if code_list not in tables:
-            tables[code_list] = checked_lookup(codes, code_list, broadcast, max_broadcast_rows)
+            tables[code_list] = checked_lookup(codes, code_list, broadcast, max_broadcast_rows,
+                                               unique_codes)
         k, d = f"__code_{i}", f"__desc_{i}"
         table = tables[code_list].select(F.col("code").alias(k), F.col("description").alias(d))
         probe = strip_prefix(F.col(col), prefix, sep) if prefix else F.col(col)
