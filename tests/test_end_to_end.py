@@ -168,3 +168,14 @@ def test_parquet_copy_pushdown(spark, outputs, tmp_path):
     assert {k: v.count() for k, v in from_pq.items()} == from_csv
     plan = from_pq["n13"]._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(Country), Not(StringContains(Country,EU))" in plan
+
+
+def test_command_line(spark, inputs, tmp_path):
+    from widestat.__main__ import main
+    out = str(tmp_path / "cli")
+    paths = main(["process", f"{inputs}/births.tsv", f"{inputs}/births_dsd", f"{inputs}/education.tsv",
+                  f"{inputs}/education_dsd", out])
+    assert "stream" in paths and len(paths) == 10
+    counts = main(["analyze", out])
+    assert counts["n13"] == 12 and counts["n1"] == 24
+    assert main(["stream", paths["stream"], "--files-per-trigger", "8", "--name", "counts_cli"])["rows"] == 80

@@ -152,21 +152,25 @@ def from_orders(spark: SparkSession, sf_dir: str, missing: str = "zero") -> Outp
 def from_files(spark: SparkSession, births_tsv: str, births_dsd: str, education_tsv: str,
                education_dsd: str, lang: str = "en", missing: str = "zero",
                education_lists: Mapping[str, str | None] | None = None,
-               sum_over: Sequence[str] = ("Unit", "Sex")) -> Outputs:
+               sum_over: Sequence[str] = ("Unit", "Sex"),
+               births_years: Sequence[int] = BIRTHS_YEARS,
+               education_years: Sequence[int] = EDUCATION_YEARS) -> Outputs:
     """The whole flow on the real inputs.
 
     education_lists: code list per dimension (``None`` = look the code up in
         every list, the notebooks' flattened behaviour).
     sum_over: dimensions dropped without fixing a value (the notebooks drop
         unit and sex and let the cross-tab add across them).
+    births_years / education_years: the year columns of each file, in order
+        (newer releases of the tables carry more years).
     """
     births_codes = load_codes(spark, births_dsd, lang)
     education_codes = load_codes(spark, education_dsd, lang)
-    natality = natality_long(read_wide(spark, births_tsv, BIRTHS_YEARS), births_codes,
-                             BIRTHS_YEARS, BIRTHS_INDICATOR, missing=missing)
+    natality = natality_long(read_wide(spark, births_tsv, births_years), births_codes,
+                             births_years, BIRTHS_INDICATOR, missing=missing)
     lists = education_lists or {c: None for c in EDUCATION_KEY_NAMES}
     education = education_long(
-        read_wide(spark, education_tsv, EDUCATION_YEARS), education_codes, EDUCATION_YEARS,
+        read_wide(spark, education_tsv, education_years), education_codes, education_years,
         EDUCATION_KEY_NAMES, lists, {"Citizen": "Total"}, sum_over=sum_over,
         attainment_labels=ATTAINMENT_LABELS, age_bands=True, missing=missing)
     crosstab = stratum_crosstab(education, EDUCATION_STRATA, "Age", ["Country", "Year"],
