@@ -179,3 +179,12 @@ def test_command_line(spark, inputs, tmp_path):
     counts = main(["analyze", out])
     assert counts["n13"] == 12 and counts["n1"] == 24
     assert main(["stream", paths["stream"], "--files-per-trigger", "8", "--name", "counts_cli"])["rows"] == 80
+
+
+def test_exact_aggregate_set(spark, outputs):
+    # F13 fixed: with an exact set, Old_EU27 is no longer taken for an aggregate
+    from widestat.operators.slices import births_aggregate, births_national
+    exact = SliceParams(aggregates=("EU28", "EU19", "EU27"))
+    assert births_aggregate(outputs.natality, exact).select("Country").distinct().count() == 2
+    assert "Old_EU27" in {r.Country for r in births_national(outputs.natality, exact).collect()}
+    assert births_aggregate(outputs.natality, SliceParams()).select("Country").distinct().count() == 3

@@ -28,30 +28,35 @@ class SliceParams:
     h3_containing: str = "EU28"       # N11
     h4_after: int = 2017              # N12
     h4_country: str = "Iceland"       # N13
+    # Exact aggregate labels.  None = substring test on ``token`` (parity: it
+    # also takes "Old_EU27"); a set makes "aggregate" an exact membership.
+    aggregates: tuple[str, ...] | None = None
 
 
-def _has(token: str):
-    return F.col("Country").contains(token)
+def _is_aggregate(p: SliceParams):
+    if p.aggregates is not None:
+        return F.col("Country").isin(list(p.aggregates))
+    return F.col("Country").contains(p.token)
 
 
 def births_national(births: DataFrame, p: SliceParams = SliceParams()) -> DataFrame:      # N1
-    return births.filter(~_has(p.token))
+    return births.filter(~_is_aggregate(p))
 
 
 def births_aggregate(births: DataFrame, p: SliceParams = SliceParams()) -> DataFrame:     # N2
-    return births.filter(_has(p.token) & (F.col("Year") != p.births_last_year))
+    return births.filter(_is_aggregate(p) & (F.col("Year") != p.births_last_year))
 
 
 def education_national(edu: DataFrame, p: SliceParams = SliceParams()) -> DataFrame:      # N3
-    return edu.filter(~_has(p.token))
+    return edu.filter(~_is_aggregate(p))
 
 
 def education_aggregate(edu: DataFrame, p: SliceParams = SliceParams()) -> DataFrame:     # N4
-    return edu.filter(_has(p.token) & (F.col("Year") != p.education_first_year))
+    return edu.filter(_is_aggregate(p) & (F.col("Year") != p.education_first_year))
 
 
 def joined_aggregate(joined: DataFrame, p: SliceParams = SliceParams()) -> DataFrame:     # N5
-    return joined.filter(_has(p.token) & (F.col("Year") > p.joined_after))
+    return joined.filter(_is_aggregate(p) & (F.col("Year") > p.joined_after))
 
 
 # Which published dataset each slice reads.
