@@ -93,10 +93,10 @@ class Outputs:
 
 def natality_long(wide: DataFrame, codes: DataFrame, years: Sequence[int], indicator: str,
                   code_list: str | None = None, label_pairs=REGION_LABEL_PAIRS,
-                  missing: str = "zero") -> DataFrame:
+                  missing: str = "zero", unique_codes: bool = False) -> DataFrame:
     """Births wide table -> ``(Country, Year, Births)``."""
     clean = clean_measures(wide, years, kind="int", missing=missing, drop_keys=[indicator])
-    named = translate(clean, {"key": code_list}, codes, prefix=indicator)
+    named = translate(clean, {"key": code_list}, codes, prefix=indicator, unique_codes=unique_codes)
     named = shorten(named.withColumnRenamed("key", "Country"), "Country", label_pairs)
     return wide_to_long(named, ["Country"], years, "Year", "Births")
 
@@ -106,11 +106,12 @@ def education_long(wide: DataFrame, codes: DataFrame, years: Sequence[int],
                    fixed: Mapping[str, str], sum_over: Sequence[str] = (),
                    label_pairs=REGION_LABEL_PAIRS, attainment_col: str = "Education_Attainment",
                    attainment_labels: Mapping[str, str] | None = None, age_col: str = "Age",
-                   age_bands: bool = False, missing: str = "zero") -> DataFrame:
+                   age_bands: bool = False, missing: str = "zero",
+                   unique_codes: bool = False) -> DataFrame:
     """Education wide table -> ``(<dims>, Year, Proportion)``."""
     clean = clean_measures(wide, years, kind="double", missing=missing)
     split = split_key(clean, "key", key_names)
-    named = translate(split, lists, codes)
+    named = translate(split, lists, codes, unique_codes=unique_codes)
     cut = restrict(named, fixed, sum_over=sum_over)
     if "ISCED11" in cut.columns:
         cut = cut.withColumnRenamed("ISCED11", attainment_col)
@@ -134,15 +135,17 @@ def from_orders(spark: SparkSession, sf_dir: str, missing: str = "zero") -> Outp
             return memo[name]
         return get
 
-    # One scan/count/join of the orders feeds both wide tables.
+    # One scan/count/join of the orders feeds both wide tables.  Nation and
+    # region codes are primary keys, so the keyed lookups need no dedup step.
     counts = once("counts", lambda: cube.order_counts(spark, sf_dir))
     codes = once("codes", lambda: cube.nation_codes(spark, sf_dir))
     natality = once("natality", lambda: natality_long(
         cube.births_wide(spark, sf_dir, counts()), codes(), cube.YEARS, cube.BIRTHS_INDICATOR,
-        code_list=cube.GEO_LIST, label_pairs=(), missing=missing))
+        code_list=cube.GEO_LIST, label_pairs=(), missing=missing, unique_codes=True))
     education = once("education", lambda: education_long(
         cube.orders_wide(spark, sf_dir, counts()), codes(), cube.YEARS, cube.EDU_KEY_NAMES,
-        {"Country": cube.GEO_LIST}, {"Citizen": cube.CITIZEN_TOTAL}, label_pairs=(), missing=missing))
+        {"Country": cube.GEO_LIST}, {"Citizen": cube.CITIZEN_TOTAL}, label_pairs=(), missing=missing,
+        unique_codes=True))
     crosstab = once("crosstab", lambda: stratum_crosstab(
         education(), cube.STRATA, "Age", ["Country", "Year"], "Education_Attainment",
         cube.ATTAINMENT_VALUES, "Proportion"))
