@@ -27,3 +27,30 @@ def test_scans_prune_columns(spark):
     text = df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double,o_orderdate:timestamp_ntz>" in text
+
+
+def test_guard_flags_bad_shapes(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.range(100)
+    single = df.withColumn("rn", F.row_number().over(Window.orderBy(F.lit(1))))
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    assert FLAGS["single partition exchange"].search(plan)
+    assert FLAGS["window without partition"].search(plan)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cross = df.crossJoin(spark.range(3))
+        plan = cross._jdf.queryExecution().executedPlan().toString()
+        assert FLAGS["cartesian product"].search(plan) or FLAGS["nested loop join"].search(plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_guard_passes_partitioned_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.range(100)
+    part = df.withColumn("rn", F.row_number().over(Window.partitionBy(F.col("id") % 3).orderBy("id")))
+    assert not FLAGS["window without partition"].search(part._jdf.queryExecution().executedPlan().toString())
