@@ -38,3 +38,4 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["Country", "Year", "Births", "F", "O", "P"]
     assert df.count() > 0
+    assert E.entry(spark).schema == df.schema  # stable across calls
