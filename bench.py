@@ -113,7 +113,7 @@ def main():
         "translate_speedup_vs_regex_chain_25_codes":
             round(forms["naive_translate_regex_chain"] / forms["translate_codes"], 2),
     }
-    print(json.dumps({
+    result = {
         "metric": "headline_total_wall",
         "value": total,
         "unit": "sec",
@@ -123,8 +123,10 @@ def main():
         "sf": _sf_value(sf),
         "cpus": cpus,
         "spark": spark.version,
-    }))
-    spark.stop()
+    }
+    spark.stop()  # state-store shutdown may log on stderr: print the result last
+    sys.stderr.flush()
+    print(json.dumps(result), flush=True)
 
 
 if __name__ == "__main__":
