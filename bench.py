@@ -50,13 +50,22 @@ HEADLINE = [
 ]
 
 
-def run(build, spark, sf, repeats=3):
+ERRORS: dict[str, str] = {}
+
+
+def run(build, spark, sf, repeats=3, name=None):
+    """Best wall time of ``repeats`` runs; None (and an entry in ERRORS) if the
+    query fails, so one failure does not lose the other timings."""
     best = None
-    for _ in range(repeats):
-        t0 = time.perf_counter()
-        build(spark, sf).write.format("noop").mode("overwrite").save()
-        dt = time.perf_counter() - t0
-        best = dt if best is None else min(best, dt)
+    try:
+        for _ in range(repeats):
+            t0 = time.perf_counter()
+            build(spark, sf).write.format("noop").mode("overwrite").save()
+            dt = time.perf_counter() - t0
+            best = dt if best is None else min(best, dt)
+    except Exception as e:  # noqa: BLE001
+        ERRORS[name or getattr(build, "__name__", "?")] = f"{type(e).__name__}: {str(e)[:200]}"
+        return None
     return round(best, 3)
 
 
@@ -98,20 +107,23 @@ def main():
                       **{"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     qs = catalog.queries()
     run(qs["windowed_max_batch"], spark, sf, repeats=1)  # JVM warm-up
-    times = {name: run(qs[name], spark, sf) for name in HEADLINE}
+    times = {name: run(qs[name], spark, sf, name=name) for name in HEADLINE}
     forms = {
         "split_key": times["split_key"],
-        "split_key_pivot_form": run(qs["split_key_pivot_form"], spark, sf),
+        "split_key_pivot_form": run(qs["split_key_pivot_form"], spark, sf, name="split_key_pivot_form"),
         "naive_split_single_task_window": run(naive_split, spark, sf),
         "translate_codes": times["translate_codes"],
         "naive_translate_regex_chain": run(naive_translate, spark, sf),
     }
-    total = round(sum(times.values()), 3)
+    total = round(sum(v for v in times.values() if v is not None), 3)
+
+    def ratio(a, b):
+        return round(forms[a] / forms[b], 2) if forms[a] and forms[b] else None
+
     # within-run ratios (notebook form / ours): robust to machine load
     ratios = {
-        "split_key_speedup_vs_notebook": round(forms["naive_split_single_task_window"] / forms["split_key"], 2),
-        "translate_speedup_vs_regex_chain_25_codes":
-            round(forms["naive_translate_regex_chain"] / forms["translate_codes"], 2),
+        "split_key_speedup_vs_notebook": ratio("naive_split_single_task_window", "split_key"),
+        "translate_speedup_vs_regex_chain_25_codes": ratio("naive_translate_regex_chain", "translate_codes"),
     }
     result = {
         "metric": "headline_total_wall",
@@ -124,6 +136,8 @@ def main():
         "cpus": cpus,
         "spark": spark.version,
     }
+    if ERRORS:
+        result["errors"] = ERRORS
     spark.stop()  # state-store shutdown may log on stderr: print the result last
     sys.stderr.flush()
     print(json.dumps(result), flush=True)
