@@ -137,7 +137,7 @@ def scan(text: str, auto) -> list[tuple[str, int, int]]:
                 card_skip = m.end() if m else pos + 1
             if pos >= ip_skip:
                 m = DOTTED.match(text, pos)
-                if m and all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split(".")):
+                if m and all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
                     found["ip"].append(m.span())
                 ip_skip = m.end() if m else DIGIT_RUN.match(text, pos).end()
         elif kind == "at":
