@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from widestat.llm import decontaminate, licenses, pii, token_count
+from widestat.llm import decontaminate, licenses, pii, simhash, span_dedup, token_count
 from widestat.llm.common import table
 
 
@@ -31,12 +31,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4))
+
+
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.digest(span_dedup.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_token_count, op4_license_scan, op9_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_token_count, op4_license_scan, op7_simhash, op8_span_dedup, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
