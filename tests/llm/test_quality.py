@@ -1,0 +1,89 @@
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from widestat.llm import quality as Q
+
+from .conftest import by_id
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    n = len(words)
+    failed = n < 50 or 100 * len(hit) > 50 * n
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed
+
+
+TEXTS = ["", None, " \n\t", "a", "a b c", "a b c d", "a a a a a a", "x y z x y z q x y z", "a b a b a b", "l\nl\n\nl \n", "#*$%&|<> 世界 🎉🎉 ok",
+         "one two three four", " ".join(f"w{i}" for i in range(60)), "w " * 60, "a b c " * 12 + " ".join(f"v{i}" for i in range(40))]
+
+
+def test_base_equals_brute_force(spark, docs):
+    rows = list(enumerate(TEXTS)) + [(2, TEXTS[2]), (None, TEXTS[5]), (90, " ".join(f"k{i % 9973}" for i in range(40_000)))]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    made = docs(rows).withColumn("n_words", F.lit("clash")).withColumn("stratum", F.lit(1)).withColumn("id", F.lit(2))
+    out = Q.digest(Q.judge(made, labels))
+    assert out.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert out.count() == len(rows)
+    got = by_id(out)
+    for i, t in enumerate(TEXTS):
+        assert tuple(got[i])[1:7] == brute(t), t
+        assert got[i].kept == (not got[i].base_failed)  # no labels, no cutoffs
+    assert got[90].n_words == 40_000 and got[90].n_repeat_words == 40_000
+
+
+def exact_tail(n, k, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_tail_is_the_exact_binomial(spark):
+    cases = [(n, k) for n in (1, 5, 40, 1000) for k in (0, 1, 2, 7, 20) if k <= n]
+    df = spark.createDataFrame(cases, "n long, k long").withColumn("t", Q.log_tail(F.col("n"), F.col("k"), 0.02))
+    for r in df.collect():
+        if r.k <= r.n * 0.02:
+            assert math.exp(r.t) == pytest.approx(exact_tail(r.n, r.k, 0.02), rel=1e-9)
+        else:
+            assert r.t is None
+
+
+def labelled(spark, docs, n, n_bad_good):
+    """n good documents, n_bad_good of them shouting, and as many junk ones."""
+    calm = " ".join(f"word{i}" for i in range(60))
+    loud = calm.upper()
+    rows = [(i, loud if i < n_bad_good else calm, "en") for i in range(n)] + [(n + i, loud, "en") for i in range(50)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(n)] + [(n + i, 0, 0) for i in range(50)] + [(None, 1, 0), (3, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    return Q.judge(docs(rows), labels).collect()
+
+
+def test_cutoffs_need_evidence(spark, docs):
+    few = labelled(spark, docs, 100, 0)
+    assert all(r.kept for r in few)  # 100 good documents cannot show a risk of 0.2 %
+    many = labelled(spark, docs, 5000, 0)
+    assert sum(not r.kept for r in many) == 50 and {tuple(r.rejected_by) for r in many if not r.kept} == {("capitals",)}
+    risky = labelled(spark, docs, 5000, 40)  # the rule would reject 0.8 % of the good ones
+    assert all(r.kept for r in risky)
+
+
+def test_risk_holds_for_every_stratum(spark, docs):
+    calm, loud = " ".join(f"word{i}" for i in range(60)), " ".join(f"WORD{i}" for i in range(60))
+    rows = [(i, calm, "en") for i in range(4000)] + [(4000 + i, loud, "de") for i in range(4000)] + [(8000, loud, "en"), (8001, loud, None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8000)], "doc_id long, quality int, toxic int")
+    got = by_id(Q.judge(docs(rows), labels))
+    assert not got[8000].kept and got[8001].kept and got[5000].kept and got[0].kept
+
+
+def test_keep_good_and_empty_tables(spark, docs):
+    calm = " ".join(f"word{i}" for i in range(60))
+    rows = docs([(1, calm), (2, "short"), (None, calm)])
+    labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
+    assert sorted(r.doc_id or 0 for r in Q.keep_good(rows, Q.judge(rows, labels)).collect()) == [0, 1]
+    assert Q.judge(docs([]), labels).count() == 0

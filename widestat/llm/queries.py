@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from widestat.llm import decontaminate, licenses, pii, simhash, span_dedup, token_count
+from widestat.llm import decontaminate, licenses, line_dedup, lm_score, mixing, pii, quality, simhash, span_dedup, token_count
 from widestat.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), token_count.load_vocabulary(vocabulary_path()))
 
@@ -31,6 +35,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.duplicate_lines(table(spark, sf_dir, "documents")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4))
 
@@ -43,9 +55,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_token_count, op4_license_scan, op7_simhash, op8_span_dedup, op9_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_token_count, op4_license_scan, op5_line_dedup, op6_mixing, op7_simhash,
+                                     op8_span_dedup, op9_pii, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality": quality.oracle_sql()}
