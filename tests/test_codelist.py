@@ -1,7 +1,7 @@
 import os
 
 from conftest import rows
-from widestat.sources.codelist import flatten_codes, load_codes, write_code_rows
+from widestat.sources.codelist import flatten_codes, load_codes, write_code_lists, write_code_rows
 
 # A structure file shaped like a published one: prefixed names, several lists,
 # a code ("T") present in two lists, a code with no English description.
@@ -61,3 +61,39 @@ def test_code_rows_round_trip(spark, workdir):
     assert got == [("GEO", "1", "One <1>"), ("REG", "1", "Region & co")]
     fr = rows(load_codes(spark, path, "fr", row_tag="Code"), "code_list", "description")
     assert fr == sorted([("GEO", "Un"), ("REG", None)], key=repr)
+
+
+def test_file_order_does_not_follow_file_sizes(spark, workdir):
+    # Spark packs larger files first; the later file by name wins all the same.
+    for big in ("a", "b"):
+        path = os.path.join(workdir, f"big-{big}")
+        os.makedirs(path)
+        for name, text in (("a", "first"), ("b", "last")):
+            filler = "".join(f'<structure:Code value="{name}{i}"><structure:Description xml:lang="en">x</structure:Description>'
+                             f"</structure:Code>" for i in range(3000 if name == big else 1))
+            with open(os.path.join(path, f"{name}.xml"), "w") as f:
+                f.write(f'<m:S xmlns:m="m" xmlns:structure="s"><structure:CodeList id="L{name}"><structure:Code value="A">'
+                        f'<structure:Description xml:lang="en">{text}</structure:Description></structure:Code>{filler}'
+                        f"</structure:CodeList></m:S>")
+        flat = {r.code: r.description for r in flatten_codes(load_codes(spark, path, "en")).collect()}
+        assert flat["A"] == "last" and len(flat) == 3002
+
+
+def test_several_descriptions_in_one_language_are_joined(spark, workdir):
+    path = os.path.join(workdir, "twice")
+    os.makedirs(path)
+    with open(os.path.join(path, "x.xml"), "w") as f:
+        f.write('<S><CodeList id="L"><Code value="A"><Description lang="en">one</Description><Description lang="fr">un</Description>'
+                '<Description lang="en">-two</Description></Code></CodeList></S>')
+    assert [r.description for r in load_codes(spark, path, "en").collect()] == ["one-two"]
+
+
+def test_structure_files_round_trip(spark, workdir):
+    data = [("f1", "B", "1", 0, [("en", "One <1> & \"more\""), ("fr", "Un")]), ("f1", "A", "2", 1, [("en", "Two")]),
+            ("f1", "A", "1", 0, [("en", "Uno")]), ("f2", "C", "1", 0, [("en", "Last")])]
+    df = spark.createDataFrame(data, "file string, code_list string, code string, code_pos long, "
+                                     "descriptions array<struct<lang:string,text:string>>")
+    codes = load_codes(spark, write_code_lists(df, os.path.join(workdir, "s")), "en")
+    assert rows(codes, "code_list", "code", "description") == sorted(
+        [("B", "1", 'One <1> & "more"'), ("A", "2", "Two"), ("A", "1", "Uno"), ("C", "1", "Last")])
+    assert {r.code: r.description for r in flatten_codes(codes).collect()} == {"1": "Last", "2": "Two"}

@@ -137,7 +137,7 @@ def test_analysis_and_stream_entry_points(spark, outputs, tmp_path):
     paths = etl.publish_all(outputs, base)
     s = etl.analysis(spark, base)
     assert s["n9"].count() == 12 and s["n13"].count() == 12
-    assert dict(s["n1"].dtypes)["Births"] == "int"
+    assert dict(s["n1"].dtypes)["Births"] == "bigint"
     streamed = etl.stream_maxima(spark, paths["stream"], name="counts_e2e", files_per_trigger=4)
     assert spark.sql("SELECT count(*) AS n FROM counts_e2e").first().n == streamed.count()
     # batch twin: the same function over the feed read as a batch table

@@ -35,17 +35,15 @@ def test_pivot_form_equals_split_after_shuffle(spark):
 
 
 def test_row_id_dense_and_unique(spark):
-    df = spark.range(2000).select(F.col("id").cast("string").alias("k")).repartition(9)
-    ids = [r.row_id for r in with_row_id(df, ["k"], buckets=5).collect()]
-    assert sorted(ids) == list(range(1, 2001))
-    # stable across recomputation
-    again = {r.k: r.row_id for r in with_row_id(df, ["k"], buckets=5).collect()}
-    first = {r.k: r.row_id for r in with_row_id(df, ["k"], buckets=5).collect()}
-    assert again == first
-    sparse = with_row_id(df, ["k"], buckets=5, dense=False)
-    assert sparse.select("row_id").distinct().count() == 2000
-    assert "SinglePartition" not in sparse._jdf.queryExecution().executedPlan().toString()
-
+    df = spark.range(2000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v")).repartition(9)
+    out = with_row_id(df, ["k"])
+    first = {r.k: r.row_id for r in out.collect()}
+    assert [first[k] for k in sorted(first)] == list(range(1, 2001))  # in order, over all partitions
+    assert {r.k: r.row_id for r in out.repartition(3).collect()} == first  # fixed once written
+    sparse = with_row_id(df, ["k"], dense=False)
+    ids = {r.k: r.row_id for r in sparse.collect()}
+    assert sorted(ids, key=ids.get) == sorted(first) and len(set(ids.values())) == 2000
+    assert with_row_id(df.limit(0), ["k"]).count() == 0
 
 def test_restrict_requires_fixed_or_sum_over(spark):
     # dropping sex without fixing it would sum F and M together.

@@ -44,18 +44,59 @@ def test_hot_customer_matches_oracle(spark, skewed, name):
     assert rows_key(df.columns, s_rows) == rows_key(d_cols, d_rows)
 
 
-def test_hot_key_folded_before_exchange(spark, skewed):
-    counts = cube.order_counts(spark, skewed)
-    plan = counts._jdf.queryExecution().executedPlan().toString()
-    head, _, tail = plan.partition("Exchange hashpartitioning(o_custkey")
-    assert "partial_count" in tail  # the map-side count sits under the first exchange
-    hot_rows = counts.filter(f"o_custkey = {HOT}").count()
-    assert hot_rows <= 3 * 5 * len(cube.YEARS)
-
-
-def test_join_first_form_agrees(spark, skewed):
-    from pyspark.sql import functions as F
-    a = cube.orders_wide(spark, skewed, cube.order_counts(spark, skewed, pre_aggregate=True))
-    b = cube.orders_wide(spark, skewed, cube.order_counts(spark, skewed, pre_aggregate=False))
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert b.filter(F.col("key").isNull()).count() == 0
+NO_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+#: Thresholds small enough for the fixture's few kilobytes.
+SPLIT = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+@pytest.fixture
+def conf(spark):
+    changed = []
+
+    def put(values):
+        for k, v in values.items():
+            spark.conf.set(k, v)
+            changed.append(k)
+    yield put
+    for k in changed:
+        spark.conf.unset(k)
+
+
+def test_orders_are_shuffled_once(spark, skewed, conf):
+    conf(NO_BROADCAST)
+    df = E.queries()["join_facts_global"](spark, skewed)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    scans = [line for line in final.splitlines() if "Scan parquet" in line and "o_custkey" in line]
+    assert len(scans) == 1, final
+    assert "ReusedExchange" in final
+
+
+def test_hot_customer_is_split(spark, skewed, conf, tmp_path):
+    conf(NO_BROADCAST | SPLIT)
+    shutil.copy(f"{skewed}/customer.parquet", tmp_path / "customer.parquet")
+    orders = pq.read_table(f"{skewed}/orders.parquet")
+    (tmp_path / "orders.parquet").mkdir()
+    for i in range(10):  # a partition is split between the tasks that wrote to it
+        pq.write_table(orders.slice(i * 150, 150), tmp_path / "orders.parquet" / f"part-{i}.parquet")
+    counts = cube.order_counts(spark, str(tmp_path))
+    total = sum(r.n for r in counts.collect())
+    final = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "skew=true" in final
+    assert total == orders.num_rows
+
+
+def test_a_year_without_a_column_is_an_error(spark, skewed, tmp_path):
+    import datetime as dt
+
+    for name in ("customer", "orders"):
+        shutil.copy(f"{skewed}/{name}.parquet", tmp_path / f"{name}.parquet")
+    orders = pq.read_table(f"{skewed}/orders.parquet")
+    at = orders.schema.get_field_index("o_orderdate")
+    days = orders.column("o_orderdate").to_pylist()
+    late = orders.set_column(at, orders.schema.field(at), pa.array([dt.datetime(2031, 5, 1)] + days[1:], orders.schema.field(at).type))
+    pq.write_table(late, tmp_path / "orders.parquet")
+    with pytest.raises(Exception, match="2031"):
+        cube.orders_wide(spark, str(tmp_path)).collect()

@@ -9,7 +9,7 @@ from conftest import rows
 from widestat.sources.published import read_feed
 from widestat.streaming.feed import feed_schema, write_stream_feed
 from widestat.streaming.runner import read_file_stream, run_stream
-from widestat.streaming.windowed import windowed_max
+from widestat.streaming.windowed import windowed_max, with_open_windows
 
 EDU = "Education_Attainment string, Age string, Country string, Year int, Proportion double"
 
@@ -34,12 +34,11 @@ def test_one_january_windows(spark):
 
 def test_feed_round_trip_and_pruning(spark, workdir):
     edu = education(spark)
-    path = write_stream_feed(edu, os.path.join(workdir, "feed"), "Year", files_per_value=2)
+    path = write_stream_feed(edu, os.path.join(workdir, "feed"), "Year")
     assert any(d.startswith("Year=2005-01-01 00%3A00%3A00") for d in os.listdir(path))
     back = read_feed(spark, path, feed_schema(edu.schema, "Year"))
-    cut = back.filter(F.year("Year") > 2004)
-    assert "PartitionFilters: [isnotnull(Year" in cut._jdf.queryExecution().executedPlan().toString() or \
-        "PartitionFilters" in cut._jdf.queryExecution().executedPlan().toString()
+    cut = back.filter(F.col("Year") >= F.lit("2005-01-01 00:00:00").cast("timestamp"))
+    assert "PartitionFilters: [isnotnull(Year" in cut._jdf.queryExecution().executedPlan().toString()
     got = rows(cut.withColumn("Year", F.year("Year")), *edu.columns)
     assert got == rows(edu.filter("Year > 2004"), *edu.columns)
 
@@ -118,3 +117,66 @@ def test_empty_feed_gives_empty_result(spark, workdir):
                      path=os.path.join(workdir, "o"), checkpoint=os.path.join(workdir, "c"))
     assert out.count() == 0
     assert out.columns == ["Country", "window_start", "window_end", "max_Proportion"]
+
+
+def test_year_filter_reaches_the_scan(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    plan = windowed_max(orders, ["o_orderstatus"], "o_orderdate", "o_totalprice", min_year=1995)
+    assert "GreaterThanOrEqual(o_orderdate,1996-01-01T00:00" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_feed_files_follow_the_bytes(spark, workdir):
+    def files(n, name):
+        df = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("text"), F.lit(2005).alias("Year"))
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        try:
+            path = write_stream_feed(df, os.path.join(workdir, name), "Year")
+        finally:
+            spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        return sum(f.endswith(".csv") for _, _, fs in os.walk(path) for f in fs)
+    few, many = files(1_000, "few"), files(40_000, "many")
+    assert few <= 2 and many >= 4  # one hot folder, many writers
+    df = spark.range(1_000).select(F.col("id"), F.lit(2005).alias("Year"))
+    path = write_stream_feed(df, os.path.join(workdir, "rows"), "Year", max_records_per_file=100)
+    assert sum(f.endswith(".csv") for _, _, fs in os.walk(path) for f in fs) >= 10
+
+
+def test_unreadable_result_is_an_error(spark, workdir):
+    edu = education(spark)
+    path = write_stream_feed(edu, os.path.join(workdir, "feed"), "Year")
+    stream = read_file_stream(spark, path, feed_schema(edu.schema, "Year"), max_files_per_trigger=None)
+    agg = windowed_max(stream, ["Country"], "Year", "Proportion", watermark="1 day")
+    out = os.path.join(workdir, "out")
+    done = run_stream(agg, "broken_test", "append", path=out, checkpoint=os.path.join(workdir, "ck"))
+    assert done.count() > 0
+    for d, _, fs in os.walk(out):
+        for f in fs:
+            if f.endswith(".parquet"):
+                with open(os.path.join(d, f), "wb") as broken:
+                    broken.write(b"not parquet")
+    with pytest.raises(Exception):
+        spark.read.schema(agg.schema).parquet(out).collect()
+
+
+def test_open_windows_are_closed(spark, workdir):
+    edu = education(spark)
+    path = write_stream_feed(edu, os.path.join(workdir, "feed"), "Year")
+    schema = feed_schema(edu.schema, "Year")
+    agg = windowed_max(read_file_stream(spark, path, schema, None), ["Country"], "Year", "Proportion", watermark="1 day")
+    closed = run_stream(agg, "closed_test", "append", path=os.path.join(workdir, "o"), checkpoint=os.path.join(workdir, "c"))
+    feed = read_feed(spark, path, schema)
+    every = windowed_max(feed, ["Country"], "Year", "Proportion")
+    assert closed.count() < every.count()
+    assert rows(with_open_windows(closed, feed, ["Country"], "Year", "Proportion", "5 weeks")) == rows(every)
+
+
+def test_update_output_keeps_the_latest_row(spark, workdir):
+    edu = education(spark)
+    path = write_stream_feed(edu, os.path.join(workdir, "feed"), "Year")
+    schema = feed_schema(edu.schema, "Year")
+    agg = windowed_max(read_file_stream(spark, path, schema, 1), ["Country"], "Year", "Proportion", watermark="3650 days")
+    got = run_stream(agg, "update_test", "update", keys=["Country", "window_start", "window_end"],
+                     path=os.path.join(workdir, "o"), checkpoint=os.path.join(workdir, "c"))
+    assert rows(got) == rows(windowed_max(read_feed(spark, path, schema), ["Country"], "Year", "Proportion"))
+    with pytest.raises(ValueError):
+        run_stream(agg, "update_test_2", "update")

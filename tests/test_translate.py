@@ -65,28 +65,39 @@ def test_row_count_kept_with_duplicate_codes(spark):
     assert {r.c for r in out.collect()} == {"second"}
 
 
-def test_dictionary_is_broadcast(spark):
+def test_join_form_follows_the_size(spark):
     codes = codes_df(spark, [("L", str(i), "en", f"d{i}") for i in range(50)])
     df = spark.range(1000).select((F.col("id") % 60).cast("string").alias("c"))
-    for policy in ("auto", "checked"):
-        out = translate(df, {"c": "L"}, codes, broadcast=policy)
-        assert out.count() == 1000
-        out.collect()  # "auto" is decided by AQE from the real size: read the final plan
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan, policy
-    plan = translate(df, {"c": "L"}, codes, broadcast="never")
-    plan.collect()
-    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
-
-
-def test_equals_regex_chain_on_collision_free_codes(spark):
-    codes_list = [(str(i), f"name {i}") for i in range(30)]
-    codes = codes_df(spark, [("L", c, "en", d) for c, d in codes_list])
-    df = spark.range(300).select((F.col("id") % 40).cast("string").alias("c"))
-    chain = F.col("c")
-    for c, d in codes_list:
-        chain = F.regexp_replace(chain, "^" + c + "$", d)
-    assert rows(translate(df, {"c": "L"}, codes)) == rows(df.select(chain.alias("c")))
+    out = translate(df, {"c": "L"}, codes)
+    assert out.count() == 1000
+    out.collect()  # decided by adaptive execution from the real size: read the final plan
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    try:
+        out = translate(df, {"c": "L"}, codes)
+        out.collect()
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+
+
+def test_one_join_for_many_columns(spark):
+    codes = codes_df(spark, [("A", "1", "en", "one"), ("A", "2", "en", None), ("B", "1", "en", "uno"), ("B", "3", "en", "tres")])
+    df = spark.createDataFrame([(10, "1", "1", "x"), (11, "2", "3", "y"), (12, None, "9", "z"), (13, "3", "1", None)],
+                               "id long, a string, b string, other string")
+    for missing in ("keep", "empty"):
+        each = translate(df, {"a": "A", "b": "B"}, codes, missing=missing)
+        once = translate(df, {"a": "A", "b": "B"}, codes, missing=missing, row_key="id")
+        assert once.columns == each.columns and rows(once) == rows(each)
+    assert rows(translate(df, ["a", "b"], codes, row_key="id")) == rows(translate(df, ["a", "b"], codes))
+
+
+def test_every_code_by_its_own_description(spark):
+    codes = codes_df(spark, [("L", "1", "en", "name 1"), ("L", "10", "en", "name 10"), ("L", "2", "en", "10")])
+    df = spark.createDataFrame([("1",), ("10",), ("2",), ("11",)], "c string")
+    assert rows(translate(df, {"c": "L"}, codes)) == [("10",), ("11",), ("name 1",), ("name 10",)]
 
 
 def test_shorten_region_labels(spark):
@@ -97,30 +108,13 @@ def test_shorten_region_labels(spark):
     assert sum("EU27" in x for x in out) == 2
 
 
-def test_relabel_case_and_join_forms(spark):
-    df = spark.createDataFrame([("a",), ("b",), ("zz",)], "c string")
-    small = {"a": "A", "b": "B"}
-    assert rows(relabel(df, "c", small)) == [("A",), ("B",), ("zz",)]
-    big = {f"k{i}": f"v{i}" for i in range(100)} | small
-    assert rows(relabel(df, "c", big)) == [("A",), ("B",), ("zz",)]
-
-
-def test_bounded_broadcast_checks_size(spark):
-    from widestat.operators.translate import bounded_broadcast
-    small = spark.range(10)
-    big = spark.range(50)
-    facts = spark.range(1000).withColumnRenamed("id", "k")
-    hinted = facts.join(bounded_broadcast(small, max_rows=20), facts.k == small.id)
-    assert "BroadcastHashJoin" in hinted._jdf.queryExecution().executedPlan().toString()
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        plain = facts.join(bounded_broadcast(big, max_rows=20), facts.k == big.id)
-        assert "BroadcastHashJoin" not in plain._jdf.queryExecution().executedPlan().toString()
-        assert plain.count() == 50
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+def test_relabel_is_one_form_for_every_length(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("n",), ("zz",), (None,)], "c string")
+    want = sorted([("A",), ("B",), (None,), ("zz",), (None,)], key=repr)
+    small = {"a": "A", "b": "B", "n": None}
+    assert rows(relabel(df, "c", small)) == want
+    assert rows(relabel(df, "c", {f"k{i}": f"v{i}" for i in range(500)} | small)) == want
+    assert rows(relabel(df, "c", {})) == rows(df)
 
 
 def test_unique_codes_skips_dedup(spark):

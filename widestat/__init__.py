@@ -11,7 +11,7 @@ from widestat.operators.keys import restrict, split_key, split_key_pivot_form
 from widestat.operators.reshape import crosstab, stratum_crosstab, wide_to_long
 from widestat.operators.rowid import with_row_id
 from widestat.operators.slices import SliceParams, slices
-from widestat.operators.translate import (bounded_broadcast, relabel, relabel_age, shorten,
+from widestat.operators.translate import (relabel, relabel_age, shorten,
                                           translate)
 from widestat.operators.trends import co_movement, risers, series_gap, trend
 from widestat.session import checkpoint_root, get_spark, persisted, scratch_path
@@ -23,7 +23,7 @@ from widestat.streaming.runner import read_file_stream, run_stream
 from widestat.streaming.windowed import windowed_max
 
 __all__ = [
-    "bounded_broadcast", "checkpoint_root", "clean_measures", "co_movement", "crosstab",
+    "checkpoint_root", "clean_measures", "co_movement", "crosstab",
     "domain_profile", "feed_schema", "flatten_codes", "get_spark", "join_facts", "load_codes",
     "persisted", "preview", "publish", "read_feed", "read_file_stream", "read_published", "read_wide",
     "relabel", "relabel_age", "restrict", "risers", "run_stream", "scratch_path", "series_gap",

@@ -28,4 +28,4 @@ def strip_prefix(c: Column | str, prefix: str, sep: str = ",") -> Column:
     """The code after ``prefix + sep``; null when the value lacks the prefix."""
     col = F.col(c) if isinstance(c, str) else c
     head = prefix + sep
-    return F.when(col.startswith(F.lit(head)), F.substring(col, len(head) + 1, 1 << 30))
+    return F.when(col.startswith(F.lit(head)), F.substr(col, F.lit(len(head) + 1)))

@@ -1,9 +1,9 @@
-"""Label expressions: ordered literal substitution, explicit relabelling and
-age-band shortening, plus the fixed label lists of the source notebooks."""
+"""Label expressions: ordered literal substitution and age-band shortening,
+plus the fixed label lists of the source notebooks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,20 +29,10 @@ ATTAINMENT_LABELS: dict[str, str] = {
     "Upper secondary, post-secondary non-tertiary and tertiary education (levels 3-8)": "Tertiary",
     "Upper secondary and post-secondary non-tertiary education (levels 3 and 4)": "Vocational",
 }
-
-# Age bands of the education table, as short labels.
-AGE_BANDS: tuple[str, ...] = (
-    "15-24", "15-64", "15-69", "15-74", "18-24", "18-64", "18-69", "18-74",
-    "20-24", "25-34", "25-54", "25-64", "25-69", "25-74", "30-34", "55-74",
-)
 # ---------------------------------------------------------------------------
 
 AGE_BAND_PATTERN = r"^From (\d+) to (\d+) years$"
 
-# Above this many entries an explicit mapping becomes a broadcast join table
-# instead of one CASE branch per entry.
-CASE_LIMIT = 64
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -60,18 +50,6 @@ def replace_chain(c: Column | str, pairs: Iterable[tuple[str, str]]) -> Column:
     return out
 
 
-def relabel_case(c: Column | str, mapping: Mapping[str, str]) -> Column:
-    """Whole-value relabelling; values not in the mapping stay as they are."""
-    col = _col(c)
-    if not mapping:
-        return col
-    expr = None
-    for original, label in mapping.items():
-        cond = col == F.lit(original)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr.otherwise(col)
-
-
 def age_band(c: Column | str) -> Column:
     """``From 25 to 34 years`` -> ``25-34``; other text unchanged."""
     return F.regexp_replace(_col(c), AGE_BAND_PATTERN, "$1-$2")

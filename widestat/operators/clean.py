@@ -17,11 +17,12 @@ def clean_measures(df: DataFrame, years: Iterable[int], kind: str = "int",
     """Flagged year cells -> numbers, in one projection.
 
     drop_keys: rows whose key equals one of these exactly are removed first
-    (the notebook drops the bare indicator row).  A null key is kept.
+    (the notebook drops the bare indicator row), and so are rows with a null
+    key, as under the notebook's ``=!=``.  Without it null keys stay.
     """
     cols = set(year_columns(years))
     if drop_keys:
-        df = df.filter(~F.coalesce(F.col(key).isin(list(drop_keys)), F.lit(False)))
+        df = df.filter(~F.col(key).isin(list(drop_keys)))
     return df.select(*[
         F.expr(clean_cell_sql(c, kind, missing, keep_sign)).alias(c) if c in cols else F.col(c)
         for c in df.columns

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widestat.functions.keys import key_part, key_parts
-from widestat.operators.rowid import with_row_id
 
 
 def split_key(df: DataFrame, key: str, names: Sequence[str], sep: str = ",",
@@ -25,25 +24,15 @@ def split_key(df: DataFrame, key: str, names: Sequence[str], sep: str = ",",
 
 
 def split_key_pivot_form(df: DataFrame, key: str, names: Sequence[str], sep: str = ",") -> DataFrame:
-    """The same result the long way: row id, ``posexplode`` the parts, pivot
-    them back to ``code0..codeN`` per id, and join to the measures on the id.
-
-    Kept to check ``split_key`` against.  The id comes from ``with_row_id``
-    ordered by ``key`` (must be unique), so both sides of the join agree; it
-    only has to be unique, so the sparse form (no global step) is used.
-    Rows with a null key have no parts and drop out of the inner join.
-    """
-    slots = [f"code{i}" for i in range(len(names))]
-    ided = with_row_id(df, [key], "row_id", dense=False)
-    parts = ided.select(F.col("row_id").alias("id"), F.posexplode(key_parts(F.col(key), sep)))
-    named = parts.select(
-        "id",
-        F.concat(F.lit("code"), F.col("pos").cast("string")).alias("col_names"),
-        F.col("col").alias("code"))
-    pivoted = named.groupBy("id").pivot("col_names", slots).agg(F.first("code"))
-    joined = ided.join(pivoted, ided["row_id"] == pivoted["id"], "inner")
-    measures = [c for c in df.columns if c != key]
-    return joined.select(*[F.col(s).alias(n) for s, n in zip(slots, names)], *measures)
+    """``split_key`` by way of the long form: a row for each part of each
+    distinct key, gathered again by one conditional aggregate, joined back on
+    the key itself.  Needs no row number.  Rows with a null key drop out."""
+    tall = df.select(F.col(key).alias("__key")).distinct().select(
+        "__key", F.posexplode(key_parts(F.col("__key"), sep)).alias("__place", "__part"))
+    wide = tall.groupBy("__key").agg(*[
+        F.max(F.when(F.col("__place") == i, F.col("__part"))).alias(n) for i, n in enumerate(names)])
+    measures = [df[c] for c in df.columns if c != key]
+    return df.join(wide, df[key] == wide["__key"]).select(*[wide[n] for n in names], *measures)
 
 
 def restrict(df: DataFrame, fixed: Mapping[str, str], drop: Sequence[str] = (),

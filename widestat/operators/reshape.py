@@ -21,6 +21,16 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], years: Iterable[int], var: s
     return long.withColumn(var, F.col(var).cast(var_type))
 
 
+def _listed(df: DataFrame, pivot_col: str, values: Sequence[str], unlisted: str) -> DataFrame:
+    if unlisted == "drop":
+        return df
+    if unlisted != "fail":
+        raise ValueError("unlisted must be 'drop' or 'fail'")
+    col = F.col(pivot_col)
+    message = F.concat(F.lit(f"{pivot_col} holds a value without a column: "), F.coalesce(col.cast("string"), F.lit("null")))
+    return df.withColumn(pivot_col, F.when(col.isin(list(values)), col).otherwise(F.raise_error(message)))
+
+
 def _pivot_sums(pivot_col: str, values: Sequence[str], measure: str) -> list[Column]:
     # Conditional sums are what a pivot with a value list computes; written out
     # they stay one hash aggregate (partial per task, one exchange).  A group
@@ -30,20 +40,23 @@ def _pivot_sums(pivot_col: str, values: Sequence[str], measure: str) -> list[Col
 
 
 def crosstab(df: DataFrame, rows: Sequence[str], pivot_col: str, values: Sequence[str],
-             measure: str, band_col: str | None = None, bands: Sequence[str] | None = None) -> DataFrame:
+             measure: str, band_col: str | None = None, bands: Sequence[str] | None = None,
+             unlisted: str = "drop") -> DataFrame:
     """Filter to ``bands`` of ``band_col`` (when given), then one column per
     value of ``pivot_col`` holding the sum of ``measure`` per ``rows``.
 
-    Values not in ``values`` (including null) make no column.
+    Values not in ``values`` (including null) make no column; with
+    ``unlisted="fail"`` such a row among those that are summed is an error.
     """
     if band_col is not None and bands is not None:
         df = df.filter(F.col(band_col).isin(list(bands)))
+    df = _listed(df, pivot_col, values, unlisted)
     return df.groupBy(*rows).agg(*_pivot_sums(pivot_col, values, measure))
 
 
 def stratum_crosstab(df: DataFrame, strata: Mapping[str, Sequence[str]], band_col: str,
                      rows: Sequence[str], pivot_col: str, values: Sequence[str], measure: str,
-                     stratum_col: str = "stratum") -> DataFrame:
+                     stratum_col: str = "stratum", unlisted: str = "drop") -> DataFrame:
     """All strata in one aggregation, keyed by ``stratum_col``.
 
     Each stratum is a list of bands; its row holds the sums over those bands
@@ -65,4 +78,5 @@ def stratum_crosstab(df: DataFrame, strata: Mapping[str, Sequence[str]], band_co
     else:
         names = F.array(*[F.when(band.isin(list(bands)), F.lit(name)) for name, bands in strata.items()])
         tagged = df.withColumn(stratum_col, F.explode(F.filter(names, lambda x: x.isNotNull())))
+    tagged = _listed(tagged, pivot_col, values, unlisted)
     return tagged.groupBy(stratum_col, *rows).agg(*_pivot_sums(pivot_col, values, measure))

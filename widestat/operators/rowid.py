@@ -1,42 +1,45 @@
 """Distributed row numbers.
 
 ``row_number()`` over a window with no partition sends the whole table to one
-task.  Here rows are hashed into ``buckets`` by the ordering columns and
-numbered inside their bucket.  The id depends only on the values of
-``order_cols``, so it is the same on every recomputation — when those columns
-are unique (ties would be numbered arbitrarily).
-
-dense=False: ``bucket * 2**40 + number in bucket`` — unique, no global step.
-dense=True:  1..N, shifted by the running count of the buckets before (a
-             ``buckets``-row table: one small single-partition step).
+task.  Here the rows are range-partitioned by the ordering columns, sorted
+within each partition and written once under the shared checkpoint folder with
+their place, so the numbers are fixed whatever is recomputed later.  The
+number of partitions follows the data (adaptive execution), no key is hashed.
+
+dense=True:  1..N in order, by the row counts of the partitions before.
+dense=False: the place itself (partition and row), unique and in order.
+
+Equal in all ordering columns, rows are numbered in any order among themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from widestat.session import scratch_path
 
-BUCKET_SHIFT = 1 << 40
+#: ``monotonically_increasing_id`` holds the partition above this bit.
+ROW_BITS = 33
 
 
-def with_row_id(df: DataFrame, order_cols: Sequence[str], id_col: str = "row_id",
-                buckets: int | None = None, dense: bool = True) -> DataFrame:
+def with_row_id(df: DataFrame, order_cols: Sequence[str], id_col: str = "row_id", dense: bool = True) -> DataFrame:
     spark = df.sparkSession
-    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64(*order_cols), F.lit(n_buckets))
-    tagged = df.withColumn("__bucket", bucket)
-    within = Window.partitionBy("__bucket").orderBy(*order_cols)
-    numbered = tagged.withColumn("__rn", F.row_number().over(within))
+    path = scratch_path(spark, "row-id")
+    (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+     .withColumn("__place", F.monotonically_increasing_id()).write.parquet(path))
+    placed = spark.read.parquet(path)
     if not dense:
-        return (numbered.withColumn(id_col, F.col("__bucket") * F.lit(BUCKET_SHIFT) + F.col("__rn"))
-                .drop("__bucket", "__rn"))
-    sizes = tagged.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # `sizes` has at most `n_buckets` rows: a fixed bound, safe to broadcast.
-    offsets = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    return (numbered.join(F.broadcast(offsets), "__bucket")
-            .withColumn(id_col, F.col("__off") + F.col("__rn"))
-            .drop("__bucket", "__rn", "__off"))
+        return placed.withColumnRenamed("__place", id_col)
+    part = F.shiftright("__place", ROW_BITS)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row a partition
+    before, offsets = 0, []
+    for r in sizes:
+        offsets.append((r["part"], before))
+        before += r["n"]
+    starts = spark.createDataFrame(offsets, "__part long, __before long")
+    numbered = placed.join(starts, part == F.col("__part"))
+    row = F.col("__place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return numbered.select(*df.columns, (F.col("__before") + row + 1).alias(id_col))

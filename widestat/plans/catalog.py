@@ -18,17 +18,18 @@ from widestat.functions.cells import clean_cell
 from widestat.operators.clean import clean_measures, domain_profile
 from widestat.operators.keys import restrict, split_key, split_key_pivot_form
 from widestat.operators.reshape import crosstab, stratum_crosstab, wide_to_long
-from widestat.operators.slices import SLICE_SOURCE, SliceParams, joined_aggregate, one_slice
+from widestat.operators.rowid import with_row_id
+from widestat.operators.slices import SLICE_SOURCE, SliceParams, one_slice
 from widestat.operators.translate import relabel, relabel_age, shorten, translate
 from widestat.operators.trends import co_movement, risers, series_gap, trend
 from widestat.plans import cube, etl
 from widestat.session import scratch_path
-from widestat.sources.codelist import load_codes, write_code_rows
+from widestat.sources.codelist import flatten_codes, load_codes, write_code_lists, write_code_rows
 from widestat.sources.published import publish, read_feed, read_published
-from widestat.sources.wide import read_wide, write_wide
+from widestat.sources.wide import preview, read_wide, write_wide
 from widestat.streaming.feed import feed_schema, write_stream_feed
 from widestat.streaming.runner import read_file_stream, run_stream
-from widestat.streaming.windowed import windowed_max
+from widestat.streaming.windowed import windowed_max, with_open_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,13 +53,13 @@ PART_LABEL_PAIRS = (
 )
 PART_TYPE_LABELS = {"ECONOMY": "Budget", "LARGE": "Big", "SMALL": "Little", "PROMO": "Offer"}
 WINDOW = "5 weeks"
-# Stream replay: each year folder is written by FEED_FILES_PER_YEAR tasks and a
-# micro-batch takes FILES_PER_TRIGGER files (the notebooks used 1, a demo value).
-FEED_FILES_PER_YEAR = 2
 # Event stream: daily windows, closed one hour after the newest event seen.
 EVENT_WINDOW = "1 day"
 EVENT_DELAY = "1 hour"
+# Stream replay: files of a micro-batch (the notebooks used 1, a demo value).
 FILES_PER_TRIGGER = 8
+# A mapping of more than a few entries: day of the year -> month-like label.
+DAY_LABELS = {str(d): f"day {d:03d}" for d in range(1, 367) if d % 7}
 
 
 def _split_w(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,8 +67,9 @@ def _split_w(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_wide_tsv_scan(spark, sf):
-    path = write_wide(cube.orders_wide(spark, sf), scratch_path(spark, "wide-tsv"))
-    return read_wide(spark, path, cube.YEARS)
+    # Newest year first in the file, as published; read by name.
+    wide = cube.orders_wide(spark, sf).select("key", *[str(y) for y in reversed(cube.YEARS)])
+    return read_wide(spark, write_wide(wide, scratch_path(spark, "wide-tsv")), cube.YEARS)
 
 
 def q_csv_roundtrip(spark, sf):
@@ -78,15 +80,14 @@ def q_csv_roundtrip(spark, sf):
 
 def _orders_feed(spark, sf) -> tuple[str, T.StructType]:
     orders = cube.table(spark, sf, "orders").withColumn("Year", F.year("o_orderdate"))
-    path = write_stream_feed(orders, scratch_path(spark, "orders-feed"), "Year",
-                             files_per_value=FEED_FILES_PER_YEAR)
+    path = write_stream_feed(orders, scratch_path(spark, "orders-feed"), "Year")
     return path, feed_schema(orders.schema, "Year", T.TimestampNTZType())
 
 
 def q_partitioned_feed_scan(spark, sf):
     path, schema = _orders_feed(spark, sf)
     feed = read_feed(spark, path, schema)
-    return feed.filter(F.year("Year") > 1996).withColumn("Year", F.year("Year"))
+    return feed.filter(F.col("Year") >= F.lit("1997-01-01").cast("timestamp_ntz")).withColumn("Year", F.year("Year"))
 
 
 def q_clean_int(spark, sf):
@@ -137,14 +138,95 @@ def q_translate_customer_names(spark, sf):
                      unique_codes=True)
 
 
-JOINED_SCHEMA = "Country string, Year int, Births int, F double, O double, P double"
+_PUBLISHED: dict[tuple[str, str], dict[str, str]] = {}
 
 
-def q_published_slice_n5(spark, sf):
-    out = etl.from_orders(spark, sf)
-    paths = etl.publish_all(out, scratch_path(spark, "analysis"), feed=False)
-    joined = read_published(spark, paths["joined-global"], schema=JOINED_SCHEMA)
-    return joined_aggregate(joined, ORDER_SLICES)
+def _published(spark, sf) -> dict[str, str]:
+    """The whole flow from files, once per application and input: wide TSVs
+    (newest year first) and structure files are written from the order tables,
+    run through ``from_files`` with all four key parts translated, and
+    published; returns the paths of the nine datasets and the feed."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PUBLISHED:
+        base = scratch_path(spark, "files")
+        years = [str(y) for y in reversed(cube.YEARS)]
+        counts = cube.order_counts(spark, sf)
+        births = write_wide(cube.births_wide(spark, sf, counts).select("key", *years), f"{base}/births.tsv")
+        education = write_wide(cube.orders_wide(spark, sf, counts).select("key", *years), f"{base}/education.tsv")
+        geo = cube.structure_rows(spark, sf).filter(F.col("code_list") == cube.GEO_LIST)
+        births_dsd = write_code_lists(geo, f"{base}/births-dsd")
+        education_dsd = write_code_lists(cube.education_structure_rows(spark, sf), f"{base}/education-dsd")
+        out = etl.from_files(spark, births, births_dsd, education, education_dsd, shape=etl.ORDER_SHAPE)
+        _PUBLISHED[key] = etl.publish_all(out, f"{base}/published")
+    return _PUBLISHED[key]
+
+
+PUBLISHED = ("natality", *(f"{kind}-{label}" for label in etl.STRATUM_OUTPUT.values() for kind in ("joined", "education")))
+
+
+def _published_schema(name: str) -> str:
+    return (etl.NATALITY_SCHEMA if name == "natality" else
+            etl.JOINED_CT_SCHEMA if name.startswith("joined") else etl.EDUCATION_CT_SCHEMA)
+
+
+def _published_query(name: str) -> Query:
+    def q(spark, sf):
+        return read_published(spark, _published(spark, sf)[name], schema=_published_schema(name))
+    q.__name__ = f"q_published_{name}"
+    return q
+
+
+def q_published_inferred(spark, sf):
+    # The analysis notebook's own read: types inferred from the CSV.
+    return read_published(spark, _published(spark, sf)["joined-global"], infer=True)
+
+
+def q_published_feed(spark, sf):
+    data = T._parse_datatype_string(etl.FEED_DATA_SCHEMA)
+    feed = read_feed(spark, _published(spark, sf)["stream"], feed_schema(data, "Year", T.TimestampNTZType()))
+    return feed.withColumn("Year", F.year("Year"))
+
+
+def _published_slice(sid: str) -> Query:
+    def q(spark, sf):
+        paths = _published(spark, sf)
+        name = {"births": "natality", "education": "education-global", "joined": "joined-global"}[SLICE_SOURCE[sid]]
+        return one_slice(sid, read_published(spark, paths[name], schema=_published_schema(name)), ORDER_SLICES)
+    q.__name__ = f"q_published_slice_{sid}"
+    return q
+
+
+def q_codelist_structure_xml(spark, sf):
+    path = write_code_lists(cube.structure_rows(spark, sf), scratch_path(spark, "structure"))
+    return flatten_codes(load_codes(spark, path, "en")).select("code", "description")
+
+
+def q_relabel_long_mapping(spark, sf):
+    orders = cube.table(spark, sf, "orders").select(
+        "o_orderkey", F.dayofyear("o_orderdate").cast("string").alias("day"))
+    return relabel(orders, "day", DAY_LABELS)
+
+
+def q_row_number(spark, sf):
+    orders = cube.table(spark, sf, "orders").select("o_orderdate", "o_orderkey")
+    return with_row_id(orders, ["o_orderdate", "o_orderkey"], "row_id").select("o_orderkey", "row_id")
+
+
+def q_translate_one_join(spark, sf):
+    # Two columns through a dictionary that grows with the data, in one join.
+    lines = cube.table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("string").alias("customer"),
+        F.pmod("o_orderkey", F.lit(1000)).cast("string").alias("contact"))
+    return translate(lines, {"customer": cube.CUSTOMER_LIST, "contact": cube.CUSTOMER_LIST},
+                     cube.customer_codes(spark, sf), unique_codes=True, row_key="o_orderkey")
+
+
+def q_preview_lines(spark, sf):
+    # The first raw lines of a source, a fixed number by design.
+    wide = cube.orders_wide(spark, sf).select("key", *[str(y) for y in reversed(cube.YEARS)])
+    path = write_wide(wide, scratch_path(spark, "preview"))
+    lines = preview(spark, path, 10)
+    return lines.agg(F.count("*").alias("n"), F.min(F.size(F.split("value", "\t"))).alias("fields"))
 
 
 def _codes_xml(spark, sf) -> str:
@@ -211,7 +293,7 @@ def q_crosstab_all_segments(spark, sf):
         cube.orders_wide(spark, sf), cube.nation_codes(spark, sf), cube.YEARS, cube.EDU_KEY_NAMES,
         {"Country": cube.GEO_LIST}, {}, sum_over=["Citizen"], label_pairs=())
     return crosstab(education, ["Country", "Year"], "Education_Attainment", cube.ATTAINMENT_VALUES,
-                    "Proportion", "Age", cube.STRATA["global"])
+                    "Proportion", "Age", cube.STRATA["global"], unlisted="fail")
 
 
 def _joined(name: str) -> Query:
@@ -238,7 +320,7 @@ def q_lineitem_crosstab(spark, sf):
                       cube.nation_codes(spark, sf))
     long = wide_to_long(named, ["Flag", "Status", "Country"], cube.YEARS, "Year", "Quantity")
     ct = stratum_crosstab(long, cube.LINE_STRATA, "Status", ["Country", "Year"], "Flag",
-                          cube.FLAG_VALUES, "Quantity")
+                          cube.FLAG_VALUES, "Quantity", unlisted="fail")
     return ct.filter(F.col("stratum") == "finished").drop("stratum")
 
 
@@ -256,8 +338,7 @@ def q_windowed_max_stream(spark, sf):
 
 def q_stream_sql(spark, sf):
     education = etl.from_orders(spark, sf).education
-    path = write_stream_feed(education, scratch_path(spark, "education-feed"), "Year",
-                             files_per_value=FEED_FILES_PER_YEAR)
+    path = write_stream_feed(education, scratch_path(spark, "education-feed"), "Year")
     schema = feed_schema(education.schema, "Year", T.TimestampNTZType())
     stream = read_file_stream(spark, path, schema, max_files_per_trigger=FILES_PER_TRIGGER)
     agg = windowed_max(stream, ["Country"], "Year", "Proportion", WINDOW, min_year=1995)
@@ -265,15 +346,29 @@ def q_stream_sql(spark, sf):
     return spark.sql("SELECT Country, window_start, window_end, max_Proportion FROM counts")
 
 
-def q_windowed_max_watermark(spark, sf):
+def _events_feed(spark, sf) -> tuple[str, T.StructType]:
     events = (cube.table(spark, sf, "events").select("event_type", "ts", "value")
               .withColumn("day", F.to_date("ts")))
-    path = write_stream_feed(events, scratch_path(spark, "events-feed"), "day", year_int=False,
-                             files_per_value=FEED_FILES_PER_YEAR)
-    stream = read_file_stream(spark, path, feed_schema(events.schema, "day", T.DateType()),
-                              max_files_per_trigger=None)
+    path = write_stream_feed(events, scratch_path(spark, "events-feed"), "day", year_int=False)
+    return path, feed_schema(events.schema, "day", T.DateType())
+
+
+def q_windowed_max_watermark(spark, sf):
+    # Append output yields a window once the watermark has passed its end; the
+    # windows still open when the input ends are closed from the feed itself.
+    path, schema = _events_feed(spark, sf)
+    stream = read_file_stream(spark, path, schema, max_files_per_trigger=FILES_PER_TRIGGER)
     agg = windowed_max(stream, ["event_type"], "ts", "value", EVENT_WINDOW, watermark=EVENT_DELAY)
-    return run_stream(agg, "events_daily_max", "append")
+    closed = run_stream(agg, "events_daily_max", "append")
+    return with_open_windows(closed, read_feed(spark, path, schema), ["event_type"], "ts", "value", EVENT_WINDOW)
+
+
+def q_windowed_max_update(spark, sf):
+    # The form for feeds that grow: bounded state, changed rows only.
+    path, schema = _events_feed(spark, sf)
+    stream = read_file_stream(spark, path, schema, max_files_per_trigger=FILES_PER_TRIGGER)
+    agg = windowed_max(stream, ["event_type"], "ts", "value", EVENT_WINDOW, watermark="3650 days")
+    return run_stream(agg, "events_daily_max_update", "update", keys=["event_type", "window_start", "window_end"])
 
 
 def q_trend(spark, sf):
@@ -326,7 +421,20 @@ def queries() -> dict[str, Query]:
         reg[f"join_facts_{s}"] = _joined(s)
     for i in range(1, 14):
         reg[f"slice_n{i}"] = _slice(f"n{i}")
-    reg["published_slice_n5"] = q_published_slice_n5
+    for name in PUBLISHED:
+        reg[f"published_{name.replace('-', '_')}"] = _published_query(name)
+    reg["published_inferred"] = q_published_inferred
+    reg["published_feed"] = q_published_feed
+    for i in range(1, 14):
+        reg[f"published_slice_n{i}"] = _published_slice(f"n{i}")
+    reg.update({
+        "codelist_structure_xml": q_codelist_structure_xml,
+        "relabel_long_mapping": q_relabel_long_mapping,
+        "row_number": q_row_number,
+        "translate_one_join": q_translate_one_join,
+        "preview_lines": q_preview_lines,
+        "windowed_max_update": q_windowed_max_update,
+    })
     reg["lineitem_crosstab"] = q_lineitem_crosstab
     reg.update({
         "windowed_max_batch": q_windowed_max_batch,

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 # Fixed parameters of the order-table analog.
 YEARS = tuple(range(1995, 2002))
 EDU_KEY_NAMES = ("Education_Attainment", "Citizen", "Age", "Country")
-EDU_IDS = ("Education_Attainment", "Age", "Country")
 CITIZEN_TOTAL = "BUILDING"
 ATTAINMENT_VALUES = ("F", "O", "P")
 STRATA = {
@@ -34,44 +33,32 @@ REGION_LIST = "REGION"
 CUSTOMER_LIST = "CUSTOMER"
 
 
-_READERS: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The driver table ``name``."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver table ``name``; one reader per session and path, so a plan
-    that uses a table twice holds one relation (and can reuse its exchanges).
-    The driver tables are read-only, so the file listing stays valid."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    hit = _READERS.get(key)
-    if hit is None or hit[0] is not spark:
-        hit = (spark, spark.read.parquet(path))
-        _READERS[key] = hit
-    return hit[1]
-
-
-def order_counts(spark: SparkSession, sf_dir: str, pre_aggregate: bool = True) -> DataFrame:
-    """Orders per (customer, status, priority, year), joined to the customer's
-    segment and nation.
-
-    pre_aggregate=True: count before the join.  Each task folds its own rows
-    first, so a customer holding a third of all orders reaches the join as at
-    most 3 x 5 x years rows per task — skew-proof without relying on AQE.  The
-    price is a second shuffle of the counts (the join needs them by customer).
-    pre_aggregate=False: join first, count after (one shuffle of the orders
-    fewer); a hot customer is then left to AQE's skew-join split, and the
-    count is still partial per task before its own (small) exchange.
+def listed_year(day: str) -> F.Column:
+    """The year of a date; a year without a column is an error, not a loss."""
+    y = F.year(day)
+    message = F.concat(F.lit(f"{day} lies outside {YEARS[0]} to {YEARS[-1]}: year "), F.coalesce(y.cast("string"), F.lit("null")))
+    return F.when(y.between(YEARS[0], YEARS[-1]), y).otherwise(F.raise_error(message).cast("int"))
+
+
+def order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders per (status, segment, priority, nation, year).
+
+    Join first: the orders are shuffled once by customer, or not at all while
+    the customers fit a broadcast, and the count after it folds per task, so
+    its own exchange holds a few rows per task and key.  A customer with very
+    many orders is cut by the adaptive skew join.
     """
     orders = table(spark, sf_dir, "orders").select(
-        "o_custkey", "o_orderstatus", "o_orderpriority",
-        F.year("o_orderdate").alias("y"))
+        "o_custkey", "o_orderstatus", "o_orderpriority", listed_year("o_orderdate").alias("y"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    if pre_aggregate:
-        counted = (orders.groupBy("o_custkey", "o_orderstatus", "o_orderpriority", "y")
-                   .agg(F.count(F.lit(1)).alias("n")))
-        return counted.join(customer, counted["o_custkey"] == customer["c_custkey"], "inner")
-    joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "inner")
-    return joined.withColumn("n", F.lit(1).cast("bigint"))
+    return (orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+            .groupBy("o_orderstatus", "c_mktsegment", "o_orderpriority", "c_nationkey", "y")
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 def _flagged(count_col: str, flag: str, every: int) -> F.Column:
@@ -108,14 +95,15 @@ def orders_wide(spark: SparkSession, sf_dir: str, counts: DataFrame | None = Non
 
 def births_wide(spark: SparkSession, sf_dir: str, counts: DataFrame | None = None) -> DataFrame:
     """Births-shaped table: key ``NORD,<nationkey>`` per nation plus a bare
-    ``NORD`` total row, cells flagged `` p`` when the count is 1 mod 3."""
+    ``NORD`` total row and the same total under a null key (both of which the
+    births flow drops), cells flagged `` p`` when the count is 1 mod 3."""
     counts = order_counts(spark, sf_dir) if counts is None else counts
     per_nation = counts.groupBy(
         F.concat(F.lit(BIRTHS_INDICATOR + ","), F.col("c_nationkey").cast("string")).alias("key")
     ).agg(*_year_sums())
     total = per_nation.agg(*[F.expr(f"sum(n{y})").alias(f"n{y}") for y in YEARS]).select(
         F.lit(BIRTHS_INDICATOR).alias("key"), *[f"n{y}" for y in YEARS])
-    both = per_nation.unionByName(total)
+    both = per_nation.unionByName(total).unionByName(total.withColumn("key", F.lit(None).cast("string")))
     return both.select("key", *[_flagged(f"n{y}", "p", 3).alias(str(y)) for y in YEARS])
 
 
@@ -159,6 +147,56 @@ def code_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.unionByName(nation).unionByName(region)
 
 
+def structure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code rows for structure files of unequal sizes, several lists each:
+    customers in lists of a thousand, then nations, then regions.  Codes 0-4
+    stand in all three, so a flattened lookup takes the region."""
+    def d(lang: str, text: F.Column) -> F.Column:
+        return F.struct(F.lit(lang).alias("lang"), text.alias("text"))
+
+    def rows(name: str, key: str, text: str, file: F.Column, code_list: F.Column) -> DataFrame:
+        return table(spark, sf_dir, name).select(
+            file.alias("file"), code_list.alias("code_list"), F.col(key).cast("string").alias("code"),
+            F.col(key).cast("bigint").alias("code_pos"),
+            F.array(d("en", F.col(text)), d("fr", F.lower(text))).alias("descriptions"))
+
+    thousand = F.floor(F.col("c_custkey") / 1000)
+    return (rows("customer", "c_custkey", "c_name", F.concat(F.lit("a-customer-"), F.lpad(F.floor(thousand / 100).cast("string"), 6, "0")),
+                 F.concat(F.lit("CUSTOMER_"), F.lpad(thousand.cast("string"), 9, "0")))
+            .unionByName(rows("nation", "n_nationkey", "n_name", F.lit("b-geo"), F.lit(GEO_LIST)))
+            .unionByName(rows("region", "r_regionkey", "r_name", F.lit("c-region"), F.lit(REGION_LIST))))
+
+
+# Descriptions of the order table's own codes, for the flow from files.
+STATUS_TEXT = {"F": "Finished", "O": "Open", "P": "Pending"}
+PRIORITY_TEXT = {"1-URGENT": "From 18 to 24 years", "2-HIGH": "From 25 to 34 years", "3-MEDIUM": "From 18 to 74 years",
+                 "4-NOT SPECIFIED": "From 25 to 54 years", "5-LOW": "From 55 to 74 years"}
+SEGMENT_TEXT = {CITIZEN_TOTAL: "Total"}
+
+
+def education_structure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure files for the four-part order key, two files: the nations in
+    one, statuses, priorities and segments in the other.  Codes and texts come
+    from the tables; only the wording of the fixed codes is declared."""
+    def d(text: F.Column) -> F.Column:
+        return F.array(F.struct(F.lit("en").alias("lang"), text.alias("text")))
+
+    def worded(name: str, col: str, code_list: str, texts: dict[str, str]) -> DataFrame:
+        text = F.col(col)
+        for code, words in texts.items():
+            text = F.when(F.col(col) == code, F.lit(words)).otherwise(text)
+        return (table(spark, sf_dir, name).select(F.col(col)).distinct()
+                .select(F.lit("b-dimensions").alias("file"), F.lit(code_list).alias("code_list"), F.col(col).alias("code"),
+                        F.lit(0).cast("bigint").alias("code_pos"), d(text).alias("descriptions")))
+
+    nation = table(spark, sf_dir, "nation").select(
+        F.lit("a-geo").alias("file"), F.lit(GEO_LIST).alias("code_list"), F.col("n_nationkey").cast("string").alias("code"),
+        F.col("n_nationkey").cast("bigint").alias("code_pos"), d(F.col("n_name")).alias("descriptions"))
+    return (nation.unionByName(worded("orders", "o_orderstatus", "STATUS", STATUS_TEXT))
+            .unionByName(worded("orders", "o_orderpriority", "PRIORITY", PRIORITY_TEXT))
+            .unionByName(worded("customer", "c_mktsegment", "SEGMENT", SEGMENT_TEXT)))
+
+
 def price_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One money cell per order, written like a published decimal cell:
     ``112946.26`` plain, `` e`` flagged for finished orders, a trailing dot
@@ -209,7 +247,7 @@ def lineitem_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows per task — and the supplier table is broadcast only while small.
     """
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", F.year("l_shipdate").alias("y"))
+        "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", listed_year("l_shipdate").alias("y"))
     summed = (lines.groupBy("l_suppkey", "l_returnflag", "l_linestatus", "y")
               .agg(F.sum("l_quantity").alias("q")))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")

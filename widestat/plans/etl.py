@@ -13,6 +13,7 @@ Nothing is collected; the only actions are the writes in ``publish_all``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from widestat.operators.keys import restrict, split_key
 from widestat.operators.reshape import stratum_crosstab, wide_to_long
 from widestat.operators.translate import relabel, relabel_age, shorten, translate
 from widestat.plans import cube
-from widestat.session import scratch_path
+from widestat.session import drop_scratch, scratch_path
 from widestat.sources.codelist import load_codes
 from widestat.sources.published import publish
 from widestat.sources.wide import read_wide
@@ -42,6 +43,25 @@ EDUCATION_STRATA = {
     "old": ("55-74",),
 }
 ATTAINMENT_VALUES = ("Secondary", "Tertiary", "Vocational")
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What differs between one pair of input files and another."""
+
+    births_years: tuple[int, ...] = BIRTHS_YEARS
+    education_years: tuple[int, ...] = EDUCATION_YEARS
+    indicator: str = BIRTHS_INDICATOR
+    key_names: tuple[str, ...] = EDUCATION_KEY_NAMES
+    fixed: tuple[tuple[str, str], ...] = (("Citizen", "Total"),)
+    sum_over: tuple[str, ...] = ("Unit", "Sex")
+    attainment_labels: tuple[tuple[str, str], ...] = tuple(ATTAINMENT_LABELS.items())
+    attainment_values: tuple[str, ...] = ATTAINMENT_VALUES
+
+
+#: The order table as files: a four-part key, all four parts translated.
+ORDER_SHAPE = Shape(cube.YEARS, cube.YEARS, cube.BIRTHS_INDICATOR, cube.EDU_KEY_NAMES, sum_over=(),
+                    attainment_labels=(("Finished", "Secondary"), ("Open", "Tertiary"), ("Pending", "Vocational")))
 STRATUM_OUTPUT = {"global": "global", "young": "young", "middle": "middle-age", "old": "old"}
 
 
@@ -95,7 +115,7 @@ def natality_long(wide: DataFrame, codes: DataFrame, years: Sequence[int], indic
                   code_list: str | None = None, label_pairs=REGION_LABEL_PAIRS,
                   missing: str = "zero", unique_codes: bool = False) -> DataFrame:
     """Births wide table -> ``(Country, Year, Births)``."""
-    clean = clean_measures(wide, years, kind="int", missing=missing, drop_keys=[indicator])
+    clean = clean_measures(wide, years, kind="long", missing=missing, drop_keys=[indicator])
     named = translate(clean, {"key": code_list}, codes, prefix=indicator, unique_codes=unique_codes)
     named = shorten(named.withColumnRenamed("key", "Country"), "Country", label_pairs)
     return wide_to_long(named, ["Country"], years, "Year", "Births")
@@ -148,51 +168,58 @@ def from_orders(spark: SparkSession, sf_dir: str, missing: str = "zero") -> Outp
         unique_codes=True))
     crosstab = once("crosstab", lambda: stratum_crosstab(
         education(), cube.STRATA, "Age", ["Country", "Year"], "Education_Attainment",
-        cube.ATTAINMENT_VALUES, "Proportion"))
+        cube.ATTAINMENT_VALUES, "Proportion", unlisted="fail"))
     return Outputs(natality, education, crosstab, tuple(cube.STRATA))
 
 
 def from_files(spark: SparkSession, births_tsv: str, births_dsd: str, education_tsv: str,
                education_dsd: str, lang: str = "en", missing: str = "zero",
                education_lists: Mapping[str, str | None] | None = None,
-               sum_over: Sequence[str] = ("Unit", "Sex"),
-               births_years: Sequence[int] = BIRTHS_YEARS,
-               education_years: Sequence[int] = EDUCATION_YEARS) -> Outputs:
-    """The whole flow on the real inputs.
+               sum_over: Sequence[str] | None = None,
+               births_years: Sequence[int] | None = None,
+               education_years: Sequence[int] | None = None, shape: Shape = Shape()) -> Outputs:
+    """The whole flow on files.
 
     education_lists: code list per dimension (``None`` = look the code up in
         every list, the notebooks' flattened behaviour).
     sum_over: dimensions dropped without fixing a value (the notebooks drop
         unit and sex and let the cross-tab add across them).
-    births_years / education_years: the year columns of each file, in order
-        (newer releases of the tables carry more years).
+    births_years / education_years: the year columns of each file (newer
+        releases of the tables carry more years).
+    shape: the files' key, years and labels; the real inputs' by default.
     """
-    births_codes = load_codes(spark, births_dsd, lang)
-    education_codes = load_codes(spark, education_dsd, lang)
-    natality = natality_long(read_wide(spark, births_tsv, births_years), births_codes,
-                             births_years, BIRTHS_INDICATOR, missing=missing)
-    lists = education_lists or {c: None for c in EDUCATION_KEY_NAMES}
+    b_years, e_years = tuple(births_years or shape.births_years), tuple(education_years or shape.education_years)
+    natality = natality_long(read_wide(spark, births_tsv, b_years), load_codes(spark, births_dsd, lang),
+                             b_years, shape.indicator, missing=missing)
+    lists = education_lists or {c: None for c in shape.key_names}
     education = education_long(
-        read_wide(spark, education_tsv, education_years), education_codes, education_years,
-        EDUCATION_KEY_NAMES, lists, {"Citizen": "Total"}, sum_over=sum_over,
-        attainment_labels=ATTAINMENT_LABELS, age_bands=True, missing=missing)
+        read_wide(spark, education_tsv, e_years), load_codes(spark, education_dsd, lang), e_years,
+        shape.key_names, lists, dict(shape.fixed), sum_over=shape.sum_over if sum_over is None else sum_over,
+        attainment_labels=dict(shape.attainment_labels), age_bands=True, missing=missing)
     crosstab = stratum_crosstab(education, EDUCATION_STRATA, "Age", ["Country", "Year"],
-                                "Education_Attainment", ATTAINMENT_VALUES, "Proportion")
+                                "Education_Attainment", shape.attainment_values, "Proportion", unlisted="fail")
     return Outputs(natality, education, crosstab)
 
 
 def settle(out: Outputs) -> Outputs:
-    """Write the reused intermediates (births long, all-strata cross-tab) as
-    Parquet under the shared checkpoint folder and continue from those
-    tables: the nine outputs then read them instead of recomputing the
-    unpivot and aggregation, and a lost executor costs a re-read, not the
-    whole lineage."""
+    """Write the reused intermediates (births long, education long, all-strata
+    cross-tab) as Parquet under the shared checkpoint folder and continue from
+    those tables: the nine outputs and the feed then read them instead of
+    recomputing the unpivot and aggregation, and a lost executor costs a
+    re-read, not the whole lineage.  ``drop_settled`` deletes them."""
     spark = out.natality.sparkSession
-    nat_path = scratch_path(spark, "natality")
-    ct_path = scratch_path(spark, "crosstab")
-    out.natality.write.mode("overwrite").parquet(nat_path)
-    out.crosstab.write.mode("overwrite").partitionBy("stratum").parquet(ct_path)
-    return Outputs(spark.read.parquet(nat_path), out.education, spark.read.parquet(ct_path), out.strata)
+    base = scratch_path(spark, "settled")
+    out.natality.write.parquet(f"{base}/natality")
+    out.crosstab.write.partitionBy("stratum").parquet(f"{base}/crosstab")
+    out.education.write.parquet(f"{base}/education")
+    parts = {"natality": out.natality, "education": out.education, "crosstab": out.crosstab}
+    settled = Outputs(*(spark.read.schema(df.schema).parquet(f"{base}/{p}") for p, df in parts.items()), out.strata)
+    settled.scratch = base
+    return settled
+
+
+def drop_settled(settled: Outputs) -> None:
+    drop_scratch(settled.natality.sparkSession, settled.scratch)
 
 
 def publish_all(out: Outputs, base: str, fmt: str = "csv", feed: bool = True,
@@ -208,14 +235,15 @@ def publish_all(out: Outputs, base: str, fmt: str = "csv", feed: bool = True,
     if parquet_base:
         publish(settled.datasets(), parquet_base, "parquet")
     if feed:
-        paths["stream"] = write_stream_feed(out.education, f"{base.rstrip('/')}/stream", "Year")
+        paths["stream"] = write_stream_feed(settled.education, f"{base.rstrip('/')}/stream", "Year")
+    drop_settled(settled)
     return paths
 
 
 # Declared schemas of the published datasets (no inference pass on read).
-NATALITY_SCHEMA = "Country string, Year int, Births int"
+NATALITY_SCHEMA = "Country string, Year int, Births bigint"
 EDUCATION_CT_SCHEMA = "Country string, Year int, Secondary double, Tertiary double, Vocational double"
-JOINED_CT_SCHEMA = ("Country string, Year int, Births int, Secondary double, Tertiary double, "
+JOINED_CT_SCHEMA = ("Country string, Year int, Births bigint, Secondary double, Tertiary double, "
                     "Vocational double")
 FEED_DATA_SCHEMA = "Education_Attainment string, Age string, Country string, Proportion double"
 

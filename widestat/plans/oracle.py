@@ -3,7 +3,8 @@ over the same parquet tables (registered as views under their names)."""
 
 from __future__ import annotations
 
-from widestat.plans import cube
+from widestat.operators.slices import SLICE_SOURCE
+from widestat.plans import cube, etl
 from widestat.plans.catalog import ORDER_SLICES, PART_LABEL_PAIRS, PART_TYPE_LABELS
 
 YEARS = cube.YEARS
@@ -20,11 +21,11 @@ def _cells(every: int, flag: str) -> str:
         for y in YEARS)
 
 
-def clean_int(cell: str, missing: str = "zero") -> str:
+def clean_int(cell: str, missing: str = "zero", kind: str = "INTEGER") -> str:
     if missing == "zero":
-        return f"TRY_CAST(regexp_replace(regexp_replace({cell}, ':', '0', 'g'), '[^0-9]', '', 'g') AS INTEGER)"
+        return f"TRY_CAST(regexp_replace(regexp_replace({cell}, ':', '0', 'g'), '[^0-9]', '', 'g') AS {kind})"
     return (f"CASE WHEN contains({cell}, ':') THEN NULL ELSE "
-            f"TRY_CAST(regexp_replace({cell}, '[^0-9]', '', 'g') AS INTEGER) END")
+            f"TRY_CAST(regexp_replace({cell}, '[^0-9]', '', 'g') AS {kind}) END")
 
 
 def clean_double(cell: str) -> str:
@@ -57,9 +58,9 @@ B AS (
     {_cells(3, 'p')}
   FROM bcnt GROUP BY nk
   UNION ALL
-  SELECT 'NORD' AS key,
+  SELECT unnest(['NORD', NULL]) AS key, btot_w.* FROM (SELECT
     {_cells(3, 'p')}
-  FROM btot)"""
+  FROM btot) btot_w)"""
 
 YEAR_COLS = ", ".join(f'"{y}"' for y in YEARS)
 
@@ -72,7 +73,7 @@ def _unpivot(src: str, ids: str, value: str) -> str:
 NAT_CTE = f"""{B_CTE},
 nat_w AS (
   SELECT coalesce(n.n_name, B.key) AS Country,
-    {", ".join(f'{clean_int(chr(34) + str(y) + chr(34))} AS "{y}"' for y in YEARS)}
+    {", ".join(f'{clean_int(chr(34) + str(y) + chr(34), kind="BIGINT")} AS "{y}"' for y in YEARS)}
   FROM B LEFT JOIN nation n ON B.key = 'NORD,' || CAST(n.n_nationkey AS VARCHAR)
   WHERE B.key <> 'NORD'),
 nat AS (
@@ -247,7 +248,39 @@ FROM W WHERE split_part(key, ',', 2) = '{cube.CITIZEN_TOTAL}'""",
     for s in cube.STRATA:
         out[f"join_facts_{s}"] = _joined_sql(s)
     out.update(_slice_sql())
-    out["published_slice_n5"] = out["slice_n5"]
+    # The flow from files: the same cells, translated and relabelled.
+    words = {v: w for v, (_, w) in zip(cube.ATTAINMENT_VALUES, etl.ORDER_SHAPE.attainment_labels)}
+    ct_cols = ", ".join(f'"{v}" AS "{w}"' for v, w in words.items())
+    out["published_natality"] = out["natality_long"]
+    for s, label in etl.STRATUM_OUTPUT.items():
+        name = label.replace("-", "_")
+        out[f"published_education_{name}"] = f'SELECT Country, "Year", {ct_cols} FROM ({out[f"crosstab_{s}"]})'
+        out[f"published_joined_{name}"] = f'SELECT Country, "Year", Births, {ct_cols} FROM ({out[f"join_facts_{s}"]})'
+    out["published_inferred"] = out["published_joined_global"]
+    bands = {code: text.replace("From ", "").replace(" to ", "-").replace(" years", "") for code, text in cube.PRIORITY_TEXT.items()}
+    attainment = "CASE Education_Attainment " + " ".join(f"WHEN {_q(v)} THEN {_q(w)}" for v, w in words.items()) + " END"
+    age = "CASE Age " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in bands.items()) + " END"
+    out["published_feed"] = (f'WITH {EDU_CTE}\nSELECT {attainment} AS Education_Attainment, {age} AS Age, Country, Proportion, '
+                             f'"Year" FROM edu')
+    for i in range(1, 14):
+        sql, source = out[f"slice_n{i}"], SLICE_SOURCE[f"n{i}"]
+        if source != "births":
+            births = "Births, " if source == "joined" else ""
+            sql = f'SELECT Country, "Year", {births}{ct_cols} FROM ({sql})'
+        out[f"published_slice_n{i}"] = sql
+    out["codelist_structure_xml"] = """SELECT code, coalesce(r_name, n_name, c_name) AS description FROM (
+  SELECT CAST(c_custkey AS VARCHAR) AS code FROM customer UNION SELECT CAST(n_nationkey AS VARCHAR) FROM nation
+  UNION SELECT CAST(r_regionkey AS VARCHAR) FROM region)
+LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = code LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = code
+LEFT JOIN region ON CAST(r_regionkey AS VARCHAR) = code"""
+    out["relabel_long_mapping"] = """SELECT o_orderkey, CASE WHEN dayofyear(o_orderdate) % 7 = 0
+  THEN CAST(dayofyear(o_orderdate) AS VARCHAR)
+  ELSE 'day ' || lpad(CAST(dayofyear(o_orderdate) AS VARCHAR), 3, '0') END AS day FROM orders"""
+    out["row_number"] = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_id FROM orders"
+    out["translate_one_join"] = """SELECT o_orderkey, coalesce(a.c_name, CAST(o_custkey AS VARCHAR)) AS customer,
+  coalesce(b.c_name, CAST(o_orderkey % 1000 AS VARCHAR)) AS contact
+FROM orders LEFT JOIN customer a ON a.c_custkey = o_custkey LEFT JOIN customer b ON b.c_custkey = o_orderkey % 1000"""
+    out["preview_lines"] = f"WITH {W_CTE}\nSELECT least(10, count(*) + 1) AS n, {len(YEARS) + 1} AS fields FROM W"
     out["lineitem_crosstab"] = LINE_SQL
     out["translate_customer_names"] = """SELECT o_orderkey, coalesce(c.c_name, CAST(o.o_custkey AS VARCHAR)) AS customer
 FROM orders o LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = CAST(o.o_custkey AS VARCHAR)"""
@@ -264,7 +297,8 @@ FROM ev WHERE year(ts) > 1995 GROUP BY 1, 2, 3"""
     time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY AS window_end,
     max(value) AS max_value
   FROM events GROUP BY 1, 2, 3)
-SELECT * FROM b WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+SELECT * FROM b"""
+    out["windowed_max_update"] = out["windowed_max_watermark"]
     out["trend"] = f"""WITH {NAT_CTE}
 SELECT Country, count(*) AS n, round(regr_slope(CAST(Births AS DOUBLE), CAST("Year" AS DOUBLE)), 6) AS slope,
   min("Year") AS first_t, max("Year") AS last_t,

@@ -8,7 +8,6 @@ session has none (local runs and tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -51,8 +50,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and scratch tables.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  When
-    neither is set — a local run — make a fresh folder under the system temp
-    directory and register it, so later calls agree.
+    neither is set, a local run makes a fresh folder under the system temp
+    directory and registers it, so later calls agree; on a cluster, whose
+    executors could not see such a folder, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -63,6 +63,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         pass
     if root:
         return root.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="widestat-")
     if sc is not None:
         sc.setCheckpointDir(root)
@@ -79,10 +82,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def ensure_local_dir(path: str) -> None:
-    """Create a directory for local file paths (no-op for remote URIs)."""
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path of ours (nothing outside the scratch folder)."""
+    if not path.startswith(f"{checkpoint_root(spark)}/scratch/"):
+        raise ValueError(f"not a scratch path: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @contextmanager

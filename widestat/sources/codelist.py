@@ -33,8 +33,18 @@ CODE_ROW_SCHEMA = T.StructType([
 
 
 def _pick_description(descriptions: Column, lang: str) -> Column:
-    matches = F.filter(descriptions, lambda d: d["_lang"] == F.lit(lang))
-    return F.get(matches, 0)["_VALUE"]
+    """The description in ``lang``; several are joined, none is null."""
+    texts = F.transform(F.filter(descriptions, lambda d: d["_lang"] == F.lit(lang)),
+                        lambda d: F.coalesce(d["_VALUE"], F.lit("")))
+    return F.when(F.size(texts) > 0, F.array_join(texts, ""))
+
+
+def _file_place() -> Column:
+    """Where a row stands: file path, block, order within the block.  The file
+    path decides first, so the sizes of the files and the tasks they are
+    packed into do not matter."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
 
 
 def load_codes(spark: SparkSession, path: str, lang: str = "en", row_tag: str = "CodeList",
@@ -47,15 +57,15 @@ def load_codes(spark: SparkSession, path: str, lang: str = "en", row_tag: str =
         ``code_list=<id>`` folder level when there is one, else null.
     missing ``keep``: a code without a description in ``lang`` gets null (the
         translator then keeps the code); ``empty`` gives ``''`` (parity).
-    ``code_pos`` (list position, position in list) orders codes by place in
-    the files, for last-wins parity.
+    ``code_pos`` orders codes by file path, place of the list in the file and
+    place in the list, for last-wins parity.
     """
     if missing not in ("keep", "empty"):
         raise ValueError("missing must be 'keep' or 'empty'")
     reader = spark.read.format("xml").option("ignoreNamespace", True)
     if row_tag == "CodeList":
         lists = (reader.option("rowTag", "CodeList").schema(LIST_SCHEMA).load(path)
-                 .withColumn("list_pos", F.monotonically_increasing_id()))
+                 .select("_id", "Code", _file_place().alias("list_pos")))
         codes = lists.select(
             F.col("_id").alias("code_list"), "list_pos",
             F.posexplode("Code").alias("pos_in_list", "c"))
@@ -70,8 +80,7 @@ def load_codes(spark: SparkSession, path: str, lang: str = "en", row_tag: str =
             "code_list",
             F.col("_value").alias("code"),
             _pick_description(F.col("Description"), lang).alias("description"),
-            F.struct(F.monotonically_increasing_id().alias("list_pos"),
-                     F.lit(0).cast("bigint").alias("pos")).alias("code_pos"))
+            F.struct(_file_place().alias("list_pos"), F.lit(0).cast("bigint").alias("pos")).alias("code_pos"))
     else:
         raise ValueError("row_tag must be 'CodeList' or 'Code'")
     if missing == "empty":
@@ -90,6 +99,36 @@ def flatten_codes(codes: DataFrame) -> DataFrame:
                     "code_pos"))
 
 
+def write_code_lists(codes: DataFrame, path: str, prefix: str = "structure") -> str:
+    """Write ``(file, code_list, code, code_pos, descriptions)`` as structure
+    files in the published form: one file for each value of ``file`` (a folder
+    level ``file=..``), holding prefixed ``CodeList`` elements with their codes
+    in ``code_pos`` order, the lists by name.  A list is one element, so it is one row here."""
+    def tag(name: str) -> str:
+        return f"{prefix}:{name}" if prefix else name
+
+    def escape(c: Column) -> Column:
+        for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(raw), F.lit(entity))
+        return c
+
+    described = F.array_join(F.transform("descriptions", lambda d: F.concat(
+        F.lit(f'<{tag("Description")} xml:lang="'), d["lang"], F.lit('">'), escape(d["text"]), F.lit(f"</{tag('Description')}>"))), "")
+    code = F.concat(F.lit(f'<{tag("Code")} value="'), escape(F.col("code")), F.lit('">'), described, F.lit(f"</{tag('Code')}>"))
+    lists = codes.groupBy("file", "code_list").agg(F.array_sort(F.collect_list(F.struct("code_pos", code.alias("xml")))).alias("c"))
+    element = F.concat(F.lit(f'<{tag("CodeList")} id="'), F.col("code_list"), F.lit('">'),
+                       F.array_join(F.transform("c", lambda x: x["xml"]), ""), F.lit(f"</{tag('CodeList')}>"))
+    rows = lists.select("file", F.lit(1).alias("part"), "code_list", element.alias("value"))
+    files = codes.select("file").distinct()
+    for part, line in ((0, f'<{prefix or "x"}s:Structure xmlns:{prefix or "x"}s="urn:message" xmlns:{prefix or "x"}="urn:structure">'),
+                       (2, f"</{prefix or 'x'}s:Structure>")):
+        rows = rows.unionByName(files.select("file", F.lit(part).alias("part"), F.lit("").alias("code_list"), F.lit(line).alias("value")))
+    # One task a file: the root's start, the lists as lines in order, its end.
+    (rows.repartition("file").sortWithinPartitions("file", "part", "code_list")
+     .select("file", "value").write.mode("overwrite").partitionBy("file").text(path))
+    return path
+
+
 def write_code_rows(codes: DataFrame, path: str) -> str:
     """Write ``(code_list, code, descriptions array<struct<lang, text>>)`` as
     XML: one ``code_list=<id>`` folder per list, each file a ``CodeList``

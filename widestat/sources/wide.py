@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -22,15 +23,25 @@ def wide_schema(years: Iterable[int], key: str = "key") -> T.StructType:
 
 def read_wide(spark: SparkSession, path: str, years: Iterable[int], key: str = "key",
               sep: str = "\t") -> DataFrame:
-    """Scan a wide TSV (or a folder of them) with a declared schema.
+    """Scan a wide TSV (or a folder of them); year columns bind by their names
+    in the header, blanks around a name ignored, in any order.
 
-    The header line is skipped and columns bind by position, so a header such
-    as ``indic_de,geo\\time`` needs no escaping.  No inference pass.
+    The first column is the key, whatever its header says.  The years of the
+    header must be exactly ``years``: a missing, extra or repeated year fails
+    here.  Every file's header must equal the first one's, or the scan fails.
+    No inference pass over the data; the header costs one small read.
     """
-    return (spark.read.schema(wide_schema(years, key))
-            .option("sep", sep).option("header", True)
-            .option("mode", "PERMISSIVE")
-            .csv(path))
+    wanted = year_columns(years)
+    reader = spark.read.option("sep", sep).option("header", True)
+    header = reader.csv(path).columns
+    named = [name.strip() for name in header[1:]]
+    if sorted(named) != sorted(wanted):
+        raise ValueError(f"{path}: the header has the years {named}, not {wanted}")
+    schema = T.StructType([T.StructField(name, T.StringType(), True) for name in header])
+    rows = reader.schema(schema).option("enforceSchema", False).option("mode", "PERMISSIVE").csv(path)
+    place = {name: i + 1 for i, name in enumerate(named)}
+    rows = rows.toDF(*[f"c{i}" for i in range(len(header))])
+    return rows.select(F.col("c0").alias(key), *[F.col(f"c{place[y]}").alias(y) for y in wanted])
 
 
 def write_wide(df: DataFrame, path: str, sep: str = "\t") -> str:

@@ -8,26 +8,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of one feed file at most, so a stream can bound its micro-batches.
+MAX_RECORDS_PER_FILE = 1_000_000
+
+
 def year_to_timestamp(c: str) -> F.Column:
     """Integer year -> midnight of 1 January (session time zone)."""
     return F.to_timestamp(F.col(c).cast("string"), "yyyy")
 
 
 def write_stream_feed(df: DataFrame, path: str, part_col: str = "Year", year_int: bool = True,
-                      files_per_value: int | None = None) -> str:
+                      max_records_per_file: int = MAX_RECORDS_PER_FILE) -> str:
     """Write ``df`` as headed CSV, one folder per value of ``part_col``.
 
     year_int: ``part_col`` holds an integer year; it becomes a timestamp
         (``Year=2005-01-01 00%3A00%3A00``), as the stream reads event time.
-    files_per_value: spread every folder over this many writer tasks by a
-        hash salt, so a year that holds a third of the rows is still written in
-        parallel; ``None`` writes from the current partitions.
+
+    Rows are rebalanced by folder: adaptive execution cuts a large folder into
+    writer tasks of ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and
+    gathers small ones, so writers grow with the bytes and a year that holds a
+    third of the rows is still written in parallel.
     """
     out = df.withColumn(part_col, year_to_timestamp(part_col)) if year_int else df
-    if files_per_value:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in out.columns]), F.lit(files_per_value))
-        out = out.repartition(F.col(part_col), salt)
-    out.write.mode("overwrite").partitionBy(part_col).option("header", True).csv(path)
+    (out.hint("rebalance", part_col).write.mode("overwrite").partitionBy(part_col)
+     .option("maxRecordsPerFile", max_records_per_file).option("header", True).csv(path))
     return path
 
 

@@ -3,10 +3,13 @@ as a named table that SQL can query."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from widestat.session import scratch_path
+from widestat.session import drop_scratch, scratch_path
 
 
 def read_file_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -21,39 +24,54 @@ def read_file_stream(spark: SparkSession, path: str, schema: T.StructType,
     return reader.format(fmt).load(path)
 
 
-def _empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def _ran(query) -> bool:
+    """Whether any micro-batch read rows."""
+    return any(p["numInputRows"] for p in query.recentProgress)
 
 
 def run_stream(sdf: DataFrame, name: str, output_mode: str = "complete", sink: str = "table",
                path: str | None = None, checkpoint: str | None = None,
-               timeout_s: float | None = None) -> DataFrame:
+               timeout_s: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Drain every file present now (``availableNow``) and return ``SELECT *
     FROM <name>``.
 
-    sink ``table``: results land as Parquet under the shared checkpoint folder
-        — complete mode rewrites the table per micro-batch (idempotent if a
-        batch is replayed), append mode uses the file sink's exactly-once log.
+    sink ``table``: results land as Parquet under the shared checkpoint folder.
+        ``append`` uses the file sink's exactly-once log.  ``update`` (the form
+        for data that grows) writes only the rows that a micro-batch changed,
+        into a folder of its own, and the table is the latest row of each
+        ``keys``.  ``complete`` writes the whole result into a folder of its
+        own for each micro-batch; the table is the last one, and the folder
+        before it goes only then, so a failed write leaves the last result.
+        A replayed micro-batch overwrites its own folder.
     sink ``memory``: the notebooks' in-driver table; fine for tests, not for
         results that grow with the data.
+
+    A stream without input gives an empty table.  Any failure to read a
+    result that was written is raised.
     """
     spark = sdf.sparkSession
     ckpt = checkpoint or scratch_path(spark, f"{name}-checkpoint")
     writer = (sdf.writeStream.outputMode(output_mode)
               .option("checkpointLocation", ckpt).trigger(availableNow=True))
-    target = None
+    target, epochs = None, []
     if sink == "memory":
         query = writer.format("memory").queryName(name).start()
     elif sink == "table":
         target = path or scratch_path(spark, name)
         if output_mode == "append":
             query = writer.format("parquet").option("path", target).start()
-        elif output_mode == "complete":
+        elif output_mode in ("complete", "update"):
+            if output_mode == "update" and not keys:
+                raise ValueError("update output needs the keys of a result row")
+
             def write_batch(batch: DataFrame, epoch_id: int) -> None:
-                batch.write.mode("overwrite").parquet(target)
+                batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch_id}")
+                epochs.append(epoch_id)
+                if output_mode == "complete" and len(epochs) > 1 and path is None:
+                    drop_scratch(batch.sparkSession, f"{target}/epoch={epochs[-2]}")
             query = writer.foreachBatch(write_batch).start()
         else:
-            raise ValueError("table sink supports 'complete' and 'append' output")
+            raise ValueError("table sink supports 'complete', 'update' and 'append' output")
     else:
         raise ValueError("sink must be 'table' or 'memory'")
     query.awaitTermination(timeout_s)
@@ -63,9 +81,16 @@ def run_stream(sdf: DataFrame, name: str, output_mode: str = "complete", sink: s
     if query.exception() is not None:
         raise RuntimeError(f"stream {name} failed: {query.exception()}")
     if target is not None:
-        try:
-            table = spark.read.parquet(target)
-        except Exception:  # no micro-batch ran: nothing was written
-            table = _empty_like(spark, sdf.schema)
+        if output_mode == "append":
+            table = spark.read.schema(sdf.schema).parquet(target) if _ran(query) else spark.createDataFrame([], sdf.schema)
+        elif not epochs:
+            table = spark.createDataFrame([], sdf.schema)
+        elif output_mode == "complete":
+            table = spark.read.schema(sdf.schema).parquet(f"{target}/epoch={epochs[-1]}")
+        else:
+            every = spark.read.parquet(target)
+            rest = [c for c in sdf.columns if c not in keys]
+            table = (every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("__last"))
+                     .select(*[F.col(c) if c in keys else F.col(f"__last.{c}").alias(c) for c in sdf.columns]))
         table.createOrReplaceTempView(name)
     return spark.sql(f"SELECT * FROM {name}")

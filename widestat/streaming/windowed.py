@@ -16,8 +16,8 @@ def windowed_max(df: DataFrame, keys: Sequence[str], ts: str, measure: str,
                  flatten: bool = True) -> DataFrame:
     """``max(measure)`` per key and epoch-aligned ``width`` window of ``ts``.
 
-    min_year: keep events whose year is after this (stateless filter; on a
-        folder column it prunes whole folders in batch).
+    min_year: keep events whose year is after this: a range on ``ts`` itself,
+        so it reaches the scan (on a folder column it prunes whole folders).
     watermark: bound the state (and allow append output); ``None`` keeps every
         window for ever, as the notebook did.
     flatten: ``window`` struct -> ``window_start``, ``window_end``.
@@ -26,7 +26,8 @@ def windowed_max(df: DataFrame, keys: Sequence[str], ts: str, measure: str,
     if isinstance(dtype, T.StringType):
         df = df.withColumn(ts, F.try_to_timestamp(F.col(ts)))
     if min_year is not None:
-        df = df.filter(F.year(ts) > F.lit(min_year))
+        first = df.select(ts).schema[ts].dataType
+        df = df.filter(F.col(ts) >= F.lit(f"{min_year + 1}-01-01 00:00:00").cast(first))
     # A watermark needs TIMESTAMP event time.  Wall-clock (NTZ) times are read
     # as UTC instants, so windows stay aligned to wall-clock boundaries in any
     # session time zone; the bounds are turned back into wall clock below.
@@ -45,3 +46,13 @@ def windowed_max(df: DataFrame, keys: Sequence[str], ts: str, measure: str,
         start = F.convert_timezone(zone, F.lit("UTC"), start.cast("timestamp_ntz"))
         end = F.convert_timezone(zone, F.lit("UTC"), end.cast("timestamp_ntz"))
     return agg.select(*keys, start.alias("window_start"), end.alias("window_end"), name)
+
+
+def with_open_windows(closed: DataFrame, events: DataFrame, keys: Sequence[str], ts: str, measure: str,
+                      width: str) -> DataFrame:
+    """The closed windows of an append stream plus those still open: windows
+    of the batch ``events`` that the stream has not yet emitted."""
+    every = windowed_max(events, keys, ts, measure, width)
+    names = [*keys, "window_start"]
+    shaped = every.select(*[F.col(c).cast(closed.schema[c].dataType) for c in closed.columns])
+    return closed.unionByName(shaped.join(closed, names, "left_anti").select(*closed.columns))
