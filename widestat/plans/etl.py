@@ -25,7 +25,7 @@ from widestat.operators.keys import restrict, split_key
 from widestat.operators.reshape import stratum_crosstab, wide_to_long
 from widestat.operators.translate import relabel, relabel_age, shorten, translate
 from widestat.plans import cube
-from widestat.session import drop_scratch, scratch_path
+from widestat.session import drop_scratch, persisted, scratch_path
 from widestat.sources.codelist import load_codes
 from widestat.sources.published import publish
 from widestat.sources.wide import read_wide
@@ -210,8 +210,9 @@ def settle(out: Outputs) -> Outputs:
     spark = out.natality.sparkSession
     base = scratch_path(spark, "settled")
     out.natality.write.parquet(f"{base}/natality")
-    out.crosstab.write.partitionBy("stratum").parquet(f"{base}/crosstab")
-    out.education.write.parquet(f"{base}/education")
+    with persisted(out.education):  # the cross-tab is made of it
+        out.education.write.parquet(f"{base}/education")
+        out.crosstab.write.partitionBy("stratum").parquet(f"{base}/crosstab")
     parts = {"natality": out.natality, "education": out.education, "crosstab": out.crosstab}
     settled = Outputs(*(spark.read.schema(df.schema).parquet(f"{base}/{p}") for p, df in parts.items()), out.strata)
     settled.scratch = base
