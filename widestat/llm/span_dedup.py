@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from widestat.llm.common import text_of
 
-MIN_SENTENCES = 3
-MIN_WORDS = 25
-ENOUGH_WORDS = 50
+MIN_SENTENCES = 2
+MIN_WORDS = 20
+ENOUGH_WORDS = 40
 SENTENCE = re.compile(r"[^\s](?:[^.!?\n]|[.!?]+(?![.!?\s]))*[.!?]*")
 LAST_ID = (1 << 63) - 1
 
