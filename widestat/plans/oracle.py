@@ -280,7 +280,8 @@ LEFT JOIN region ON CAST(r_regionkey AS VARCHAR) = code"""
     out["translate_one_join"] = """SELECT o_orderkey, coalesce(a.c_name, CAST(o_custkey AS VARCHAR)) AS customer,
   coalesce(b.c_name, CAST(o_orderkey % 1000 AS VARCHAR)) AS contact
 FROM orders LEFT JOIN customer a ON a.c_custkey = o_custkey LEFT JOIN customer b ON b.c_custkey = o_orderkey % 1000"""
-    out["preview_lines"] = f"WITH {W_CTE}\nSELECT least(10, count(*) + 1) AS n, {len(YEARS) + 1} AS fields FROM W"
+    out["preview_lines"] = (f"WITH {W_CTE}\nSELECT {len(YEARS) + 1} AS fields FROM (SELECT key FROM W UNION ALL SELECT 'header') "
+                            "LIMIT 10")
     out["lineitem_crosstab"] = LINE_SQL
     out["translate_customer_names"] = """SELECT o_orderkey, coalesce(c.c_name, CAST(o.o_custkey AS VARCHAR)) AS customer
 FROM orders o LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = CAST(o.o_custkey AS VARCHAR)"""
