@@ -146,7 +146,11 @@ def mix(docs: DataFrame, sources: Column, weights=(1, 2, 3), seed: int = SEED, i
     flow = route(capacity, belongs, {s: round(t) for s, t in target.items()})
     want = {p: sum(x.values()) for p, x in flow.items()}
     shares = [(p, want[p] // c if c else 0, want[p] % c if c else 0) for p, c in capacity.items()]
-    plan = spark.createDataFrame(shares, "pattern string, passes long, rest long")
+
+    def by_pattern(rows: list[tuple], schema: str) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(rows, schema))  # a few rows a pattern, MAX_PATTERNS at most
+
+    plan = by_pattern(shares, "pattern string, passes long, rest long")
 
     bucket = F.shiftrightunsigned("place", 64 - BUCKET_BITS)
     upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -155,8 +159,7 @@ def mix(docs: DataFrame, sources: Column, weights=(1, 2, 3), seed: int = SEED, i
               .where("before <= rest and rest < before + words"))
     ends = filled.select("pattern", "bucket", (F.col("rest") - F.col("before")).alias("gap")).collect()
     at = {r["pattern"]: (r["bucket"], r["gap"]) for r in ends}
-    edge = spark.createDataFrame([(p, *at.get(p, (0, 0)), n) for p, n, _ in shares],
-                                 "pattern string, bucket long, gap long, passes long")
+    edge = by_pattern([(p, *at.get(p, (0, 0)), n) for p, n, _ in shares], "pattern string, bucket long, gap long, passes long")
     placed = slim.join(edge, "pattern")
     inside = placed.where(bucket == F.col("bucket")).withColumn("run", F.sum("size").over(
         Window.partitionBy("pattern").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, 0)))
@@ -173,10 +176,10 @@ def mix(docs: DataFrame, sources: Column, weights=(1, 2, 3), seed: int = SEED, i
         room = [(p, r) for p, r in rest.items() if r > 0]
         if not room:
             break
-        fits = (chosen.where("extra = 0 and size > 0").join(spark.createDataFrame(room, "pattern string, room long"), "pattern")
+        fits = (chosen.where("extra = 0 and size > 0").join(by_pattern(room, "pattern string, room long"), "pattern")
                 .where("size <= room"))
         if added:
-            fits = fits.join(spark.createDataFrame(added, "pattern string, place long"), ["pattern", "place"], "left_anti")
+            fits = fits.join(by_pattern(added, "pattern string, place long"), ["pattern", "place"], "left_anti")
         best = fits.groupBy("pattern").agg(F.max(F.struct("size", "place")).alias("best")).collect()
         if not best:
             break
@@ -185,15 +188,15 @@ def mix(docs: DataFrame, sources: Column, weights=(1, 2, 3), seed: int = SEED, i
             rest[r["pattern"]] -= r["best"]["size"]
     over = [(p, r) for p, r in rest.items() if r > 0]
     if over:  # one document more where that ends nearer to the share
-        near = (chosen.where("extra = 0").join(spark.createDataFrame(over, "pattern string, room long"), "pattern")
+        near = (chosen.where("extra = 0").join(by_pattern(over, "pattern string, room long"), "pattern")
                 .where("size > room and size < 2 * room"))
         if added:
-            near = near.join(spark.createDataFrame(added, "pattern string, place long"), ["pattern", "place"], "left_anti")
+            near = near.join(by_pattern(added, "pattern string, place long"), ["pattern", "place"], "left_anti")
         for r in near.groupBy("pattern").agg(F.min(F.struct("size", "place")).alias("best")).collect():
             added.append((r["pattern"], r["best"]["place"]))
     result = chosen
     if added:
-        more = spark.createDataFrame(added, "pattern string, place long").withColumn("more", F.lit(1))
+        more = by_pattern(added, "pattern string, place long").withColumn("more", F.lit(1))
         result = chosen.join(more, ["pattern", "place"], "left").withColumn(
             "extra", F.greatest("extra", F.coalesce("more", F.lit(0))))
     result = (result.withColumn("passes", F.col("passes") + F.col("extra"))
@@ -209,5 +212,5 @@ def digest(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id",
     """Each document with its only source's size and target."""
     mixed, report = mix(docs, F.array(source_col), id_col=id_col, text_col=text_col)
     by_source = docs.sparkSession.createDataFrame([r[:3] for r in report], "source string, source_size long, target double")
-    return (mixed.join(by_source, mixed["sources"][0].eqNullSafe(by_source["source"]))
+    return (mixed.join(F.broadcast(by_source), mixed["sources"][0].eqNullSafe(by_source["source"]))
             .select(id_col, "size", "source_size", "target", "taken"))
