@@ -24,7 +24,6 @@ empty text has no spans.  Repeated rows are each scanned; a null id stays null.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
