@@ -44,7 +44,6 @@ HEADLINE = [
     "windowed_max_batch",
     "windowed_max_stream",
     "windowed_max_watermark",
-    "published_slice_n5",
     "stream_sql",
     "csv_roundtrip",
     "partitioned_feed_scan",
