@@ -87,3 +87,19 @@ def test_whole_table(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert {r.doc_id for r in S.digest(S.repeated_spans(documents)).collect()} == set(brute(rows))
+
+
+def test_a_passage_of_51_words_cut_at_every_word_is_found(docs):
+    """Its ends lie inside sentences, or it has none at all."""
+    rng = random.Random(4)
+    for punctuated in (True, False):
+        words = [f"x{rng.randrange(10 ** 6)}" + ("." if punctuated and i % 23 == 22 else "") for i in range(160)]
+        rows = [(0, "Start of it " + " ".join(words) + " and the end")]
+        for at in range(len(words) - 50):
+            own = [f"own{at}y{i}" for i in range(60)]
+            rows.append((at + 1, " ".join(own[:30] + words[at:at + 51] + own[30:])))
+        lost = {r.doc_id: r for r in S.digest(S.repeated_spans(docs(rows))).collect()}
+        assert set(lost) == set(range(1, len(rows)))
+        for d, text in rows[1:]:  # and nothing but words of the passage
+            gone = " ".join(text[int(s):int(e)] for s, e in (r.split(":") for r in lost[d].ranges.split(",")))
+            assert "own" not in gone and len(gone.split()) >= S.MIN_WORDS

@@ -1,12 +1,17 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences (after ``.``, ``!`` or ``?`` and white space, and
-at line ends).  From every sentence, forwards and backwards, the shortest run
-of consecutive sentences that is long enough is a span: at least
-``min_sentences`` sentences with ``min_words`` words, or ``enough_words`` words
-in fewer sentences.  Spans are compared by their lower-case words under a
-128-bit hash.  Over all documents the first place of a span, by document id and
-then position, is kept; sentences covered by any later place are removed.
+at line ends), and a sentence of more than ``window`` words into pieces: of
+every ``window`` consecutive words in it, a piece starts at the one with the
+least hash.  So no piece is longer than ``window`` words, and words that are
+repeated are cut alike whatever stands around them, but for the ``window - 1``
+words next to an end of the repeat that lies inside a sentence.  From every
+piece, forwards and backwards, the shortest run of consecutive pieces with
+``min_words`` words is a span.  Any repeat of ``4 * window + min_words - 3``
+whole words (49) thus holds a span.  Spans are compared by their lower-case
+words under a 128-bit hash.  Over all documents the first place of a span, by
+document id and then position, is kept; pieces covered by any later place are
+removed.
 
 Null and empty texts have no spans, nor has a text too short for one.  Rows
 that share an id count as one document: the same span at the same place of
@@ -20,16 +25,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from widestat.llm.common import text_of
 
-MIN_SENTENCES = 2
-MIN_WORDS = 20
-ENOUGH_WORDS = 40
+MIN_WORDS = 12
+WINDOW = 10
 SENTENCE = re.compile(r"[^\s](?:[^.!?\n]|[.!?]+(?![.!?\s]))*[.!?]*")
+#: Which code points are white space; the last entry stands for all above.
+SPACE = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
 LAST_ID = (1 << 63) - 1
 
 
@@ -38,51 +45,71 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text)]
 
 
-def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
-          enough_words: int = ENOUGH_WORDS) -> list[tuple[int, int, int, int]]:
-    """(hash, hash, start, end) of every span, by start and end."""
-    from xxhash import xxh3_128_intdigest
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = ~SPACE[np.minimum(codes, len(SPACE) - 1)]
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
 
-    places = sentences(text)
-    lowered = [" ".join(text[s:e].lower().split()).encode("utf-8", "surrogatepass") for s, e in places]
-    upto = [0]
-    for x in lowered:
-        upto.append(upto[-1] + x.count(b" ") + 1)
+def breaks(starts: np.ndarray, sentence_starts: list[int], hashes: list[int], window: int = WINDOW) -> list[int]:
+    """The words at which a piece starts, and the number of words."""
+    opens = np.zeros(len(starts) + 1, bool)
+    opens[np.searchsorted(starts, sentence_starts)], opens[-1] = True, True
+    if len(starts) > window:
+        number = np.cumsum(opens[:-1])
+        whole = np.flatnonzero(number[:len(starts) - window + 1] == number[window - 1:])
+        seen = np.lib.stride_tricks.sliding_window_view(np.array(hashes, np.uint64), window)[whole]
+        long = np.bincount(number)[number[whole]] > window  # a sentence of one window stays whole
+        opens[(whole + seen.argmin(axis=1))[long]] = True
+    return np.flatnonzero(opens).tolist()
 
-    def enough(i: int, j: int) -> bool:
-        n = upto[j] - upto[i]
-        return n >= enough_words or j - i >= min_sentences and n >= min_words
 
+def spans(text: str, min_words: int = MIN_WORDS, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """(hash, hash, start, end) of every span, by start and end."""
+    from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
+
+    starts, ends = word_places(text)
+    if len(starts) < min_words:
+        return []
+    lowered = " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
+    after = np.flatnonzero(np.frombuffer(lowered + b" ", np.uint8) == 32)
+    at = np.concatenate(([0], after + 1))
+    cuts = breaks(starts, [s for s, _ in sentences(text)], list(map(xxh3_64_intdigest, lowered.split(b" "))), window)
     runs, end = set(), 0
-    for start in range(len(places)):  # the shortest run from each sentence
-        end = max(end, start + 1)
-        while end < len(places) and not enough(start, end):
+    for start in cuts:  # the shortest run from each piece
+        while end < len(cuts) and cuts[end] < start + min_words:
             end += 1
-        if not enough(start, end):
+        if end == len(cuts):
             break
-        runs.add((start, end))
+        runs.add((start, cuts[end]))
     start = 0
-    for end in range(1, len(places) + 1):  # and the shortest one to each
-        if enough(start, end):
-            while start + 1 < end and enough(start + 1, end):
+    for end in cuts:  # and the shortest one to each
+        if end >= min_words:
+            while cuts[start + 1] <= end - min_words:
                 start += 1
-            runs.add((start, end))
+            runs.add((cuts[start], end))
+    if not runs:
+        return []
+    i, j = np.array(sorted(runs)).T
     out = []
-    for i, j in sorted(runs):
-        h = xxh3_128_intdigest(b" ".join(lowered[i:j]))
-        out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), places[i][0], places[j - 1][1]))
+    for a, b, start, end in zip(at[i].tolist(), (at[j] - 1).tolist(), starts[i].tolist(), ends[j - 1].tolist()):
+        h = xxh3_128_intdigest(lowered[a:b])
+        out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), start, end))
     return out
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES,
-                   min_words: int = MIN_WORDS, enough_words: int = ENOUGH_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, end): what to remove, as disjoint ranges in each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen = set()
-                for h1, h2, start, end in spans(text, min_sentences, min_words, enough_words):
+                for h1, h2, start, end in spans(text, min_words, window):
                     rows.append((h1, h2, doc, start, end, (h1, h2) in seen))
                     seen.add((h1, h2))
             if rows:
@@ -106,7 +133,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def digest(ranges: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each document that loses sentences."""
+    """One row for each document that loses pieces."""
     return (ranges.groupBy(id_col).agg(
         F.count("*").alias("n_ranges"), F.sum(F.col("end") - F.col("start")).alias("removed_chars"),
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
