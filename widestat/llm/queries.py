@@ -36,7 +36,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.duplicate_lines(table(spark, sf_dir, "documents")))
+    return line_dedup.digest(line_dedup.duplicate_lines(table(spark, sf_dir, "documents"), width=line_dedup.WIDTH))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
