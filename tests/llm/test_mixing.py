@@ -114,3 +114,17 @@ def test_whole_table(spark):
     out = by_id(M.digest(documents))
     for r in documents.collect():
         assert out[r.doc_id].size == len(r.text.encode().split()) and out[r.doc_id].taken <= 3 * out[r.doc_id].size
+
+
+def test_rows_without_an_id_of_their_own_are_picked_singly(docs):
+    """Null ids, one id with many texts, and true repeats: the target is met to
+    half a row, on any layout."""
+    size = 10
+    for rows in ([(None, "w " * size + str(i), "en", "a") for i in range(60)], [(7, "w " * size + str(i), "en", "a") for i in range(60)],
+                 [(7, "w " * size + "x", "en", "a")] * 60):
+        rows = rows + [(i, "w " * size + "x", "en", "b") for i in range(100, 145)]
+        out = [M.digest(docs(rows, n)).collect() for n in (3, 5)]
+        assert sorted((r.doc_id or 0, r.taken) for r in out[0]) == sorted((r.doc_id or 0, r.taken) for r in out[1])
+        for ids in ({None, 7}, set(range(100, 145))):
+            part = [r for r in out[0] if r.doc_id in ids]
+            assert len(part) in (60, 45) and abs(sum(r.taken for r in part) - part[0].target) <= (size + 1) / 2

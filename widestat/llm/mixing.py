@@ -19,8 +19,9 @@ share all words by weight; a quota stops at ``MAX_PASSES`` times its source's
 words and the excess goes to the others by weight.
 
 A null text has no words; such a document, like an empty one, is taken for 0
-words.  Repeated rows are documents of their own that share their place in the
-order.  A null source is a source; a null id sorts by its hash like any other.
+words.  The place in the order is a hash of id and text, of repeated rows also
+of their number, so every row is a document of its own.  A null source is a
+source; a null id sorts by its hash like any other.
 """
 
 from __future__ import annotations
@@ -120,6 +121,25 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def placed_apart(slim: DataFrame) -> DataFrame:
+    """Rows of a pattern that share a place are numbered and, but for the first,
+    placed by their number too.  Numbers are counted within the parts that
+    wrote the rows, so no task holds all repeats of a row."""
+    repeats = slim.groupBy("pattern", "place").agg(F.count("*").alias("n")).where("n > 1").select("pattern", "place")
+    again = materialized(slim.join(repeats, ["pattern", "place"]).select(
+        "pattern", "place", "id", "size", "row", F.shiftright("row", 33).alias("part")), "mix-repeats")
+    if again.isEmpty():
+        return slim.drop("row")
+    parts = again.groupBy("pattern", "place", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(
+        Window.partitionBy("pattern", "place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    numbered = again.withColumn("nth", F.row_number().over(
+        Window.partitionBy("pattern", "place", "part").orderBy("id", "size", "row"))).join(parts, ["pattern", "place", "part"])
+    apart = numbered.withColumn("nth", F.col("nth") + F.col("before")).where("nth > 1").select(
+        "row", F.xxhash64("place", "nth").alias("apart"))
+    return materialized(slim.join(apart, "row", "left").withColumn("place", F.coalesce("apart", "place"))
+                        .select("id", "sources", "pattern", "size", "place"), "mix-apart")
+
+
 def mix(docs: DataFrame, sources: Column, weights=(1, 2, 3), seed: int = SEED, id_col: str = "doc_id",
         text_col: str = "text") -> tuple[DataFrame, list[tuple]]:
     """``sources``: an array column, the sources of a document.
@@ -131,7 +151,9 @@ def mix(docs: DataFrame, sources: Column, weights=(1, 2, 3), seed: int = SEED, i
     members = F.array_sort(F.array_distinct(sources))
     slim = materialized(docs.select(
         F.col(id_col).alias("id"), members.alias("sources"), F.to_json(members).alias("pattern"),
-        word_count(text_of(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("place")), "mix")
+        word_count(text_of(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col)).alias("place"),
+        F.monotonically_increasing_id().alias("row")), "mix")
+    slim = placed_apart(slim)
     totals = (slim.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("sources").alias("sources"))
               .limit(MAX_PATTERNS + 1).collect())
     if len(totals) > MAX_PATTERNS:
