@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from conftest import rows
 from widestat.sources.published import read_feed
-from widestat.streaming.feed import feed_schema, write_stream_feed
+from widestat.streaming.feed import feed_schema, in_time_order, write_stream_feed
 from widestat.streaming.runner import read_file_stream, run_stream
 from widestat.streaming.windowed import windowed_max, with_open_windows
 
@@ -180,3 +180,26 @@ def test_update_output_keeps_the_latest_row(spark, workdir):
     assert rows(got) == rows(windowed_max(read_feed(spark, path, schema), ["Country"], "Year", "Proportion"))
     with pytest.raises(ValueError):
         run_stream(agg, "update_test_2", "update")
+
+
+def test_streamed_windows_alone_are_complete(spark, workdir):
+    """Several files a day, written in any order: the stream loses no window
+    that its watermark closes, and a lost one is not filled from the batch."""
+    first = dt.datetime(2024, 1, 1)
+    events = spark.createDataFrame([(f"k{i % 2}", first + dt.timedelta(minutes=30 * i), float(i * 7919 % 1000)) for i in range(480)],
+                                   "k string, ts timestamp_ntz, v double").withColumn("day", F.to_date("ts"))
+    path = write_stream_feed(events, os.path.join(workdir, "feed"), "day", year_int=False, max_records_per_file=12)
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".csv"))
+    assert len(files) >= 40
+    for i, f in enumerate(files):
+        os.utime(f, (1_700_000_000 + i * 17 % len(files),) * 2)
+    schema = feed_schema(events.schema, "day", T.DateType())
+    agg = windowed_max(read_file_stream(spark, in_time_order(spark, path), schema, 3), ["k"], "ts", "v", "1 day", watermark="1 hour")
+    closed = run_stream(agg, "ordered_test", "append", path=os.path.join(workdir, "o"), checkpoint=os.path.join(workdir, "c"))
+    feed = read_feed(spark, path, schema)
+    every = windowed_max(feed, ["k"], "ts", "v", "1 day")
+    last = F.lit("2024-01-11 00:00:00").cast("timestamp_ntz")
+    assert rows(closed) == rows(every.where(F.col("window_end") < last)) and closed.count() == 18
+    assert rows(with_open_windows(closed, feed, ["k"], "ts", "v", "1 day", "1 hour")) == rows(every)
+    lost = closed.where("window_start > '2024-01-02'")
+    assert with_open_windows(lost, feed, ["k"], "ts", "v", "1 day", "1 hour").count() == lost.count() + 2

@@ -27,7 +27,7 @@ from widestat.session import scratch_path
 from widestat.sources.codelist import flatten_codes, load_codes, write_code_lists, write_code_rows
 from widestat.sources.published import publish, read_feed, read_published
 from widestat.sources.wide import preview, read_wide, write_wide
-from widestat.streaming.feed import feed_schema, write_stream_feed
+from widestat.streaming.feed import feed_schema, in_time_order, write_stream_feed
 from widestat.streaming.runner import read_file_stream, run_stream
 from widestat.streaming.windowed import windowed_max, with_open_windows
 
@@ -349,7 +349,7 @@ def _events_feed(spark, sf) -> tuple[str, T.StructType]:
     events = (cube.table(spark, sf, "events").select("event_type", "ts", "value")
               .withColumn("day", F.to_date("ts")))
     path = write_stream_feed(events, scratch_path(spark, "events-feed"), "day", year_int=False)
-    return path, feed_schema(events.schema, "day", T.DateType())
+    return in_time_order(spark, path), feed_schema(events.schema, "day", T.DateType())
 
 
 def q_windowed_max_watermark(spark, sf):
@@ -359,7 +359,7 @@ def q_windowed_max_watermark(spark, sf):
     stream = read_file_stream(spark, path, schema, max_files_per_trigger=FILES_PER_TRIGGER)
     agg = windowed_max(stream, ["event_type"], "ts", "value", EVENT_WINDOW, watermark=EVENT_DELAY)
     closed = run_stream(agg, "events_daily_max", "append")
-    return with_open_windows(closed, read_feed(spark, path, schema), ["event_type"], "ts", "value", EVENT_WINDOW)
+    return with_open_windows(closed, read_feed(spark, path, schema), ["event_type"], "ts", "value", EVENT_WINDOW, EVENT_DELAY)
 
 
 def q_windowed_max_update(spark, sf):

@@ -3,7 +3,7 @@ file stream can replay, and the schema to read it back with."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,24 @@ def write_stream_feed(df: DataFrame, path: str, part_col: str = "Year", year_int
     return path
 
 
+def in_time_order(spark: SparkSession, path: str) -> str:
+    """Give the files of a feed file times in the order of their folders, so a
+    file stream reads a folder's files before those of the next folder.
+    Folder names must sort by time."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = fs.listFiles(at, True), []
+    while found.hasNext():
+        file = found.next().getPath()
+        if not file.getName().startswith(("_", ".")):
+            files.append((file.getParent().toString(), file.getName(), file))
+    start = jvm.java.lang.System.currentTimeMillis()
+    for i, (_, _, file) in enumerate(sorted(files, key=lambda f: f[:2])):
+        fs.setTimes(file, start + i, -1)
+    return path
+
+
 def feed_schema(data: T.StructType, part_col: str = "Year",
                 part_type: T.DataType = T.TimestampType()) -> T.StructType:
     """The schema a feed written by ``write_stream_feed`` must be read with:

@@ -49,10 +49,17 @@ def windowed_max(df: DataFrame, keys: Sequence[str], ts: str, measure: str,
 
 
 def with_open_windows(closed: DataFrame, events: DataFrame, keys: Sequence[str], ts: str, measure: str,
-                      width: str) -> DataFrame:
+                      width: str, watermark: str | None = None) -> DataFrame:
     """The closed windows of an append stream plus those still open: windows
-    of the batch ``events`` that the stream has not yet emitted."""
+    of the batch ``events`` that the stream has not yet emitted.
+
+    watermark: the stream's delay; only windows that end after its final
+        watermark are added, so a window that the stream lost stays missing.
+    """
     every = windowed_max(events, keys, ts, measure, width)
+    if watermark is not None:  # the stream keeps it in milliseconds
+        final = events.agg((F.date_trunc("millisecond", F.max(ts)) - F.expr(f"INTERVAL {watermark}")).alias("__final"))
+        every = every.join(F.broadcast(final), F.col("window_end") > F.col("__final"))
     names = [*keys, "window_start"]
     shaped = every.select(*[F.col(c).cast(closed.schema[c].dataType) for c in closed.columns])
     return closed.unionByName(shaped.join(closed, names, "left_anti").select(*closed.columns))
