@@ -1,0 +1,134 @@
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from widestat.llm import alignment
+from widestat.llm.queries import tokenizer_path
+
+A, B = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+TEXTS = ["Hello world, this is a test.", "a  b", " lead", "trail ", "line\nbreak\n\nand more", "tab\tand\rreturn", "it's we'll <|endoftext|> <s> <0x0A> <unk>",
+         "naïve Größe élève ça", "日本語の文章 with words", "🙂🙃 emoji", "x y z", "▁ literal", "é decomposed ﬁ ＡＢ", "\x00 zero \x1c sep",
+         "a \n b", "end. \nStart", "many      spaces", "1234567 89 3.14", "word " * 300 + "end", "", "\n", " ", "　wide", "\n \n three", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", None]
+
+
+def tokens():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(A)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=B)
+    # Byte-level alphabet, the slow way: encode every byte alone where possible.
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = {b: chr(b) for b in keep}
+    for x in range(256):
+        if x not in chars:
+            chars[x] = chr(256 + len(chars) - len(keep))
+    back = {c: x for x, c in chars.items()}
+    a_bytes = lambda i: bytes(back[c] for c in a.id_to_token(i))
+    b_bytes = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
+    return a, b, a_bytes, b_bytes
+
+
+def brute(rows):
+    a, b, a_bytes, b_bytes = tokens()
+    out, links_of, docs_of = [], [], defaultdict(int)
+    for key, text in rows:
+        ids_a = a.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = b.encode(text) if text else []
+        raw = (" " + (text or "")).encode()
+        if not text or b"".join(map(a_bytes, ids_a)) != raw or b"".join(map(b_bytes, ids_b)) != raw:
+            out.append([key, 0, 0, 0, 0, ""])
+            links_of.append(Counter())
+            continue
+        ends_a, ends_b = np.cumsum([len(a_bytes(i)) for i in ids_a]).tolist(), np.cumsum([len(b_bytes(i)) for i in ids_b]).tolist()
+        spans_a = list(zip([0] + ends_a, ends_a, ids_a))
+        spans_b = list(zip([0] + ends_b, ends_b, ids_b))
+        cuts = sorted(set(ends_a) & set(ends_b))
+        groups, lo = [], 0
+        for hi in cuts:
+            pick = lambda spans: ",".join(str(i) for s, e, i in spans if lo <= s and e <= hi)
+            groups.append(f"{pick(spans_a)}|{pick(spans_b)}")
+            lo = hi
+        links = Counter((i, j) for s, e, i in spans_a for t, f, j in spans_b if s < f and t < e)
+        for pair in links:
+            docs_of[pair] += 1
+        links_of.append(links)
+        out.append([key, len(ids_a), len(ids_b), len(groups), sum(links.values()), hashlib.sha256(";".join(groups).encode()).hexdigest()])
+    most = defaultdict(int)
+    for (i, _), n in docs_of.items():
+        most[i] = max(most[i], n)
+    for row, links in zip(out, links_of):
+        row[5:5] = [sum(n for p, n in links.items() if docs_of[p] == most[p[0]]), sum(n * docs_of[p] for p, n in links.items())]
+    return sorted(map(tuple, out), key=repr)
+
+
+def rows_of(df):
+    return sorted((tuple(r[c] for c in COLUMNS) for r in df.collect()), key=repr)
+
+
+def corpus(n, seed=2):
+    rng = random.Random(seed)
+    words = ["the", "tokenization", "internationalization", "Größe", "élève", "x1y2", "don't", "(see", "below)", "co-op", "naïve", "Zürich,", "end.\nNew", "日本"]
+    return [(i, " ".join(rng.choices(words, k=rng.randint(1, 25)))) for i in range(n)]
+
+
+def test_equals_brute_force(spark, docs):
+    rows = list(enumerate(TEXTS)) + [(100 + i, t) for i, t in corpus(150)]
+    rows += [(None, "no id here"), (7, "shared id"), (7, "shared id"), (None, None)]
+    df = docs(rows)
+    for name in ("key", "run", "slot", "bucket", "pairs", "t", "n_a", "sha"):
+        df = df.withColumn(name, F.lit("clash"))
+    assert rows_of(alignment.digest(df, A, B)) == brute(rows)
+
+
+def test_many_runs_and_merge_rounds(spark, docs, monkeypatch):
+    monkeypatch.setattr(alignment, "RUN_DOCS", 3)
+    monkeypatch.setattr(alignment, "FAN_IN", 4)
+    rows = corpus(120, 5)
+    assert rows_of(alignment.digest(docs(rows, 7), A, B)) == brute(rows)
+
+
+def test_words_equal_whole_texts():
+    """Word by word, the tokens are those of the whole text."""
+    rng = random.Random(4)
+    pieces = ["a", "the", "Großé", "\n", "'s", "n't", "!!", "42", "x\ny", "日", "́", "é", "-", "...", "<|endoftext|>", "<0x0A>", "▁", "ß", "_", " ", "ǅ", "\U0001f469‍"]
+    aligner = alignment.Aligner(A, B)
+    texts = ["".join(rng.choice(pieces) + rng.choice(("", " ", " ", " ", "\n", "  ")) for _ in range(rng.randint(1, 30))) for _ in range(3000)] + [t for t in TEXTS if t]
+    for text, got in zip(texts, aligner.batch(texts)):
+        want = aligner.encoded([text])[0]
+        assert got == want, text
+
+
+def test_very_long_text(spark, docs):
+    text = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, text), (2, "x" * 30_000), (3, "word1 word2")]
+    got = {r[0]: r for r in rows_of(alignment.digest(docs(rows), A, B))}
+    want = {r[0]: r for r in brute([(2, rows[1][1]), rows[2]])}
+    assert got[1][1] > 60_000 and got[1][4] >= got[1][1] and got[2][1:5] == want[2][1:5] and got[3][7] == want[3][7]
+
+
+def test_empty(docs):
+    out = alignment.digest(docs([]), A, B)
+    assert set(out.columns) == set(COLUMNS) and out.count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 5])
+def test_merge_finds_counts_and_maxima(n):
+    rng = np.random.default_rng(n)
+    runs = [np.unique(rng.integers(0, 40, 60).astype(np.uint32) << 16 | rng.integers(0, 9, 60).astype(np.uint32)) for _ in range(n)]
+    numbers = [rng.integers(1, 5, len(r)).astype(np.uint64) for r in runs]
+    total = Counter()
+    for r, c in zip(runs, numbers):
+        total.update(dict(zip(r.tolist(), c.tolist())))
+    frames = [alignment.packed(np.diff(r, prepend=np.uint32(0)), c) for r, c in zip(runs, numbers)]
+    pairs, counts, back, best = alignment.merged(frames, back=True)
+    assert dict(zip(pairs.tolist(), counts.tolist())) == total and (np.diff(pairs.astype(np.int64)) > 0).all()
+    for r, c, top in zip(runs, back, best):
+        for p, x, t in zip(r.tolist(), c.tolist(), top.tolist()):
+            assert x == total[p] and t == (x == max(v for q, v in total.items() if q >> 16 == p >> 16))

@@ -115,7 +115,7 @@ def test_registered_and_removable(tmp_path):
     import sys
 
     assert {"pipeline", *(n for n in E.queries() if n.startswith("op"))} >= {"pipeline", "op1_decontaminate", "op10_lm_score"}
-    assert sum(n.startswith("op") for n in E.queries()) == 10
+    assert sum(n.startswith("op") for n in E.queries()) == 13
     root = os.path.dirname(os.path.abspath(E.__file__))
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert set(q) == set(e.oracle_sql()) and 'pipeline' not in q and len(q) > 50"

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from widestat.llm import decontaminate, licenses, line_dedup, lm_score, mixing, pii, quality, simhash, span_dedup, token_count
+from widestat.llm import alignment, decontaminate, licenses, line_dedup, lm_score, merkle, mixing, packing, pii, quality, simhash, span_dedup, token_count
 from widestat.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a file of the public tokenizers; without them an error."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def vocabulary_path() -> str:
-    """The unigram vocabulary of the token counts: pieces and scores of the
-    public tokenizer files, if these are installed."""
-    spec = importlib.util.find_spec("public_tokenizers")
-    folder = spec.submodule_search_locations[0] if spec else "/opt/tokenizers"
-    return f"{folder}/piece_bpe_32k.model"
+    """The unigram vocabulary of the token counts: pieces and scores."""
+    return tokenizer_path("piece_bpe_32k.model")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +62,22 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_token_count, op4_license_scan, op5_line_dedup, op6_mixing, op7_simhash,
-                                     op8_span_dedup, op9_pii, op10_lm_score)}
+                                     op8_span_dedup, op9_pii, op10_lm_score, op11_packing, op12_merkle, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": quality.oracle_sql()}
+    return {"op2_quality": quality.oracle_sql(), "op12_merkle": merkle.oracle_sql()}
