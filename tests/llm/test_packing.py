@@ -92,7 +92,7 @@ def test_words_equal_whole_texts(tokenizer):
     encoder = packing.WordEncoder(PATH)
     for _ in range(4000):
         text = "".join(rng.choice(pieces) + rng.choice(("", "", " ", "\n", "\t ", "  ")) for _ in range(rng.randint(1, 25)))
-        assert encoder.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+        assert encoder.ids(text.encode()) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
 def test_least_squares():

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from widestat.llm.common import materialized, text_of
+from widestat.llm.common import materialized, text_of, worker_cached
 
 #: Documents of a run, radix partitions, and runs merged at a time.
 RUN_DOCS, BUCKETS, FAN_IN = 4096, 32, 512
@@ -58,8 +58,8 @@ LEVEL = 3
 B_BITS = 16
 #: White space other than single spaces between words and line ends.
 ODD_SPACE = re.compile(r"[^\S \n]|  |\n \n")
-#: Characters that all libraries class alike.
-PLAIN = re.compile(r"[\x20-\x7E\nÀ-ÖØ-öø-ÿ]*")
+#: Bits of each of the three numbers kept as one.
+COUNT_BITS = 40
 
 
 def a_token_bytes(vocabulary: dict[str, int]) -> list[bytes]:
@@ -105,7 +105,11 @@ def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[byte
 
 
 class Aligner:
-    """Both tokenizers and a cache of aligned words."""
+    """Both tokenizers and a cache of aligned words.
+
+    A word, or a whole text, is (links, groups as text, counts): its packed
+    link pairs, and the numbers of groups, B ids and A ids in one integer,
+    which is negative where the tokens are not the text's bytes."""
 
     def __init__(self, a_path: str, b_path: str):
         import os
@@ -122,43 +126,42 @@ class Aligner:
         self.b_bytes = b_token_bytes([self.b.id_to_piece(i) for i in range(n)], [self.b.is_byte(i) for i in range(n)])
         #: Whether no piece holds a space but at its start: words do not meet then.
         self.by_word = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(n))
-        self.words: dict[str, tuple | None] = {}
+        self.words: dict[str, tuple[bytes, str, int]] = {}
 
-    def encoded(self, texts: list[str]) -> list[tuple | None]:
-        """(A ids, B ids, groups, packed links, groups as text) of a space and each text; None where it is not whole."""
+    def encoded(self, texts: list[str]) -> list[tuple[bytes, str, int]]:
+        """A space and each text, encoded whole."""
         out = []
         ids = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         for text, a, b in zip(texts, ids, self.b.encode(texts, num_threads=1)):
             a, raw = a.ids, (" " + text).encode()
             if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-                out.append(None)
+                out.append((b"", "", -1 << 3 * COUNT_BITS))
                 continue
             groups, links, shown = aligned(a, b, self.a_bytes, self.b_bytes)
-            out.append((len(a), len(b), groups, np.array(links, np.uint32).tobytes(), shown))
+            out.append((np.array(links, np.uint32).tobytes(), shown, groups << 2 * COUNT_BITS | len(b) << COUNT_BITS | len(a)))
         return out
 
     def batch(self, texts: list[str]) -> list[tuple | None]:
-        """``encoded`` of whole texts, word by word where words do not meet."""
-        split = [t.split(" ") if self.by_word and t and t[0] != " " and t[-1] != " " and not ODD_SPACE.search(t) else None for t in texts]
+        """(A ids, B ids, groups, links, groups as text) of whole texts, word by
+        word where words do not meet; None for an empty text and for one that
+        is not whole."""
+        split = [t.split(" ") if self.by_word and t and t[0] != " " and t[-1] != " " and not ODD_SPACE.search(t) else () for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        new = list({w for words in split if words for w in words}.difference(self.words))
+        known = self.words
+        new = list(set().union(*split).difference(known))
         for k in range(0, len(new), 20_000):
             part = new[k:k + 20_000]
-            self.words.update(zip(part, self.encoded(part)))
-        out = []
+            known.update(zip(part, self.encoded(part)))
+        out, low = [], (1 << COUNT_BITS) - 1
         for text, words in zip(texts, split):
             if not text:
                 out.append(None)
-            elif words is None:
-                out.extend(self.encoded([text]))
-            else:
-                found = [self.words[w] for w in words]
-                if None in found:
-                    out.append(None)
-                    continue
-                a, b, groups, links, shown = zip(*found)
-                out.append((sum(a), sum(b), sum(groups), b"".join(links), ";".join(shown)))
+                continue
+            found = [known[w] for w in words] if words else self.encoded([text])
+            counts = sum([f[2] for f in found])
+            out.append(None if counts < 0 else (counts & low, counts >> COUNT_BITS & low, counts >> 2 * COUNT_BITS,
+                                                b"".join([f[0] for f in found]), ";".join([f[1] for f in found])))
         return out
 
 
@@ -266,7 +269,8 @@ def scanned(docs: DataFrame, a_path: str, b_path: str, text_col: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        aligner, current, at = Aligner(a_path, b_path), Run(), 0
+        aligner = worker_cached(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
+        current, at = Run(), 0
         task = TaskContext.get().partitionId() << 32
         columns = ("key", "run", "slot", "n_a", "n_b", "n_groups", "n_links", "sha", "bucket", "pairs", "docs")
         schema = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("slot", pa.int32()), *((c, pa.int64()) for c in columns[3:7]),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -43,3 +44,13 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def worker_cached(key: tuple, make: Callable[[], object]) -> object:
+    """``make()``, once for the Python worker that runs the task: Spark reuses
+    its workers, so a model is loaded and a cache warmed once, not for every
+    task.  What is kept must bound itself and change no result."""
+    held = sys.modules.setdefault("_document_operators_held", types.ModuleType("_document_operators_held")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

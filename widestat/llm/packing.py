@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from widestat.llm.common import materialized, text_of
+from widestat.llm.common import materialized, text_of, worker_cached
 
 WINDOW_TOKENS, WIDTH, MIN_UNIT = 4096, 8, 512
 END = 2
@@ -47,13 +47,29 @@ ROUNDS = 600
 #: Words a task remembers before it starts afresh (about 100 MB).
 CACHE_WORDS = 400_000
 #: Words of these characters are cut like the tokenizer does, by the pattern below.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
 #: Fixed value: the tokenizer's own pattern, for the characters of PLAIN in lower case.
-PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
 PIECE = "struct<doc:long,start:long,length:long,crc:long,tokens:long>"
 
 
-class WordEncoder:
+class Parts(dict):
+    """Ids of lower-case pretokens, as bytes, filled on first use."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenize = tokenizer.model.tokenize
+        self.packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        letters = [*range(223, 247), *range(248, 256)]
+        self.letters = {i: tokenizer.pre_tokenizer.pre_tokenize_str(chr(i))[0][0] for i in letters}
+
+    def __missing__(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.translate(self.letters)
+        ids = self[part] = b"".join([self.packed[t.id] for t in self.tokenize(shown)])
+        return ids
+
+
+class WordEncoder(dict):
     """Token ids of a lower-casing tokenizer that drops white space, word by
     word with a cache.  Words are cut at ASCII white space, over which neither
     normalization nor merges reach."""
@@ -61,43 +77,32 @@ class WordEncoder:
     def __init__(self, path: str):
         import os
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         #: How units keep their ids.
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = {i: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(i))[0][0] for i in range(192, 256) if i not in (215, 247)}
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, word: str) -> bytes:
-        ids = self.parts.get(word)
-        if ids is None:
-            shown = word if word.isascii() else word.translate(self.letters)
-            ids = self.parts[word] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-        return ids
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts = Parts(self.tokenizer)
 
-    def word(self, raw: bytes) -> bytes:
+    def __missing__(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8")
-        if PLAIN.fullmatch(text) and not any(s in raw for s in self.special):
-            return b"".join([self.part(p) for p in PRETOKEN.findall(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        if PLAIN(text) and not ("<" in text and any(s in text for s in self.special)):
+            low = text.lower()
+            ids = self.parts[low] if low.isalpha() else b"".join([self.parts[p] for p in PRETOKENS(low)])
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[raw] = ids
+        return ids
+
+    def ids(self, text: bytes) -> bytes:
+        """The ids of a UTF-8 text as little-endian 32-bit numbers."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
             self.parts.clear()
-        words, known = text.encode("utf-8", "replace").split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            for w in set(words):
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join([known[w] for w in words])
+        return b"".join([self[w] for w in text.split()])
 
 
 def units_of(docs: DataFrame, tokenizer_path: str, text_col: str, window: int, width: int, min_unit: int) -> DataFrame:
@@ -105,10 +110,10 @@ def units_of(docs: DataFrame, tokenizer_path: str, text_col: str, window: int, w
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = WordEncoder(tokenizer_path), {}
+        encoder = worker_cached(("words", tokenizer_path), lambda: WordEncoder(tokenizer_path))
+        seen = {}
         rows, held = [], 0
         open_pieces, open_ids, open_length = [], [], 0
-        kinds = pa.struct([(c, pa.int64()) for c in ("doc", "start", "length", "crc", "tokens")])
 
         def unit(length: int, pieces: list, ids: bytes) -> None:
             nonlocal held
@@ -119,22 +124,25 @@ def units_of(docs: DataFrame, tokenizer_path: str, text_col: str, window: int, w
 
         def table() -> pa.RecordBatch:
             nonlocal held
-            columns = list(zip(*rows))
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
-                 pa.array(columns[3], pa.list_(kinds)), pa.array(columns[4], pa.binary())], ["cls", "nth", "length", "pieces", "ids"])
+            cls, nth, lengths, pieces, ids = zip(*rows)
+            flat = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*(p for unit in pieces for p in unit))],
+                                              ["doc", "start", "length", "crc", "tokens"])
+            ends = np.concatenate(([0], np.cumsum([len(unit) for unit in pieces]))).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([pa.array(cls, pa.int32()), pa.array(nth, pa.int64()), pa.array(lengths, pa.int64()),
+                                              pa.ListArray.from_arrays(ends, flat), pa.array(ids, pa.binary())],
+                                             ["cls", "nth", "length", "pieces", "ids"])
             rows.clear()
             held = 0
             return out
 
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
-                key, ids = key.as_py(), encoder.ids(text.as_py()) + end
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encoder.ids(text.as_py()) + end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start:4 * (start + window)]
                     length = len(part) // 4
-                    piece = {"doc": key, "start": start, "length": length, "crc": zlib.crc32(part), "tokens": n}
+                    piece = (key, start, length, zlib.crc32(part), n)
                     if length >= min_unit:
                         unit(length, [piece], part)
                         continue
@@ -151,7 +159,7 @@ def units_of(docs: DataFrame, tokenizer_path: str, text_col: str, window: int, w
         if rows:
             yield table()
 
-    return docs.select("key", text_of(text_col).alias("t")).mapInArrow(
+    return docs.select("key", text_of(text_col).cast("binary").alias("t")).mapInArrow(
         run, f"cls int, nth long, length long, pieces array<{PIECE}>, ids binary")
 
 
