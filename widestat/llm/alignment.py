@@ -52,12 +52,16 @@ from widestat.llm.common import materialized, text_of, worker_cached
 RUN_DOCS, BUCKETS, FAN_IN = 4096, 32, 512
 #: Links of a run after which it is closed early, so very long texts do not fill a task.
 RUN_LINKS = 8_000_000
-#: Words a task remembers before it starts afresh (about 150 MB).
-CACHE_WORDS = 250_000
+#: Words a task remembers before it starts afresh (about 200 MB).
+CACHE_WORDS = 500_000
 LEVEL = 3
 B_BITS = 16
 #: White space other than single spaces between words and line ends.
 ODD_SPACE = re.compile(r"[^\S \n]|  |\n \n")
+#: Words of these characters are cut into parts like A does, by the pattern below.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: Fixed value: A's own pattern, for a space and the characters of PLAIN.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+").findall
 #: Bits of each of the three numbers kept as one.
 COUNT_BITS = 40
 
@@ -77,31 +81,41 @@ def b_token_bytes(pieces: list[str], is_byte: list[bool]) -> list[bytes]:
     return [bytes([int(p[1:-1], 16)]) if raw else p.replace("▁", " ").encode() for p, raw in zip(pieces, is_byte)]
 
 
-def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[int, list[int], str]:
-    """(groups, link pairs, groups as text) of two sequences of tokens over the same bytes."""
+def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], shown: list[str]) -> tuple[int, list[int], str]:
+    """(groups, link pairs, groups as text) of two sequences of tokens over the
+    same bytes, not none; ``shown`` holds the decimals of all ids."""
     links, groups = [], []
-    i = j = a_end = b_end = 0
-    first_a = first_b = 0
-    while i < len(a) or j < len(b):
-        if a_end <= b_end and i < len(a):  # the side that is behind goes on
-            a_end += len(a_bytes[a[i]])
+    i = j = first_a = first_b = 0
+    a_end, b_end = len(a_bytes[a[0]]), len(b_bytes[b[0]])
+    while True:
+        links.append(a[i] << B_BITS | b[j])
+        if a_end < b_end:
             i += 1
-        else:
-            b_end += len(b_bytes[b[j]])
+            a_end += len(a_bytes[a[i]])
+        elif b_end < a_end:
             j += 1
-        if a_end == b_end and (i > first_a or j > first_b):
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+            b_end += len(b_bytes[b[j]])
+        else:  # both end here
+            i, j = i + 1, j + 1
+            groups.append(",".join([shown[x] for x in a[first_a:i]]) + "|" + ",".join([shown[x] for x in b[first_b:j]]))
+            if i == len(a):
+                return len(groups), links, ";".join(groups)
             first_a, first_b = i, j
-    i = j = a_end = b_end = 0
-    while i < len(a) and j < len(b):
-        a_next, b_next = a_end + len(a_bytes[a[i]]), b_end + len(b_bytes[b[j]])
-        if max(a_end, b_end) < min(a_next, b_next):
-            links.append(a[i] << B_BITS | b[j])
-        if a_next <= b_next:
-            i, a_end = i + 1, a_next
-        if b_next <= a_next:
-            j, b_end = j + 1, b_next
-    return len(groups), links, ";".join(groups)
+            a_end += len(a_bytes[a[i]])
+            b_end += len(b_bytes[b[j]])
+
+
+class Parts(dict):
+    """A ids of the parts of plain words, filled on first use."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenize = tokenizer.model.tokenize
+        self.shown = {i: tokenizer.pre_tokenizer.pre_tokenize_str("!" + chr(i))[-1][0].removeprefix("!") for i in (32, *range(192, 256))}
+
+    def __missing__(self, part: str) -> list[int]:
+        ids = self[part] = [t.id for t in self.tokenize(part.translate(self.shown))]
+        return ids
 
 
 class Aligner:
@@ -126,18 +140,27 @@ class Aligner:
         self.b_bytes = b_token_bytes([self.b.id_to_piece(i) for i in range(n)], [self.b.is_byte(i) for i in range(n)])
         #: Whether no piece holds a space but at its start: words do not meet then.
         self.by_word = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(n))
+        self.shown = [str(i) for i in range(max(len(self.a_bytes), n))]
         self.words: dict[str, tuple[bytes, str, int]] = {}
+        self.parts = Parts(self.a)
+
+    def a_ids(self, texts: list[str]) -> list[list[int]]:
+        """The A ids of a space and each text; plain words by their parts."""
+        out = [[i for p in PARTS(" " + t) for i in self.parts[p]] if PLAIN(t) else None for t in texts]
+        odd = [k for k, ids in enumerate(out) if ids is None]
+        for k, found in zip(odd, self.a.encode_batch_fast([" " + texts[k] for k in odd], add_special_tokens=False)):
+            out[k] = found.ids
+        return out
 
     def encoded(self, texts: list[str]) -> list[tuple[bytes, str, int]]:
         """A space and each text, encoded whole."""
         out = []
-        ids = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        for text, a, b in zip(texts, ids, self.b.encode(texts, num_threads=1)):
-            a, raw = a.ids, (" " + text).encode()
+        for text, a, b in zip(texts, self.a_ids(texts), self.b.encode(texts, num_threads=1)):
+            raw = (" " + text).encode()
             if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
                 out.append((b"", "", -1 << 3 * COUNT_BITS))
                 continue
-            groups, links, shown = aligned(a, b, self.a_bytes, self.b_bytes)
+            groups, links, shown = aligned(a, b, self.a_bytes, self.b_bytes, self.shown)
             out.append((np.array(links, np.uint32).tobytes(), shown, groups << 2 * COUNT_BITS | len(b) << COUNT_BITS | len(a)))
         return out
 
@@ -148,6 +171,7 @@ class Aligner:
         split = [t.split(" ") if self.by_word and t and t[0] != " " and t[-1] != " " and not ODD_SPACE.search(t) else () for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
+            self.parts.clear()
         known = self.words
         new = list(set().union(*split).difference(known))
         for k in range(0, len(new), 20_000):
