@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import rows
+
 from widestat.functions.cells import clean_cell
 from widestat.operators.clean import clean_measures
 
@@ -86,3 +88,27 @@ def test_read_wide_binds_by_position(spark, tmp_path):
     df = read_wide(spark, str(p), [2009, 2010])
     assert df.columns == ["key", "2009", "2010"]
     assert sorted(df.collect(), key=repr) == sorted([("GBIRTHRT_THSP,AT", "9.4 ", ": "), ("GBIRTHRT_THSP,BE", None, "10 b")], key=repr)
+
+
+def test_lost_cells_are_counted_in_the_pass(spark, workdir):
+    from pyspark.sql import Observation
+
+    from widestat.operators.clean import clean_measures, lost_cells
+
+    cells = ["1.2.3", "1 2", "n/a", ": u", None, "", "12.5 b", "7"]
+    df = spark.createDataFrame([(f"k{i}", c, "1") for i, c in enumerate(cells)] + [("IND", "x", "y")], "key string, `2001` string, `2002` string")
+    seen = Observation()
+    clean = clean_measures(df, [2001, 2002], kind="double", missing="null", drop_keys=["IND"], observation=seen)
+    assert clean.columns == df.columns
+    clean.write.parquet(f"{workdir}/clean")
+    assert rows(lost_cells(spark, seen)) == sorted([("2001", "empty", 1), ("2001", "missing", 1), ("2001", "no digits", 2), ("2001", "not one number", 2)])
+    plain = clean_measures(df, [2001, 2002], kind="double", missing="null", drop_keys=["IND"])
+    assert rows(spark.read.parquet(f"{workdir}/clean")) == rows(plain)
+    # every null of the result has a reason
+    assert plain.where("`2001` is null").count() == 6
+    digits = Observation()
+    clean_measures(df, [2001], kind="int", observation=digits).collect()
+    assert rows(lost_cells(spark, digits)) == [("2001", "empty", 1), ("2001", "missing", 1), ("2001", "no digits", 3)]
+    none = Observation()
+    clean_measures(df.limit(0), [2001, 2002], observation=none).collect()
+    assert lost_cells(spark, none).count() == 0

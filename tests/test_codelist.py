@@ -1,7 +1,9 @@
 import os
 
+import pytest
+
 from conftest import rows
-from widestat.sources.codelist import flatten_codes, load_codes, write_code_lists, write_code_rows
+from widestat.sources.codelist import flatten_codes, load_code_tags, load_codes, write_code_lists, write_code_rows
 
 # A structure file shaped like a published one: prefixed names, several lists,
 # a code ("T") present in two lists, a code with no English description.
@@ -97,3 +99,55 @@ def test_structure_files_round_trip(spark, workdir):
     assert rows(codes, "code_list", "code", "description") == sorted(
         [("B", "1", 'One <1> & "more"'), ("A", "2", "Two"), ("A", "1", "Uno"), ("C", "1", "Last")])
     assert {r.code: r.description for r in flatten_codes(codes).collect()} == {"1": "Last", "2": "Two"}
+
+
+CODES = ("code_list", "code", "lang", "description")
+
+
+def test_tags_equal_rows(spark, workdir):
+    path = write_dsd(workdir)
+    for lang in ("en", "de", "fr"):
+        for missing in ("keep", "empty"):
+            assert rows(load_code_tags(spark, path, lang, missing), *CODES) == rows(load_codes(spark, path, lang, missing=missing), *CODES)
+    flat = {r.code: r.description for r in flatten_codes(load_code_tags(spark, path, "en")).collect()}
+    assert flat["T"] == "Tee & more" and flat["F"] == "Females"
+
+
+def test_one_list_over_many_splits(spark, workdir):
+    """A list far larger than a split, a small one after it, several files:
+    equal to the reading of a list as one row, order included."""
+    data = [("f1", "BIG", str(i), i, [("en", f"text {i} <&> \"x\""), ("fr", f"t{i}")] if i % 7 else [("fr", "only")]) for i in range(3000)]
+    data += [("f1", "SMALL", "5", 0, [("en", "five")]), ("f1", "SMALL", "9", 1, [("en", "nine")]), ("f2", "BIG", "5", 0, [("en", "later")])]
+    df = spark.createDataFrame(data, "file string, code_list string, code string, code_pos long, "
+                                     "descriptions array<struct<lang:string,text:string>>")
+    path = write_code_lists(df, os.path.join(workdir, "s"))
+    want = load_codes(spark, path, "en")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert spark.read.option("lineSep", "<").text(path).rdd.getNumPartitions() > 50
+        got = load_code_tags(spark, path, "en")
+        assert rows(got, *CODES) == rows(want, *CODES) and got.count() == 3003
+        place = [(r.code_list, r.code) for r in got.orderBy("code_pos").collect()]
+        assert place == [(r.code_list, r.code) for r in want.orderBy("code_pos").collect()]
+        assert rows(flatten_codes(got), "code", "description") == rows(flatten_codes(want), "code", "description")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_tags_with_odd_markup(spark, workdir):
+    def load(body, name):
+        path = os.path.join(workdir, name)
+        os.makedirs(path)
+        with open(os.path.join(path, "x.xml"), "w") as f:
+            f.write(f'<?xml version="1.0"?><m:S xmlns:m="m" xmlns:s="s"><!-- a comment -->{body}</m:S>')
+        return load_code_tags(spark, path, "en")
+
+    odd = load("""<s:CodeList agencyID='A' id='L>1'><s:Code urn="a>b" value='x&amp;y'/><s:Code value="2"><s:Description
+        xml:lang="en">a &#8211; b</s:Description></s:Code></s:CodeList><s:Code value="loose"><s:Description xml:lang='en'></s:Description></s:Code>""", "a")
+    assert rows(odd, "code_list", "code", "description") == sorted([("L>1", "x&y", None), ("L>1", "2", "a \u2013 b"), ("L>1", "loose", "")], key=repr)
+    for body in ('<s:CodeList id="L"><![CDATA[x]]></s:CodeList>', '<!-- <s:Code value="no"/> -->'):
+        with pytest.raises(Exception, match="read this file with load_codes"):
+            load(body, f"b{len(body)}").collect()
+    assert load("", "c").count() == 0

@@ -60,3 +60,24 @@ def test_persisted_scope(spark):
     with persisted(df) as d:
         assert d.is_cached and d.count() == 100
     assert not df.is_cached
+
+
+def test_row_id_cuts_a_heavy_tie(spark):
+    """One value in most of the rows: several writers, numbers dense and each value's consecutive."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        out = with_row_id(df, ["k"])
+        places = with_row_id(df, ["k"], dense=False)
+        writers = places.where("k = 'hot'").select(F.shiftright("row_id", 33)).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert writers >= 4
+    spans = out.groupBy("k").agg(F.min("row_id"), F.max("row_id"), F.count_distinct("row_id")).orderBy(F.min("row_id")).collect()
+    at = 0
+    for k, first, last, n in spans:
+        assert first == at + 1 and last - first + 1 == n
+        at = last
+    assert at == 30_000 and [r[0] for r in spans] == sorted(r[0] for r in spans)

@@ -1,9 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from widestat.functions.labels import ATTAINMENT_LABELS, age_band
 from widestat.operators.clean import domain_profile
-from widestat.operators.reshape import crosstab, stratum_crosstab, wide_to_long
+from widestat.operators.keys import split_key_pivot_form
+from widestat.operators.reshape import crosstab, discover_values, gather, stratum_crosstab, wide_to_long
 from widestat.operators.translate import relabel, relabel_age
 
 
@@ -100,3 +102,55 @@ def test_domain_profile(spark):
 def test_age_band_expression_leaves_other_text(spark):
     df = spark.createDataFrame([("From 5 to 9 years old",)], "a string")
     assert df.select(age_band("a").alias("a")).first().a == "From 5 to 9 years old"
+
+
+def test_discovered_values_equal_a_plain_pivot(spark):
+    df = long_rows(spark)
+    for bands in (["18-74"], ["18-24", "25-34"], ["18-74", "18-24"]):
+        want = df.filter(F.col("Age").isin(bands)).groupBy("Country", "Year").pivot("Education_Attainment").sum("Proportion")
+        got = crosstab(df, ["Country", "Year"], "Education_Attainment", None, "Proportion", "Age", bands)
+        assert got.columns == want.columns and rows(got) == rows(want)  # a null value is a column, too
+    strata = {"all": ["18-74"], "young": ["18-24", "25-34"]}
+    both = stratum_crosstab(df, strata, "Age", ["Country", "Year"], "Education_Attainment", None, "Proportion")
+    assert both.columns == ["stratum", "Country", "Year", "null", "Secondary", "Tertiary"]
+    assert rows(both.where("stratum = 'young'"), "Tertiary", "Secondary", "null") == [(7.0, None, None)]
+
+
+def test_discovered_values_of_any_type(spark):
+    df = spark.createDataFrame([("a", 10, 1.5, True, 1), ("a", 9, 2.5, False, 2), ("b", 10, 1.5, None, 4)], "k string, i int, d double, b boolean, v int")
+    for c in ("i", "d", "b"):
+        want = df.groupBy("k").pivot(c).sum("v")
+        got = crosstab(df, ["k"], c, None, "v")
+        assert got.columns == want.columns and rows(got) == rows(want), c
+
+
+def test_discovery_is_bounded_and_clashes_fail(spark):
+    df = spark.range(50).select(F.lit("x").alias("k"), F.concat(F.lit("v"), "id").alias("p"), F.col("id").alias("m"))
+    with pytest.raises(ValueError, match="more than 49"):
+        crosstab(df, ["k"], "p", None, "m", max_values=49)
+    assert len(crosstab(df, ["k"], "p", None, "m", max_values=50).columns) == 51
+    spark.conf.set("spark.sql.pivotMaxValues", "10")
+    try:
+        with pytest.raises(ValueError, match="more than 10"):
+            discover_values(df, "p")
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+    two = spark.createDataFrame([("x", None, 1), ("x", "null", 2)], "k string, p string, m int")
+    with pytest.raises(ValueError, match="same text"):
+        crosstab(two, ["k"], "p", None, "m")
+    own = spark.createDataFrame([("x", "k", 1)], "k string, p string, m int")
+    with pytest.raises(ValueError, match="repeat the columns"):
+        crosstab(own, ["k"], "p", None, "m")
+    none = crosstab(own.limit(0), ["k"], "p", None, "m")
+    assert none.columns == ["k"] and none.count() == 0
+
+
+def test_gather_and_pivot_form_with_discovered_names(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (1, "a", "y"), (2, "a", None), (2, "c", "z"), (2, "c", "q")], "id int, name string, value string")
+    out = gather(df, ["id"], "name", "value")
+    assert out.columns == ["id", "a", "b", "c"] and rows(out) == [(1, "y", "x", None), (2, None, None, "q")]
+    keys = spark.createDataFrame([("a,b", 1), ("c", 2), (",".join("x" * 12), 3), (None, 4), ("a,b", 5)], "key string, v int")
+    wide = split_key_pivot_form(keys, "key", None)
+    assert wide.columns == [*(f"code{i}" for i in range(12)), "v"]
+    assert rows(wide, "code0", "code1", "code2", "v") == [("a", "b", None, 1), ("a", "b", None, 5), ("c", None, None, 2), ("x", "x", "x", 3)]
+    assert rows(split_key_pivot_form(keys, "key", ["p", "q"]), "p", "q", "v") == [("a", "b", 1), ("a", "b", 5), ("c", None, 2), ("x", "x", 3)]

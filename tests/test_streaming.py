@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 from conftest import rows
 from widestat.sources.published import read_feed
 from widestat.streaming.feed import feed_schema, in_time_order, write_stream_feed
-from widestat.streaming.runner import read_file_stream, run_stream
-from widestat.streaming.windowed import windowed_max, with_open_windows
+from widestat.streaming.runner import current_epoch, follow_stream, read_file_stream, result_table, run_stream, run_stream_reported
+from widestat.streaming.windowed import drain_windows, late_rows, open_windows, windowed_max
 
 EDU = "Education_Attainment string, Age string, Country string, Year int, Proportion double"
 
@@ -158,16 +158,22 @@ def test_unreadable_result_is_an_error(spark, workdir):
         spark.read.schema(agg.schema).parquet(out).collect()
 
 
-def test_open_windows_are_closed(spark, workdir):
+def test_open_windows_come_from_the_state(spark, workdir):
+    """Closed windows and those in the state are all windows, once each; for
+    instants and wall-clock times alike, and without any micro-batch."""
     edu = education(spark)
     path = write_stream_feed(edu, os.path.join(workdir, "feed"), "Year")
-    schema = feed_schema(edu.schema, "Year")
-    agg = windowed_max(read_file_stream(spark, path, schema, None), ["Country"], "Year", "Proportion", watermark="1 day")
-    closed = run_stream(agg, "closed_test", "append", path=os.path.join(workdir, "o"), checkpoint=os.path.join(workdir, "c"))
-    feed = read_feed(spark, path, schema)
-    every = windowed_max(feed, ["Country"], "Year", "Proportion")
-    assert closed.count() < every.count()
-    assert rows(with_open_windows(closed, feed, ["Country"], "Year", "Proportion", "5 weeks")) == rows(every)
+    for kind in (T.TimestampType(), T.TimestampNTZType()):
+        schema = feed_schema(edu.schema, "Year", kind)
+        agg = windowed_max(read_file_stream(spark, path, schema, None), ["Country"], "Year", "Proportion", watermark="1 day", rows="n")
+        ckpt = os.path.join(workdir, f"c{kind.simpleString()}")
+        closed = run_stream(agg, "closed_test", "append", path=os.path.join(workdir, f"o{kind.simpleString()}"), checkpoint=ckpt)
+        held = open_windows(agg, ckpt, ["Country"])
+        every = windowed_max(read_feed(spark, path, schema), ["Country"], "Year", "Proportion", rows="n")
+        assert 0 < closed.count() < every.count() and held.dtypes == agg.dtypes
+        assert rows(closed.unionByName(held)) == rows(every)
+    none = os.path.join(workdir, "never")
+    assert open_windows(agg, none, ["Country"]).count() == 0
 
 
 def test_update_output_keeps_the_latest_row(spark, workdir):
@@ -200,6 +206,138 @@ def test_streamed_windows_alone_are_complete(spark, workdir):
     every = windowed_max(feed, ["k"], "ts", "v", "1 day")
     last = F.lit("2024-01-11 00:00:00").cast("timestamp_ntz")
     assert rows(closed) == rows(every.where(F.col("window_end") < last)) and closed.count() == 18
-    assert rows(with_open_windows(closed, feed, ["k"], "ts", "v", "1 day", "1 hour")) == rows(every)
-    lost = closed.where("window_start > '2024-01-02'")
-    assert with_open_windows(lost, feed, ["k"], "ts", "v", "1 day", "1 hour").count() == lost.count() + 2
+    assert rows(closed.unionByName(open_windows(agg, os.path.join(workdir, "c"), ["k"]))) == rows(every)
+
+
+@pytest.mark.parametrize("mode,keys", [("complete", ()), ("update", ("Country", "window_start", "window_end")), ("append", ())])
+def test_a_rerun_keeps_its_result(spark, workdir, mode, keys):
+    """The same path and checkpoint: without new files the earlier result, with
+    a new one the whole of both."""
+    edu = education(spark)
+    path = write_stream_feed(edu.where("Year < 2009"), os.path.join(workdir, "feed"), "Year")
+    schema = feed_schema(edu.schema, "Year")
+
+    def run():
+        agg = windowed_max(read_file_stream(spark, path, schema, 2), ["Country"], "Year", "Proportion",
+                           watermark=None if mode == "complete" else "1 day")
+        return run_stream_reported(agg, "rerun_test", mode, path=os.path.join(workdir, "o"), checkpoint=os.path.join(workdir, "c"), keys=keys)
+
+    first, report = run()
+    want = rows(first)
+    assert report.input_rows == 5 * 6 and len(want) >= 3
+    again, report = run()
+    assert rows(again) == want and report.input_rows == 0
+    write_stream_feed(edu.where("Year >= 2009"), path, "Year", replace="present")
+    more, report = run()
+    assert report.input_rows == 2 * 6 and set(want) < set(rows(more))
+    every = windowed_max(read_feed(spark, path, schema), ["Country"], "Year", "Proportion")
+    assert set(rows(more)) <= set(rows(every)) and (mode == "append" or rows(more) == rows(every))
+
+
+def test_running_stream_is_read_in_whole_epochs(spark, workdir):
+    edu = education(spark)
+    path, out, ckpt = (os.path.join(workdir, n) for n in ("feed", "o", "c"))
+    schema = feed_schema(edu.schema, "Year")
+
+    def start():
+        agg = windowed_max(read_file_stream(spark, path, schema, 1), ["Country"], "Year", "Proportion")
+        return follow_stream(agg, "running_test", "complete", path=out, checkpoint=ckpt)
+
+    os.makedirs(path)
+    with start() as running:
+        assert running.read().count() == 0
+        kept = None
+        for upto in (2005, 2007, 2010):
+            write_stream_feed(edu.where(f"Year between {upto - 1} and {upto}"), path, "Year", replace="present")
+            table = running.catch_up().read()
+            want = windowed_max(read_feed(spark, path, schema), ["Country"], "Year", "Proportion")
+            assert rows(table) == rows(want) == rows(spark.table("running_test"))
+            if kept is None:
+                kept = (table, rows(table))
+        last = rows(table)
+    assert os.path.exists(os.path.join(out, f"epoch={current_epoch(spark, out)}")) and not os.path.exists(os.path.join(out, "_current.next"))
+    with start() as running:  # started again: the result is there before any batch
+        assert rows(running.read()) == last
+
+
+def test_pointer_names_only_whole_epochs(spark, workdir):
+    """An epoch that was being written when the stream died is not read."""
+    edu = education(spark)
+    path, out = write_stream_feed(edu, os.path.join(workdir, "feed"), "Year"), os.path.join(workdir, "o")
+    schema = feed_schema(edu.schema, "Year")
+    for mode, keys in (("complete", ()), ("update", ("Country", "window_start", "window_end"))):
+        at = out + mode
+        agg = windowed_max(read_file_stream(spark, path, schema, None), ["Country"], "Year", "Proportion")
+        want = rows(run_stream(agg, "whole_test", mode, path=at, checkpoint=os.path.join(workdir, "c" + mode), keys=keys))
+        broken = agg.schema
+        spark.createDataFrame([("XX", None, None, 99.0)], broken).write.parquet(f"{at}/epoch={current_epoch(spark, at) + 1}")
+        assert rows(result_table(spark, at, broken, mode, keys)) == want
+
+
+def test_late_rows_are_counted_exactly(spark, workdir):
+    """Rows behind a closed window: each is counted, though tasks fold them
+    before the state drops them; what comes in time is not."""
+    day = dt.datetime(2024, 1, 1)
+    on_time = [(f"k{i % 3}", day + dt.timedelta(days=1, minutes=10 * i), float(i)) for i in range(600)]
+    late = [("k0", day + dt.timedelta(minutes=i), 1000.0) for i in range(70)] + [("new", day + dt.timedelta(days=2), 5.0)]
+    in_time = [("k1", day + dt.timedelta(days=5, hours=2), 7.0)] * 4
+    schema = "k string, ts timestamp_ntz, v double"
+    path, out, ckpt = (os.path.join(workdir, n) for n in ("feed", "o", "c"))
+
+    def drain():
+        feed = feed_schema(T._parse_datatype_string(schema), "day", T.DateType())
+        agg = windowed_max(read_file_stream(spark, path, feed, None), ["k"], "ts", "v", "1 day", watermark="1 hour", rows="n")
+        return drain_windows(agg, "late_test", ["k"], path=out, checkpoint=ckpt)
+
+    write_stream_feed(spark.createDataFrame(on_time, schema).withColumn("day", F.to_date("ts")), path, "day", year_int=False)
+    windows, first = drain()
+    assert first.dropped_by_watermark == 0 and first.watermark == "2024-01-06T02:50:00.000Z"
+    assert late_rows(windows, "n", [first]).collect() == [(600, 600, 0)]
+    # Three files of another folder level's day: late rows, and some still in time.
+    extra = spark.createDataFrame(late + in_time, schema).withColumn("day", F.lit("2030-01-01").cast("date"))
+    write_stream_feed(extra, path, "day", year_int=False, replace="present")
+    windows, second = drain()
+    assert second.input_rows == 75 and 0 < second.dropped_by_watermark <= 71
+    assert late_rows(windows, "n", [first, second]).collect() == [(675, 604, 71)]
+    assert windows.where("k = 'new' or max_v = 1000").count() == 0
+
+
+def test_republishing_a_year_leaves_the_others(spark, workdir):
+    edu = education(spark)
+    path = write_stream_feed(edu, os.path.join(workdir, "feed"), "Year")
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".csv")}
+    before = files()
+    again = edu.where("Year = 2006").withColumn("Proportion", F.lit(1.5)).unionByName(
+        edu.where("Year = 2010").withColumn("Year", F.lit(2011)))  # a corrected year and a new one
+    write_stream_feed(again, path, "Year", replace="present")
+    after = files()
+    same = {f: t for f, t in before.items() if "Year=2006" not in f}
+    assert same.items() <= after.items() and len(same) < len(after)
+    back = read_feed(spark, path, feed_schema(edu.schema, "Year")).withColumn("Year", F.year("Year"))
+    assert rows(back, *edu.columns) == rows(edu.where("Year <> 2006").unionByName(again), *edu.columns)
+    write_stream_feed(again, path, "Year")
+    assert {f.split("Year=")[1][:4] for f in files()} == {"2006", "2011"}
+    with pytest.raises(ValueError):
+        write_stream_feed(again, path, "Year", replace="some")
+
+
+def test_feed_order_needs_file_times(spark, workdir, monkeypatch):
+    edu = education(spark)
+    path = write_stream_feed(edu, os.path.join(workdir, "feed"), "Year")
+    assert in_time_order(spark, path) == path
+    import widestat.streaming.feed as feed
+
+    class Deaf:  # a store that ignores setTimes
+        def __init__(self, fs):
+            self.fs = fs
+
+        def setTimes(self, *_):
+            pass
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+    monkeypatch.setattr(feed, "_file_system", lambda *a, f=feed._file_system: Deaf(f(*a)))
+    with pytest.raises(RuntimeError, match="file times"):
+        in_time_order(spark, path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widestat.functions.keys import key_part, key_parts
+from widestat.operators.reshape import discover_values, gather
 
 
 def split_key(df: DataFrame, key: str, names: Sequence[str], sep: str = ",",
@@ -23,16 +24,29 @@ def split_key(df: DataFrame, key: str, names: Sequence[str], sep: str = ",",
     return df.select(*parts, *rest)
 
 
-def split_key_pivot_form(df: DataFrame, key: str, names: Sequence[str], sep: str = ",") -> DataFrame:
+def split_key_pivot_form(df: DataFrame, key: str, names: Sequence[str] | None, sep: str = ",",
+                         max_values: int | None = None) -> DataFrame:
     """``split_key`` by way of the long form: a row for each part of each
-    distinct key, gathered again by one conditional aggregate, joined back on
-    the key itself.  Needs no row number.  Rows with a null key drop out."""
+    distinct key, gathered again by a pivot on the part's name (``code0``,
+    ``code1``, ...), joined back on the key itself.  Needs no row number.  Rows
+    with a null key drop out.
+
+    Without ``names`` the parts keep those names, as many as the longest key
+    has (found by a first pass); with them part ``i`` becomes ``names[i]`` and
+    parts beyond are left out.
+    """
     tall = df.select(F.col(key).alias("__key")).distinct().select(
         "__key", F.posexplode(key_parts(F.col("__key"), sep)).alias("__place", "__part"))
-    wide = tall.groupBy("__key").agg(*[
-        F.max(F.when(F.col("__place") == i, F.col("__part"))).alias(n) for i, n in enumerate(names)])
+    tall = tall.withColumn("__name", F.concat(F.lit("code"), F.col("__place").cast("string")))
+    if names is None:
+        codes = sorted((v for v in discover_values(tall, "__name", max_values)), key=lambda v: (len(v), v))
+        names = codes
+    else:
+        codes = [f"code{i}" for i in range(len(names))]
+    wide = gather(tall, ["__key"], "__name", "__part", codes)
+    joined = df.join(wide, df[key] == wide["__key"]).drop(df[key]).drop(wide["__key"])
     measures = [df[c] for c in df.columns if c != key]
-    return df.join(wide, df[key] == wide["__key"]).select(*[wide[n] for n in names], *measures)
+    return joined.select(*[wide[c].alias(n) for c, n in zip(codes, names)], *measures)
 
 
 def restrict(df: DataFrame, fixed: Mapping[str, str], drop: Sequence[str] = (),

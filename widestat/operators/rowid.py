@@ -9,7 +9,10 @@ number of partitions follows the data (adaptive execution), no key is hashed.
 dense=True:  1..N in order, by the row counts of the partitions before.
 dense=False: the place itself (partition and row), unique and in order.
 
-Equal in all ordering columns, rows are numbered in any order among themselves.
+Rows that are equal in all ordering columns are numbered in the order of a hash
+of the whole row.  The hash is a second range key, so a heavy value (a third of
+the rows, say) is cut over several partitions; only rows that are equal in every
+column stay together, in any order.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ ROW_BITS = 33
 def with_row_id(df: DataFrame, order_cols: Sequence[str], id_col: str = "row_id", dense: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "row-id")
-    (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-     .withColumn("__place", F.monotonically_increasing_id()).write.parquet(path))
+    (df.withColumn("__tie", F.xxhash64(*df.columns)).repartitionByRange(*order_cols, "__tie").sortWithinPartitions(*order_cols, "__tie")
+     .drop("__tie").withColumn("__place", F.monotonically_increasing_id()).write.parquet(path))
     placed = spark.read.parquet(path)
     if not dense:
         return placed.withColumnRenamed("__place", id_col)

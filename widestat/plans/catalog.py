@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from widestat.functions.cells import clean_cell
-from widestat.operators.clean import clean_measures, domain_profile
+from widestat.operators.clean import clean_measures, domain_profile, lost_cells
 from widestat.operators.keys import restrict, split_key, split_key_pivot_form
 from widestat.operators.reshape import crosstab, stratum_crosstab, wide_to_long
 from widestat.operators.rowid import with_row_id
@@ -24,12 +24,12 @@ from widestat.operators.translate import relabel, relabel_age, shorten, translat
 from widestat.operators.trends import co_movement, risers, series_gap, trend
 from widestat.plans import cube, etl
 from widestat.session import scratch_path
-from widestat.sources.codelist import flatten_codes, load_codes, write_code_lists, write_code_rows
+from widestat.sources.codelist import flatten_codes, load_code_tags, load_codes, write_code_lists, write_code_rows
 from widestat.sources.published import publish, read_feed, read_published
 from widestat.sources.wide import preview, read_wide, write_wide
 from widestat.streaming.feed import feed_schema, in_time_order, write_stream_feed
-from widestat.streaming.runner import read_file_stream, run_stream
-from widestat.streaming.windowed import windowed_max, with_open_windows
+from widestat.streaming.runner import follow_stream, read_file_stream, run_stream
+from widestat.streaming.windowed import drain_windows, late_rows, windowed_max
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,9 @@ EVENT_WINDOW = "1 day"
 EVENT_DELAY = "1 hour"
 # Stream replay: files of a micro-batch (the notebooks used 1, a demo value).
 FILES_PER_TRIGGER = 8
+# Last years of the three arrivals of a polled feed; a year published twice.
+POLL_YEARS = (1997, 1999, 9999)
+REPUBLISHED_YEAR = 1996
 # A mapping of more than a few entries: day of the year -> month-like label.
 DAY_LABELS = {str(d): f"day {d:03d}" for d in range(1, 367) if d % 7}
 
@@ -224,8 +227,8 @@ def q_translate_one_join(spark, sf):
 def q_preview_lines(spark, sf):
     # The first raw lines of a source, a fixed number by design.
     wide = cube.orders_wide(spark, sf).select("key", *[str(y) for y in reversed(cube.YEARS)])
-    path = write_wide(wide, scratch_path(spark, "preview"))
-    return preview(spark, path, 10).select(F.size(F.split("value", "\t")).alias("fields"))
+    path = write_wide(wide.orderBy("key"), scratch_path(spark, "preview"))
+    return preview(spark, f"{path}/part-00000-*", 10)
 
 
 def _codes_xml(spark, sf) -> str:
@@ -354,22 +357,119 @@ def _events_feed(spark, sf) -> tuple[str, T.StructType]:
 
 def q_windowed_max_watermark(spark, sf):
     # Append output yields a window once the watermark has passed its end; the
-    # windows still open when the input ends are closed from the feed itself.
+    # windows still open when the input ends are read from the state store.
     path, schema = _events_feed(spark, sf)
     stream = read_file_stream(spark, path, schema, max_files_per_trigger=FILES_PER_TRIGGER)
     agg = windowed_max(stream, ["event_type"], "ts", "value", EVENT_WINDOW, watermark=EVENT_DELAY)
-    closed = run_stream(agg, "events_daily_max", "append")
-    return with_open_windows(closed, read_feed(spark, path, schema), ["event_type"], "ts", "value", EVENT_WINDOW, EVENT_DELAY)
+    return drain_windows(agg, "events_daily_max", ["event_type"])[0]
 
 
 def q_windowed_max_update(spark, sf):
-    # The form for feeds that grow: bounded state, changed rows only.
+    # The form for feeds that grow: the state holds open windows only, and
+    # only changed rows are written.
     path, schema = _events_feed(spark, sf)
     stream = read_file_stream(spark, path, schema, max_files_per_trigger=FILES_PER_TRIGGER)
-    agg = windowed_max(stream, ["event_type"], "ts", "value", EVENT_WINDOW, watermark="3650 days")
+    agg = windowed_max(stream, ["event_type"], "ts", "value", EVENT_WINDOW, watermark=EVENT_DELAY)
     return run_stream(agg, "events_daily_max_update", "update", keys=["event_type", "window_start", "window_end"])
 
 
+def _late_feed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """All events but those of the first day are read first, the first day
+    comes when its windows are closed: (every window, what was lost)."""
+    events = cube.table(spark, sf, "events").select("event_type", "ts", "value").withColumn("day", F.to_date("ts"))
+    first = F.lit(events.agg(F.min("day")).first()[0])
+    path, out, ckpt = (scratch_path(spark, f"late-{n}") for n in ("feed", "windows", "checkpoint"))
+    schema = feed_schema(events.schema, "day", T.DateType())
+
+    def drain():
+        stream = read_file_stream(spark, path, schema, max_files_per_trigger=FILES_PER_TRIGGER)
+        agg = windowed_max(stream, ["event_type"], "ts", "value", EVENT_WINDOW, watermark=EVENT_DELAY, rows="n_rows")
+        return drain_windows(agg, "events_late", ["event_type"], path=out, checkpoint=ckpt)
+
+    write_stream_feed(events.where(F.col("day") > first), path, "day", year_int=False)
+    in_time_order(spark, path)
+    _, on_time = drain()
+    write_stream_feed(events.where(F.col("day") == first), path, "day", year_int=False, replace="present")
+    windows, late = drain()
+    return windows, late_rows(windows, "n_rows", [on_time, late])
+
+
+def q_late_rows(spark, sf):
+    return _late_feed(spark, sf)[1]
+
+
+def q_late_windows(spark, sf):
+    return _late_feed(spark, sf)[0]
+
+
+def q_stream_polls(spark, sf):
+    # The notebooks' loop: a stream that keeps running, read three times while
+    # more years arrive; every read is a whole epoch.
+    orders = cube.table(spark, sf, "orders").withColumn("Year", F.year("o_orderdate"))
+    path, polls = scratch_path(spark, "polled-feed"), scratch_path(spark, "polls")
+    schema = feed_schema(orders.drop("Year").schema, "Year", T.TimestampNTZType())
+    running = None
+    for poll, (after, upto) in enumerate(zip((0, *POLL_YEARS), POLL_YEARS), start=1):
+        write_stream_feed(orders.where(F.col("Year").between(after + 1, upto)), path, "Year", replace="present")
+        if running is None:
+            stream = read_file_stream(spark, path, schema, max_files_per_trigger=FILES_PER_TRIGGER)
+            agg = windowed_max(stream, ["o_orderstatus"], "o_orderdate", "o_totalprice", WINDOW, min_year=1995)
+            running = follow_stream(agg, "orders_polled", "complete")
+        try:
+            running.catch_up().read().withColumn("poll", F.lit(poll)).write.mode("append").parquet(polls)
+        except Exception:
+            running.stop()
+            raise
+    running.stop()
+    return spark.read.parquet(polls)
+
+
+def q_feed_republished(spark, sf):
+    # One year of the feed was published with wrong prices and comes again; the
+    # folders of the other years are not written.
+    orders = cube.table(spark, sf, "orders")
+    dated = orders.withColumn("Year", F.year("o_orderdate"))
+    wrong = F.when(F.col("Year") == REPUBLISHED_YEAR, F.lit(-1.0)).otherwise(F.col("o_totalprice"))
+    path = write_stream_feed(dated.withColumn("o_totalprice", wrong), scratch_path(spark, "republished-feed"), "Year")
+    write_stream_feed(dated.where(F.col("Year") == REPUBLISHED_YEAR), path, "Year", replace="present")
+    return read_feed(spark, path, feed_schema(orders.schema, "Year", T.TimestampNTZType())).withColumn("Year", F.year("Year"))
+
+
+def q_crosstab_discovered(spark, sf):
+    # The pivot's values are the suppliers' nations, declared nowhere.
+    lines = cube.table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
+    supplier = cube.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    nation = cube.table(spark, sf, "nation").select("n_nationkey", "n_name")
+    named = (lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+             .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
+    return crosstab(named, ["l_returnflag"], "n_name", None, "q")
+
+
+def q_split_key_pivot_discovered(spark, sf):
+    return split_key_pivot_form(cube.orders_wide(spark, sf), "key", None)
+
+
+def q_lost_cells(spark, sf):
+    # Counted while the table is cleaned and written, not by another pass.
+    seen = Observation()
+    clean = clean_measures(cube.dirty_wide(spark, sf), cube.YEARS, kind="double", missing="null", observation=seen)
+    clean.write.parquet(scratch_path(spark, "cleaned"))
+    return lost_cells(spark, seen)
+
+
+def q_codelist_tags(spark, sf):
+    # One list that grows with the customers, split over tasks by tags.
+    path = write_code_lists(cube.one_list_rows(spark, sf), scratch_path(spark, "one-list"))
+    return load_code_tags(spark, path, "en").select("code_list", "code", "lang", "description")
+
+
+def q_row_number_ties(spark, sf):
+    # Three values over all orders: numbers are dense, and each value's are consecutive.
+    orders = cube.table(spark, sf, "orders").select("o_orderstatus", "o_orderkey")
+    return (with_row_id(orders, ["o_orderstatus"], "row_id").groupBy("o_orderstatus")
+            .agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"), F.count_distinct("row_id").alias("n_ids")))
+
+
 def q_trend(spark, sf):
     out = trend(etl.from_orders(spark, sf).natality, "Country", "Year", "Births")
     return out.withColumn("slope", F.round("slope", 6))
@@ -444,5 +544,14 @@ def queries() -> dict[str, Query]:
         "co_movement": q_co_movement,
         "series_gap": q_series_gap,
         "risers": q_risers,
+        "late_rows": q_late_rows,
+        "late_windows": q_late_windows,
+        "stream_polls": q_stream_polls,
+        "feed_republished": q_feed_republished,
+        "crosstab_discovered": q_crosstab_discovered,
+        "split_key_pivot_discovered": q_split_key_pivot_discovered,
+        "lost_cells": q_lost_cells,
+        "codelist_tags": q_codelist_tags,
+        "row_number_ties": q_row_number_ties,
     })
     return reg

@@ -107,6 +107,19 @@ def births_wide(spark: SparkSession, sf_dir: str, counts: DataFrame | None = Non
     return both.select("key", *[_flagged(f"n{y}", "p", 3).alias(str(y)) for y in YEARS])
 
 
+def dirty_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``W`` with cells as they should not be, by the count modulo six: several
+    dots, a flag, two numbers, no digit, no text at all, a plain number; ``:``
+    where there are no orders."""
+    def cell(n: str) -> F.Column:
+        return F.expr(f"""CASE WHEN {n} IS NULL THEN ':' WHEN {n} % 6 = 0 THEN concat_ws('.', {n}, {n}, {n}) WHEN {n} % 6 = 1 THEN concat({n}, ' b')
+            WHEN {n} % 6 = 2 THEN concat({n}, ' ', {n}) WHEN {n} % 6 = 3 THEN 'n/a' WHEN {n} % 6 = 4 THEN NULL ELSE CAST({n} AS STRING) END""")
+
+    key = F.concat_ws(",", "o_orderstatus", "c_mktsegment", "o_orderpriority", F.col("c_nationkey").cast("string")).alias("key")
+    sums = order_counts(spark, sf_dir).groupBy(key).agg(*_year_sums())
+    return sums.select("key", *[cell(f"n{y}").alias(str(y)) for y in YEARS])
+
+
 def nation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code table ``(code_list, code, lang, description, code_pos)``: nations
     as list ``GEO`` then regions as list ``REGION`` — codes 0-4 exist in both.
@@ -167,6 +180,14 @@ def structure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(rows("region", "r_regionkey", "r_name", F.lit("c-region"), F.lit(REGION_LIST))))
 
 
+def one_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code rows for one structure file: a list of all customers, with the
+    nations and regions as lists after it."""
+    rows = structure_rows(spark, sf_dir)
+    listed = F.when(F.col("file").startswith("a-customer"), F.lit("A_CUSTOMER")).otherwise(F.col("code_list"))
+    return rows.withColumn("code_list", listed).withColumn("file", F.lit("lists"))
+
+
 # Descriptions of the order table's own codes, for the flow from files.
 STATUS_TEXT = {"F": "Finished", "O": "Open", "P": "Pending"}
 PRIORITY_TEXT = {"1-URGENT": "From 18 to 24 years", "2-HIGH": "From 25 to 34 years", "3-MEDIUM": "From 18 to 74 years",

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from widestat.operators.slices import SLICE_SOURCE
 from widestat.plans import cube, etl
-from widestat.plans.catalog import ORDER_SLICES, PART_LABEL_PAIRS, PART_TYPE_LABELS
+from widestat.plans.catalog import ORDER_SLICES, PART_LABEL_PAIRS, PART_TYPE_LABELS, POLL_YEARS
 
 YEARS = cube.YEARS
 
@@ -280,8 +280,11 @@ LEFT JOIN region ON CAST(r_regionkey AS VARCHAR) = code"""
     out["translate_one_join"] = """SELECT o_orderkey, coalesce(a.c_name, CAST(o_custkey AS VARCHAR)) AS customer,
   coalesce(b.c_name, CAST(o_orderkey % 1000 AS VARCHAR)) AS contact
 FROM orders LEFT JOIN customer a ON a.c_custkey = o_custkey LEFT JOIN customer b ON b.c_custkey = o_orderkey % 1000"""
-    out["preview_lines"] = (f"WITH {W_CTE}\nSELECT {len(YEARS) + 1} AS fields FROM (SELECT key FROM W UNION ALL SELECT 'header') "
-                            "LIMIT 10")
+    newest = [str(y) for y in reversed(YEARS)]
+    line = " || chr(9) || ".join(["key", *(f'"{y}"' for y in newest)])
+    out["preview_lines"] = f"""WITH {W_CTE}
+SELECT {" || chr(9) || ".join(_q(c) for c in ("key", *newest))} AS value
+UNION ALL (SELECT {line} FROM W ORDER BY key LIMIT 9)"""
     out["lineitem_crosstab"] = LINE_SQL
     out["translate_customer_names"] = """SELECT o_orderkey, coalesce(c.c_name, CAST(o.o_custkey AS VARCHAR)) AS customer
 FROM orders o LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = CAST(o.o_custkey AS VARCHAR)"""
@@ -300,6 +303,31 @@ FROM ev WHERE year(ts) > 1995 GROUP BY 1, 2, 3"""
   FROM events GROUP BY 1, 2, 3)
 SELECT * FROM b"""
     out["windowed_max_update"] = out["windowed_max_watermark"]
+    first = "(SELECT min(CAST(ts AS DATE)) FROM events)"
+    out["late_rows"] = f"""SELECT count(*) AS input_rows, count(*) FILTER (WHERE CAST(ts AS DATE) > {first}) AS kept_rows,
+  count(*) FILTER (WHERE CAST(ts AS DATE) = {first}) AS late_rows FROM events"""
+    out["late_windows"] = out["windowed_max_watermark"].replace("max(value) AS max_value", "max(value) AS max_value, count(*) AS n_rows").replace(
+        "FROM events", f"FROM events WHERE CAST(ts AS DATE) > {first}")
+    out["stream_polls"] = " UNION ALL ".join(
+        f"SELECT {poll} AS poll, * FROM (" + _window_sql(f"(SELECT * FROM orders WHERE year(o_orderdate) <= {upto})", "o_orderstatus", "o_orderdate",
+                                                        "o_totalprice", 1995) + ")" for poll, upto in enumerate(POLL_YEARS, start=1))
+    out["feed_republished"] = 'SELECT *, CAST(year(o_orderdate) AS INTEGER) AS "Year" FROM orders'
+    nations = ", ".join(f"sum(CASE WHEN n_name = 'NATION_{i}' THEN l_quantity END) AS \"NATION_{i}\"" for i in range(25))
+    out["crosstab_discovered"] = f"""SELECT l_returnflag, {nations}
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY l_returnflag"""
+    out["split_key_pivot_discovered"] = (f"WITH {W_CTE}\nSELECT " + ", ".join(f"split_part(key, ',', {i + 1}) AS code{i}" for i in range(4))
+                                         + f", {YEAR_COLS} FROM W")
+    out["lost_cells"] = f"""WITH {W_CTE},
+grid AS (SELECT k.key, y.y, cnt.n FROM (SELECT DISTINCT key FROM cnt) k CROSS JOIN (SELECT unnest({list(YEARS)}) AS y) y
+  LEFT JOIN cnt ON cnt.key = k.key AND cnt.y = y.y),
+why AS (SELECT CAST(y AS VARCHAR) AS "column", CASE WHEN n IS NULL THEN 'missing' WHEN n % 6 IN (0, 2) THEN 'not one number'
+  WHEN n % 6 = 3 THEN 'no digits' WHEN n % 6 = 4 THEN 'empty' END AS reason FROM grid)
+SELECT "column", reason, count(*) AS n FROM why WHERE reason IS NOT NULL GROUP BY 1, 2"""
+    out["codelist_tags"] = """SELECT 'A_CUSTOMER' AS code_list, CAST(c_custkey AS VARCHAR) AS code, 'en' AS lang, c_name AS description FROM customer
+UNION ALL SELECT 'GEO', CAST(n_nationkey AS VARCHAR), 'en', n_name FROM nation
+UNION ALL SELECT 'REGION', CAST(r_regionkey AS VARCHAR), 'en', r_name FROM region"""
+    out["row_number_ties"] = """SELECT o_orderstatus, min(r) AS first_id, max(r) AS last_id, count(DISTINCT r) AS n_ids
+FROM (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS r FROM orders) GROUP BY o_orderstatus"""
     out["trend"] = f"""WITH {NAT_CTE}
 SELECT Country, count(*) AS n, round(regr_slope(CAST(Births AS DOUBLE), CAST("Year" AS DOUBLE)), 6) AS slope,
   min("Year") AS first_t, max("Year") AS last_t,

@@ -7,10 +7,12 @@ tasks; nothing is parsed on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from widestat.session import scratch_path
+
 CODES_COLUMNS = ["code_list", "code", "lang", "description", "code_pos"]
 
 _DESCRIPTIONS = T.ArrayType(T.StructType([
@@ -88,6 +90,72 @@ def load_codes(spark: SparkSession, path: str, lang: str = "en", row_tag: str =
     return codes.select("code_list", "code", F.lit(lang).alias("lang"), "description", "code_pos")
 
 
+#: A tag up to its end, and the text after it; ``>`` may stand in attributes.
+_TAG = r"""(?s)^(/?)(?:[^\s:>/]+:)?([^\s:>/]+)((?:[^>"']|"[^"]*"|'[^']*')*)>(.*)$"""
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    """An attribute's value, by its local name; null without it."""
+    found = rf"""(?s)(?:^|[\s:]){name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    value = F.concat(F.regexp_extract(attributes, found, 1), F.regexp_extract(attributes, found, 2))
+    return F.when(attributes.rlike(found), _decoded(value))
+
+
+def _decoded(text: Column) -> Column:
+    """Entities and character references, read by Spark's XML functions."""
+    return F.when(text.contains("&"), F.xpath_string(F.concat(F.lit("<a>"), text, F.lit("</a>")), F.lit("a"))).otherwise(text)
+
+
+def load_code_tags(spark: SparkSession, path: str, lang: str = "en", missing: str = "keep") -> DataFrame:
+    """``load_codes`` of structure files whose lists may be larger than a row.
+
+    The files are read as one row a tag (text cut at ``<``), so a list is split
+    over tasks like any text.  Every code and description is then given the
+    last list and code that began before it: within a block of a file by a
+    window over the block, across blocks by what the blocks before end with (a
+    row a block).  The tags of interest are written once under the shared
+    checkpoint folder, so both see the same places.
+
+    Columns, order and modes are those of ``load_codes``.  CDATA sections, and
+    comments that hold tags, are an error: read such files with ``load_codes``.
+    """
+    if missing not in ("keep", "empty"):
+        raise ValueError("missing must be 'keep' or 'empty'")
+    raw = spark.read.option("lineSep", "<").text(path).select("value", _file_place().alias("at"))
+    odd = F.col("value").startswith("![CDATA[") | (F.col("value").startswith("!--") & ~F.col("value").contains("-->"))
+    tag = F.when(odd, F.raise_error(F.lit("a CDATA section or a comment with tags: read this file with load_codes")).cast("string")).otherwise(F.col("value"))
+    parts = raw.select("at", tag.alias("value")).select(
+        "at", *[F.regexp_extract("value", _TAG, i).alias(n) for i, n in ((1, "close"), (2, "name"), (3, "attributes"), (4, "text"))])
+    attributes = F.col("attributes")
+    opened = parts.where("close = ''").select(
+        F.col("at.file").alias("file"), F.col("at.block").alias("block"), F.col("at.row").alias("row"),
+        F.when(F.col("name") == "CodeList", F.struct(_attribute(attributes, "id").alias("id"))).alias("list"),
+        F.when(F.col("name") == "Code", F.struct(F.col("at").alias("at"), _attribute(attributes, "value").alias("value"))).alias("code"),
+        F.when((F.col("name") == "Description") & (_attribute(attributes, "lang") == lang), _decoded(F.col("text"))).alias("text"))
+    scratch = scratch_path(spark, "code-tags")
+    opened.where("list is not null or code is not null or text is not null").write.parquet(scratch)
+    tags = spark.read.parquet(scratch)
+
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = tags.groupBy("file", "block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("row"))).alias(c) for c in ("list", "code")])
+    before = ends.select(F.col("file").alias("of"), F.col("block").alias("in"),
+                         *[F.last(c, ignorenulls=True).over(in_file).alias(f"{c}_before") for c in ("list", "code")])
+    in_block = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    carried = (tags.select("file", "block", "text", F.col("code").isNotNull().alias("begins"), "row",
+                           *[F.last(c, ignorenulls=True).over(in_block).alias(c) for c in ("list", "code")])
+               .join(before, (F.col("file") == F.col("of")) & (F.col("block") == F.col("in")))
+               .select("block", "row", "text", "begins", F.coalesce("list", "list_before").alias("list"), F.coalesce("code", "code_before").alias("code"))
+               .where("begins or (text is not null and code is not null)"))
+    texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("block", "row", "text"))))
+    codes = carried.groupBy(F.col("code.at").alias("list_pos")).agg(
+        F.max("list.id").alias("code_list"), F.max("code.value").alias("code"), texts.alias("texts"))
+    described = F.when(F.size("texts") > 0, F.array_join(F.transform("texts", lambda t: t["text"]), ""))
+    if missing == "empty":
+        described = F.coalesce(described, F.lit(""))
+    return codes.select("code_list", "code", F.lit(lang).alias("lang"), described.alias("description"),
+                        F.struct("list_pos", F.lit(0).cast("bigint").alias("pos")).alias("code_pos"))
+
+
 def flatten_codes(codes: DataFrame) -> DataFrame:
     """All lists merged into one code -> description map, last code in file
     order wins (the notebook's ``toMap`` behaviour).  Grouped on executors."""
@@ -103,7 +171,7 @@ def write_code_lists(codes: DataFrame, path: str, prefix: str = "structure") ->
     """Write ``(file, code_list, code, code_pos, descriptions)`` as structure
     files in the published form: one file for each value of ``file`` (a folder
     level ``file=..``), holding prefixed ``CodeList`` elements with their codes
-    in ``code_pos`` order, the lists by name.  A list is one element, so it is one row here."""
+    in ``code_pos`` order, the lists by name.  A list of any length is written line by line."""
     def tag(name: str) -> str:
         return f"{prefix}:{name}" if prefix else name
 
@@ -115,16 +183,21 @@ def write_code_lists(codes: DataFrame, path: str, prefix: str = "structure") ->
     described = F.array_join(F.transform("descriptions", lambda d: F.concat(
         F.lit(f'<{tag("Description")} xml:lang="'), d["lang"], F.lit('">'), escape(d["text"]), F.lit(f"</{tag('Description')}>"))), "")
     code = F.concat(F.lit(f'<{tag("Code")} value="'), escape(F.col("code")), F.lit('">'), described, F.lit(f"</{tag('Code')}>"))
-    lists = codes.groupBy("file", "code_list").agg(F.array_sort(F.collect_list(F.struct("code_pos", code.alias("xml")))).alias("c"))
-    element = F.concat(F.lit(f'<{tag("CodeList")} id="'), F.col("code_list"), F.lit('">'),
-                       F.array_join(F.transform("c", lambda x: x["xml"]), ""), F.lit(f"</{tag('CodeList')}>"))
-    rows = lists.select("file", F.lit(1).alias("part"), "code_list", element.alias("value"))
-    files = codes.select("file").distinct()
-    for part, line in ((0, f'<{prefix or "x"}s:Structure xmlns:{prefix or "x"}s="urn:message" xmlns:{prefix or "x"}="urn:structure">'),
-                       (2, f"</{prefix or 'x'}s:Structure>")):
-        rows = rows.unionByName(files.select("file", F.lit(part).alias("part"), F.lit("").alias("code_list"), F.lit(line).alias("value")))
-    # One task a file: the root's start, the lists as lines in order, its end.
-    (rows.repartition("file").sortWithinPartitions("file", "part", "code_list")
+    lists, files = codes.select("file", "code_list").distinct(), codes.select("file").distinct()
+
+    def lines(of: DataFrame, part: int, place: int, line: Column) -> DataFrame:
+        whole = "code_list" in of.columns
+        return of.select("file", F.lit(part).alias("part"), (F.col("code_list") if whole else F.lit("")).alias("code_list"), F.lit(place).alias("place"),
+                         (F.col("code_pos") if "code_pos" in of.columns else F.lit(None)).cast("long").alias("code_pos"), line.alias("value"))
+
+    root = prefix or "x"
+    rows = (lines(files, 0, 0, F.lit(f'<{root}s:Structure xmlns:{root}s="urn:message" xmlns:{root}="urn:structure">'))
+            .unionByName(lines(lists, 1, 0, F.concat(F.lit(f'<{tag("CodeList")} id="'), F.col("code_list"), F.lit('">'))))
+            .unionByName(lines(codes, 1, 1, code))
+            .unionByName(lines(lists, 1, 2, F.lit(f"</{tag('CodeList')}>")))
+            .unionByName(lines(files, 2, 0, F.lit(f"</{root}s:Structure>"))))
+    # One task a file; every list and code is a line of its own, in order.
+    (rows.repartition("file").sortWithinPartitions("file", "part", "code_list", "place", "code_pos", "value")
      .select("file", "value").write.mode("overwrite").partitionBy("file").text(path))
     return path
 

@@ -18,9 +18,14 @@ def year_to_timestamp(c: str) -> F.Column:
 
 
 def write_stream_feed(df: DataFrame, path: str, part_col: str = "Year", year_int: bool = True,
-                      max_records_per_file: int = MAX_RECORDS_PER_FILE) -> str:
+                      max_records_per_file: int = MAX_RECORDS_PER_FILE, replace: str = "all") -> str:
     """Write ``df`` as headed CSV, one folder per value of ``part_col``.
 
+    replace ``all``: the feed becomes exactly ``df``.  ``present``: only the
+        folders of values that ``df`` holds are replaced (dynamic partition
+        overwrite); the files of all others stay as they are, so single years
+        are published or corrected without the rest.
+
     year_int: ``part_col`` holds an integer year; it becomes a timestamp
         (``Year=2005-01-01 00%3A00%3A00``), as the stream reads event time.
 
@@ -30,19 +35,28 @@ def write_stream_feed(df: DataFrame, path: str, part_col: str = "Year", year_int
     third of the rows is still written in parallel.
     """
     out = df.withColumn(part_col, year_to_timestamp(part_col)) if year_int else df
-    (out.hint("rebalance", part_col).write.mode("overwrite").partitionBy(part_col)
+    modes = {"all": "static", "present": "dynamic"}
+    if replace not in modes:
+        raise ValueError("replace must be 'all' or 'present'")
+    (out.hint("rebalance", part_col).write.mode("overwrite").option("partitionOverwriteMode", modes[replace]).partitionBy(part_col)
      .option("maxRecordsPerFile", max_records_per_file).option("header", True).csv(path))
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def in_time_order(spark: SparkSession, path: str) -> str:
     """Give the files of a feed file times in the order of their folders, so a
     file stream reads a folder's files before those of the next folder.
-    Folder names must sort by time."""
+    Folder names must sort by time.  A store that does not keep the times
+    (object stores) is an error: days would arrive in any order, and a
+    watermark would drop rows of those that come last."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, files = fs.listFiles(at, True), []
+    fs = _file_system(spark, path)
+    found, files = fs.listFiles(jvm.org.apache.hadoop.fs.Path(path), True), []
     while found.hasNext():
         file = found.next().getPath()
         if not file.getName().startswith(("_", ".")):
@@ -50,6 +64,8 @@ def in_time_order(spark: SparkSession, path: str) -> str:
     start = jvm.java.lang.System.currentTimeMillis()
     for i, (_, _, file) in enumerate(sorted(files, key=lambda f: f[:2])):
         fs.setTimes(file, start + i, -1)
+        if fs.getFileStatus(file).getModificationTime() != start + i:
+            raise RuntimeError(f"{path}: the file system does not keep file times, so the feed cannot be read in time order")
     return path
 
 
