@@ -67,13 +67,13 @@ def test_row_id_cuts_a_heavy_tie(spark):
     from pyspark.sql import functions as F
 
     df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         out = with_row_id(df, ["k"])
         places = with_row_id(df, ["k"], dense=False)
         writers = places.where("k = 'hot'").select(F.shiftright("row_id", 33)).distinct().count()
     finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert writers >= 4
     spans = out.groupBy("k").agg(F.min("row_id"), F.max("row_id"), F.count_distinct("row_id")).orderBy(F.min("row_id")).collect()
     at = 0
