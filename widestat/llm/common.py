@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from widestat.session import scratch_path
+from widestat.session import drop_scratch, scratch_path
 
 # Functions of this subpackage travel to the executors by value, so the workers
 # need not have the package installed.
@@ -46,6 +46,26 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written intermediates of one operator, dropped when its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop_all_but(self, result: DataFrame) -> None:
+        for out, path in self.paths.values():
+            if out is not result:
+                drop_scratch(self.spark, path)
+        self.paths = {k: v for k, v in self.paths.items() if v[0] is result}
+
+
 def worker_cached(key: tuple, make: Callable[[], object]) -> object:
     """``make()``, once for the Python worker that runs the task: Spark reuses
     its workers, so a model is loaded and a cache warmed once, not for every

@@ -36,8 +36,8 @@ STEP = 2
 NODE_SIZE = 16_384
 SEED = 42
 #: Node pairs walked at a time, and the product of sizes below which a pair is
-#: compared directly.
-CHUNK, DIRECT = 100_000, 64
+#: compared directly: at most their product of fingerprint pairs is held at once.
+CHUNK, DIRECT = 4_096, 64
 
 
 def fingerprint(text: str, shingle: int) -> int:
