@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from widestat.llm import decontaminate as D
 
 
@@ -74,8 +76,9 @@ def test_empty_tables(spark, docs):
     assert D.find_overlaps(docs([]), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
 
 
-def test_removal_keeps_clean_and_null_ids(spark, docs):
+def test_removal_goes_by_id_and_text(spark, docs):
     item = " ".join(f"k{i}" for i in range(20))
-    rows = docs([(1, item), (2, "clean text"), (None, item)])
+    rows = docs([(1, item), (2, "clean text"), (None, item), (None, "clean, no id"), (3, item + " more"), (3, "clean, shared id"), (4, None)])
     benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
-    assert sorted(r.doc_id or 0 for r in D.remove_contaminated(rows, D.find_overlaps(rows, benchmark)).collect()) == [0, 2]
+    left = D.remove_contaminated(rows.withColumn("item", F.lit("clash")).withColumn("__row", F.lit(1)), benchmark)
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "clean, no id"), (2, "clean text"), (3, "clean, shared id"), (4, "")]

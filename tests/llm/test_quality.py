@@ -83,7 +83,7 @@ def test_risk_holds_for_every_stratum(spark, docs):
 
 def test_keep_good_and_empty_tables(spark, docs):
     calm = " ".join(f"word{i}" for i in range(60))
-    rows = docs([(1, calm), (2, "short"), (None, calm)])
+    rows = docs([(1, calm), (2, "short"), (None, calm), (None, "short"), (1, "short, too")])
     labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
     assert sorted(r.doc_id or 0 for r in Q.keep_good(rows, Q.judge(rows, labels)).collect()) == [0, 1]
     assert Q.judge(docs([]), labels).count() == 0

@@ -154,7 +154,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.withColumnsRenamed({"doc": out[0], "item": out[1]})
 
 
-def remove_contaminated(docs: DataFrame, overlaps: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents without any overlap; rows with a null id stay."""
-    flagged = overlaps.select(F.col(id_col).alias("__flagged")).distinct()
-    return docs.join(flagged, F.col(id_col) == F.col("__flagged"), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without any overlap (``find_overlaps``).  A row is known by
+    its id and text, on which the overlap rests, so rows that share an id, or
+    have none, stay or go by themselves."""
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("hash")).alias("__row"),
+                        F.col(text_col).alias("__text"))
+    found = find_overlaps(keyed, benchmark, id_col="__row", text_col="__text", **options)
+    gone = found.select(F.col("__row.id").alias("__gone"), F.col("__row.hash").alias("__hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.xxhash64(text_of(text_col)) == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")

@@ -81,18 +81,18 @@ def repeated_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, stratum: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, stratum, counts, base_failed), one row for each input row."""
+    """(id, text_hash, stratum, counts, base_failed), one row for each input row."""
     text = text_of(text_col)
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
     counted = docs.select(
-        F.col(id_col).alias("id"), F.col(stratum).alias("stratum"),
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(stratum).alias("stratum"),
         let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"))).alias("w"),
         without(text, WHITE).cast("long").alias("word_chars"),
         (F.length(text) - without(text, SYMBOLS)).cast("long").alias("n_symbols"),
         (F.length(text) - without(text, CAPITALS)).cast("long").alias("n_capitals"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("l"))
     return counted.select(
-        "id", "stratum", F.col("w.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "id", "text_hash", "stratum", F.col("w.n").cast("long").alias("n_words"), "word_chars", "n_symbols",
         F.col("l.d").cast("long").alias("n_dup_lines"), F.col("w.r").cast("long").alias("n_repeat_words"),
         F.col("l.n").cast("long").alias("n_lines"), "n_capitals").withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -158,11 +158,15 @@ def digest(judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
                          F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-def keep_good(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that are kept.  Rows that share an id with a rejected row
-    go with it; rows with a null id stay if no such row is rejected."""
-    gone = judged.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+def keep_good(docs: DataFrame, judged: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are kept.  A row is known by its id, text and stratum,
+    on which the verdict rests, so rows that share an id, or have none, stay or
+    go by themselves."""
+    gone = judged.where(~F.col("kept")).select(
+        F.col(id_col).alias("__gone"), F.col("text_hash").alias("__hash"), F.col("stratum").alias("__stratum")).distinct()
+    same = (F.col(id_col).eqNullSafe(F.col("__gone")) & (F.xxhash64(text_of(text_col)) == F.col("__hash"))
+            & F.col(stratum).eqNullSafe(F.col("__stratum")))
+    return docs.join(gone, same, "left_anti")
 
 
 def oracle_sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
