@@ -128,3 +128,17 @@ def test_rows_without_an_id_of_their_own_are_picked_singly(docs):
         for ids in ({None, 7}, set(range(100, 145))):
             part = [r for r in out[0] if r.doc_id in ids]
             assert len(part) in (60, 45) and abs(sum(r.taken for r in part) - part[0].target) <= (size + 1) / 2
+
+
+def test_giants_and_small_documents(docs):
+    """One document of 3,000 words among many of ten: every source comes within
+    the smallest document of its target, whatever the order."""
+    for seed in range(3):
+        rows = [(1000 * k + i, "w " * (3000 if i == 0 else 10), "en", s) for k, s in enumerate("ab") for i in range(401)]
+        mixed, report = M.mix(docs(rows), F.array("source"), seed=seed)
+        taken = {}
+        for r in mixed.collect():
+            taken[r.sources[0]] = taken.get(r.sources[0], 0) + r.taken
+            assert r.taken <= 3 * r.size
+        for s, _, target, _ in report:
+            assert abs(taken[s] - target) <= 10, (seed, s)

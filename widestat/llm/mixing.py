@@ -10,9 +10,12 @@ met without it, and no document is taken more than ``MAX_PASSES`` times.
 A pattern's share is turned into whole passes and a rest.  The rest is filled
 by documents in a seeded order: word totals by order bucket find the bucket in
 which the rest ends, documents before it are taken, and only that bucket is
-walked document by document.  What is still open is filled by the largest
-documents that fit, ``FILL_ROUNDS`` of them for a pattern, and by one document
-more where that ends nearer to the share.
+walked document by document.  Where the document at the edge does not fit, those
+larger than the gap are set aside and the filling goes on with the others, until
+no document that is left fits.  A round takes the largest one that fits if that is
+more than half of the gap, else as many as fit in the seeded order, so it halves
+the gap at least and the rounds are few whatever the sizes.  At the end one
+document more is taken where that ends nearer to the share.
 
 Quotas: sources in code-point order, null last, weigh 1, 2, 3, repeating, and
 share all words by weight; a quota stops at ``MAX_PASSES`` times its source's
@@ -35,8 +38,8 @@ from widestat.llm.common import WORD, materialized, text_of
 
 MAX_PASSES = 3
 SEED = 7
-FILL_ROUNDS = 4
 BUCKET_BITS = 14
+LEAST_LONG, LAST_LONG = -(1 << 63), (1 << 63) - 1
 #: More distinct source sets than this are refused: they no longer fit the driver.
 MAX_PATTERNS = 200_000
 
@@ -174,54 +177,76 @@ def mix(docs: DataFrame, sources: Column, weights=(1, 2, 3), seed: int = SEED, i
 
     plan = by_pattern(shares, "pattern string, passes long, rest long")
 
-    bucket = F.shiftrightunsigned("place", 64 - BUCKET_BITS)
-    upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    filled = (slim.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-              .withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(plan, "pattern")
-              .where("before <= rest and rest < before + words"))
-    ends = filled.select("pattern", "bucket", (F.col("rest") - F.col("before")).alias("gap")).collect()
-    at = {r["pattern"]: (r["bucket"], r["gap"]) for r in ends}
-    edge = by_pattern([(p, *at.get(p, (0, 0)), n) for p, n, _ in shares], "pattern string, bucket long, gap long, passes long")
-    placed = slim.join(edge, "pattern")
-    inside = placed.where(bucket == F.col("bucket")).withColumn("run", F.sum("size").over(
-        Window.partitionBy("pattern").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = materialized(
-        placed.where(bucket != F.col("bucket")).withColumn("extra", (bucket < F.col("bucket")).cast("long"))
-        .select("id", "sources", "pattern", "size", "place", "passes", "extra")
-        .unionByName(inside.withColumn("extra", (F.col("run") <= F.col("gap")).cast("long"))
-                     .select("id", "sources", "pattern", "size", "place", "passes", "extra")), "mix-chosen")
     rest = {p: r for p, _, r in shares}
-    for r in chosen.where("extra = 1").groupBy("pattern").agg(F.sum("size").alias("words")).collect():
-        rest[r["pattern"]] -= r["words"]
+    chosen = slim.join(plan, "pattern").select("id", "sources", "pattern", "size", "place", "passes", F.col("place").bitwiseXOR(F.lit(LEAST_LONG)).alias("turn"))
+    # What is taken beyond the whole passes: of a pattern, documents of at most
+    # ``room`` words up to ``turn`` in the order.  A few rows a pattern, one a round.
+    rounds: list[tuple] = []
+
+    def taken_by(rows: list[tuple]) -> DataFrame:
+        return by_pattern(rows, "pattern string, upto_size long, upto_turn long")
+
+    def untaken(df: DataFrame) -> DataFrame:
+        if not rounds:
+            return df
+        limit = taken_by(rounds).withColumnRenamed("pattern", "of")
+        return df.join(limit, (F.col("pattern") == F.col("of")) & (F.col("size") <= F.col("upto_size")) & (F.col("turn") <= F.col("upto_turn")), "left_anti")
+
+    def fill(room: list[tuple]) -> None:
+        """Take what fits in the seeded order; ``room``: (pattern, words left, largest size)."""
+        open_to = untaken(chosen.where("size > 0")).join(by_pattern(room, "pattern string, room long, largest long"), "pattern").where("size <= largest")
+        bucket = F.shiftright("turn", 64 - BUCKET_BITS)
+        upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        totals = (open_to.groupBy("pattern", "room", "largest", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.max("turn").alias("last"))
+                  .withColumn("through", F.sum("words").over(upto)))
+        # The buckets that fit whole, and the one in which the room ends.
+        found = totals.groupBy("pattern", "room", "largest").agg(
+            F.max(F.when(F.col("through") <= F.col("room"), F.struct("through", "last"))).alias("whole"),
+            F.min(F.when(F.col("through") > F.col("room"), F.struct("bucket", (F.col("through") - F.col("words")).alias("before")))).alias("edge")).collect()
+        ends = {r["pattern"]: (r["largest"], r["whole"]["last"] if r["whole"] else None, r["whole"]["through"] if r["whole"] else 0) for r in found}
+        edges = [(r["pattern"], r["edge"]["bucket"], r["room"] - r["edge"]["before"]) for r in found if r["edge"]]
+        if edges:
+            inside = open_to.join(by_pattern(edges, "pattern string, bucket long, gap long"), "pattern").where(bucket == F.col("bucket"))
+            run = inside.withColumn("run", F.sum("size").over(
+                Window.partitionBy("pattern").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
+            for r in run.where("run <= gap").groupBy("pattern").agg(F.max("turn").alias("turn"), F.max("run").alias("run"), F.max("room").alias("room"),
+                                                                     F.max("gap").alias("gap")).collect():
+                ends[r["pattern"]] = (ends[r["pattern"]][0], r["turn"], r["room"] - r["gap"] + r["run"])
+        for p, (largest, turn, words) in ends.items():
+            if turn is not None:
+                rounds.append((p, largest, turn))
+                rest[p] -= words
+
     added: list[tuple] = []
-    for _ in range(FILL_ROUNDS):
-        room = [(p, r) for p, r in rest.items() if r > 0]
-        if not room:
-            break
-        fits = (chosen.where("extra = 0 and size > 0").join(by_pattern(room, "pattern string, room long"), "pattern")
-                .where("size <= room"))
+    while room := [(p, r) for p, r in rest.items() if r > 0]:
+        fits = untaken(chosen.where("size > 0")).join(by_pattern(room, "pattern string, room long"), "pattern").where("size <= room")
         if added:
             fits = fits.join(by_pattern(added, "pattern string, place long"), ["pattern", "place"], "left_anti")
-        best = fits.groupBy("pattern").agg(F.max(F.struct("size", "place")).alias("best")).collect()
+        best = fits.groupBy("pattern").agg(F.max(F.struct("size", "place")).alias("best"), F.max("room").alias("room")).collect()
         if not best:
             break
+        many = []
         for r in best:
-            added.append((r["pattern"], r["best"]["place"]))
-            rest[r["pattern"]] -= r["best"]["size"]
+            if 2 * r["best"]["size"] > r["room"]:
+                added.append((r["pattern"], r["best"]["place"]))
+                rest[r["pattern"]] -= r["best"]["size"]
+            else:
+                many.append((r["pattern"], r["room"], r["best"]["size"]))
+        if many:
+            fill(many)
     over = [(p, r) for p, r in rest.items() if r > 0]
     if over:  # one document more where that ends nearer to the share
-        near = (chosen.where("extra = 0").join(by_pattern(over, "pattern string, room long"), "pattern")
+        near = (untaken(chosen).join(by_pattern(over, "pattern string, room long"), "pattern")
                 .where("size > room and size < 2 * room"))
         if added:
             near = near.join(by_pattern(added, "pattern string, place long"), ["pattern", "place"], "left_anti")
         for r in near.groupBy("pattern").agg(F.min(F.struct("size", "place")).alias("best")).collect():
             added.append((r["pattern"], r["best"]["place"]))
-    result = chosen
-    if added:
-        more = by_pattern(added, "pattern string, place long").withColumn("more", F.lit(1))
-        result = chosen.join(more, ["pattern", "place"], "left").withColumn(
-            "extra", F.greatest("extra", F.coalesce("more", F.lit(0))))
-    result = (result.withColumn("passes", F.col("passes") + F.col("extra"))
+    # A document without words is taken for none.
+    limits = by_pattern([(p, [(x[1], x[2]) for x in rounds if x[0] == p], [x[1] for x in added if x[0] == p]) for p in rest],
+                        "pattern string, limits array<struct<size:long,turn:long>>, more array<long>")
+    extra = F.exists("limits", lambda x: (F.col("size") <= x["size"]) & (F.col("turn") <= x["turn"])) | F.array_contains("more", F.col("place"))
+    result = (chosen.join(limits, "pattern").withColumn("passes", F.col("passes") + extra.cast("long"))
               .select(F.col("id").alias(id_col), "sources", "size", "passes", (F.col("size") * F.col("passes")).alias("taken")))
     routed: dict = {}
     for x in flow.values():
