@@ -96,6 +96,5 @@ def late_rows(windows: DataFrame, rows_col: str, reports: Sequence[StreamReport]
     Exact, whatever tasks folded before the state saw a row.  ``rows_col`` counts
     the rows of a window; the stream must not filter rows away itself."""
     read = sum(r.input_rows for r in reports)
-    kept = F.coalesce(F.sum(rows_col), F.lit(0)).cast("long")
-    return windows.agg(kept.alias("kept_rows")).select(
-        F.lit(read).cast("long").alias("input_rows"), "kept_rows", (F.lit(read) - F.col("kept_rows")).cast("long").alias("late_rows"))
+    kept = windows.agg(F.sum(rows_col)).first()[0] or 0  # one number
+    return windows.sparkSession.createDataFrame([(read, kept, read - kept)], "input_rows long, kept_rows long, late_rows long")
