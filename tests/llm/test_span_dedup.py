@@ -1,5 +1,8 @@
 import random
+import re
+from bisect import bisect_left
 
+import xxhash
 from pyspark.sql import functions as F
 
 from widestat.llm import span_dedup as S
@@ -7,14 +10,33 @@ from widestat.llm import span_dedup as S
 from .conftest import by_id
 
 
-def brute(rows, **limits):
-    """{id: set of removed offsets}, over the rows in id order."""
+def cut_points(text, window):
+    """(start, end) of the words, and the numbers of those that open a piece:
+    sentence starts, and in a longer sentence the least hash of each window."""
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    hashes = [xxhash.xxh3_64_intdigest(text[s:e].lower().encode()) for s, e in words]
+    opens = {len(words)}
+    for s, e in S.sentences(text):
+        inside = range(bisect_left(words, (s,)), bisect_left(words, (e,)))
+        opens.add(inside[0])
+        if len(inside) > window:
+            for k in range(len(inside) - window + 1):
+                opens.add(min(inside[k:k + window], key=lambda w: hashes[w]))
+    return words, sorted(opens)
+
+
+def brute(rows, min_words=S.MIN_WORDS, window=S.WINDOW):
+    """{id: set of removed offsets}: every run of pieces that holds min_words and
+    no shorter run from or to the same piece, compared by its words."""
     seen, out = set(), {}
     for d, text in sorted(rows, key=lambda r: r[0]):
-        for _, _, s, e in S.spans(text or "", **limits):
-            key = " ".join(text[s:e].lower().split())
+        words, opens = cut_points(text or "", window)
+        runs = {(i, next(j for j in opens if j - i >= min_words)) for i in opens if opens[-1] - i >= min_words}
+        runs |= {(next(i for i in reversed(opens) if j - i >= min_words), j) for j in opens if j >= min_words}
+        for i, j in sorted(runs):
+            key = tuple(text[a:b].lower() for a, b in words[i:j])
             if key in seen:
-                out.setdefault(d, set()).update(range(s, e))
+                out.setdefault(d, set()).update(range(words[i][0], words[j - 1][1]))
             seen.add(key)
     return out
 
@@ -103,3 +125,24 @@ def test_a_passage_of_51_words_cut_at_every_word_is_found(docs):
         for d, text in rows[1:]:  # and nothing but words of the passage
             gone = " ".join(text[int(s):int(e)] for s, e in (r.split(":") for r in lost[d].ranges.split(",")))
             assert "own" not in gone and len(gone.split()) >= S.MIN_WORDS
+
+
+def test_rows_without_an_id_or_with_a_shared_one_lose_only_their_own_repeats(docs):
+    passage = " ".join(f"p{i}" for i in range(30)) + ". " + " ".join(f"q{i}" for i in range(30)) + "."
+    own = " ".join(f"u{i}" for i in range(200)) + "."
+    rows = [(1, passage), (None, passage), (None, own), (3, "Before. " + passage), (3, own + " And more.")]
+    clean = S.remove_ranges(docs(rows), S.repeated_spans(docs(rows))).collect()
+    # Both texts of ids come first; the copies without an id go, all of them.
+    assert sorted((r.doc_id or 0, r.text) for r in clean) == [
+        (0, ""), (0, ""), (1, passage), (3, "Before. "), (3, own + " And more.")]
+    alone = [(1, passage), (None, passage), (None, own)]
+    clean = S.remove_ranges(docs(alone), S.repeated_spans(docs(alone))).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in clean) == [(0, ""), (0, own), (1, passage)]
+
+
+def test_a_span_of_every_document_is_cut_from_all_but_one(docs):
+    """Folded in slices, scanned across batches."""
+    passage = " ".join(f"p{i}" for i in range(40)) + "."
+    rows = [(i, f"Own start of {i}. {passage}") for i in range(25_000)]
+    lost = S.digest(S.repeated_spans(docs(rows, partitions=4)))
+    assert lost.count() == 24_999 and lost.where("doc_id = 0").isEmpty()
