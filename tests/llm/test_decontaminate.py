@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from widestat.llm import decontaminate as D
@@ -82,3 +84,20 @@ def test_removal_goes_by_id_and_text(spark, docs):
     benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
     left = D.remove_contaminated(rows.withColumn("item", F.lit("clash")).withColumn("__row", F.lit(1)), benchmark)
     assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "clean, no id"), (2, "clean text"), (3, "clean, shared id"), (4, "")]
+
+
+def test_repeated_words_cost_their_diagonals():
+    rng = random.Random(3)
+    index = D.Index([(1, "same " * 1000), (2, " ".join(rng.choice("ab") for _ in range(300)))], D.MIN_MATCH)
+    begun = time.monotonic()
+    assert index.matches("same " * 4000) == [(1, 0, 1000, 1000)]
+    assert index.matches("a b " * 3000)[0][0] == 2
+    assert time.monotonic() - begun < 5
+
+
+def test_runs_and_intervals():
+    h, owner, at = np.array([5, 5, 5, 5, 9], np.uint64), np.array([0, 0, 0, 1, 1]), np.array([2, 3, 7, 8, 9])
+    assert [x.tolist() for x in D.runs(h, owner, at)] == [[5, 5, 5, 9], [0, 0, 1, 1], [2, 7, 8, 9], [3, 7, 8, 9]]
+    assert [x.tolist() for x in D.merged(np.array([8, 1, 3, 20]), np.array([9, 4, 3, 22]))] == [[1, 8, 20], [4, 9, 22]]
+    empty = np.empty(0, np.int64)
+    assert [len(x) for x in (*D.runs(empty, empty, empty), *D.merged(empty, empty))] == [0] * 6

@@ -15,26 +15,34 @@ documents each give their rows; an empty table gives none.
 
 The benchmark goes to the tasks in blocks of at most about ``block_words``
 words, one scan of the documents for each block, so its size is bounded
-whatever the benchmark holds.
+whatever the benchmark holds; the rows of several blocks are written under the
+checkpoint folder, and a block is taken back before the next is sent.
+
+Neighbouring places with one hash are one run, and two runs give an interval of
+diagonals, so a text and an item of the same words over and over cost their
+diagonals and not every pair of places.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widestat.llm.common import text_of
+from widestat.session import scratch_path
 
 #: 1: the word counts; 0: it is ignored.  Every mask has six 1s.
 MASKS = ("11011011", "1110100101", "1011001011", "111010011")
 MIN_MATCH = 10
 BLOCK_WORDS = 1_000_000
+#: Pairs of runs that are held at once.
+PAIRS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -62,6 +70,25 @@ def seeds(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
+def runs(h: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, owner, first, last) of each run of neighbouring places with one
+    hash and owner; sorted by hash, owner and place, as the rows are."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(new)
+    return h[first], owner[first], at[first], at[np.append(first[1:], len(h)) - 1] if len(h) else at
+
+
+def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of the intervals as disjoint ones."""
+    order = np.argsort(low, kind="stable")
+    low, reach = low[order], np.maximum.accumulate(high[order])
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] > reach[:-1] + 1
+    first = np.flatnonzero(new)
+    return low[first], reach[np.append(first[1:], len(low)) - 1] if len(low) else reach
+
+
 class Index:
     """Spaced-seed index of one block of benchmark items."""
 
@@ -84,7 +111,7 @@ class Index:
             found = [(h, np.full(len(h), i), at) for i, seq in enumerate(self.items) for at, h in [seeds(seq, mask)]]
             h, i, at = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
             order = np.argsort(h, kind="stable")
-            self.tables.append((mask, h[order].astype(np.uint64), i[order], at[order]))
+            self.tables.append((mask, *runs(h[order].astype(np.uint64), i[order].astype(np.int64), at[order].astype(np.int64))))
 
     def matches(self, text: str) -> list[tuple[object, int, int, int]]:
         """(item, first word, end word, common words), the best place of each
@@ -93,19 +120,32 @@ class Index:
         out = [(item, 0, len(seq), len(seq)) for item in self.short.get(tuple(seq), ())] if len(seq) < self.min_match else []
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in seq), np.uint64, len(seq))
-        places: set[tuple[int, int]] = set()
-        for mask, table, items, starts in self.tables:
+        width = len(ids) + max(map(len, self.items), default=0) + 2  # more than an item has diagonals
+        hit = []
+        for mask, table, items, low, high in self.tables:
             at, h = seeds(ids, mask)
             if not len(at) or not len(table):
                 continue
-            low = np.searchsorted(table, h)
-            hit = table[np.minimum(low, len(table) - 1)] == h
-            for pos, value, first in zip(at[hit].tolist(), h[hit], low[hit].tolist()):
-                while first < len(table) and table[first] == value:
-                    places.add((int(items[first]), pos - int(starts[first])))
-                    first += 1
+            order = np.argsort(h, kind="stable")
+            h, _, first, last = runs(h[order], np.zeros(len(h), np.int64), at[order])
+            begin, end = np.searchsorted(table, h), np.searchsorted(table, h, side="right")
+            some = np.flatnonzero(end > begin)
+            sizes = (end - begin)[some]
+            for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS)) + 1):
+                n = (end - begin)[part]
+                run = np.repeat(part, n)  # every run of the text with every run of the items
+                post = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[part], n)
+                base = items[post] * width + width - len(ids) - 1
+                hit.append(merged(base + first[run] - high[post], base + last[run] - low[post]))
+        if hit:
+            lo, hi = merged(*(np.concatenate(x) for x in zip(*hit)))
+            n = hi - lo + 1
+            found = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            places = zip((found // width).tolist(), (found % width - (width - len(ids) - 1)).tolist())
+        else:
+            places = ()
         best: dict[int, tuple[int, int, int]] = {}
-        for i, shift in sorted(places):
+        for i, shift in places:
             item = self.items[i]
             a, b = max(0, shift), min(len(ids), shift + len(item))
             same = ids[a:b] == item[a - shift:b - shift]
@@ -132,7 +172,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     chosen = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("t"))
     item_arrow = spark.createDataFrame([], f"item {item_type}").toArrow().schema.field("item").type
 
-    def scan(block: int) -> DataFrame:
+    def scan(block: int) -> tuple[DataFrame, Broadcast]:
         part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast([(r["item"], r["t"]) for r in part.collect()])
 
@@ -147,9 +187,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                          *(pa.array(x, pa.int64()) for x in (first, end, common))],
                         ["doc", "item", "first_word", "end_word", "common_words"])
 
-        return chosen.mapInArrow(run, f"doc {doc_type}, item {item_type}, first_word long, end_word long, common_words long")
-
-    found = reduce(DataFrame.unionAll, [scan(b) for b in range(blocks)])
+        return chosen.mapInArrow(run, f"doc {doc_type}, item {item_type}, first_word long, end_word long, common_words long"), sent
+
+    if blocks == 1:
+        found, _ = scan(0)
+    else:  # a block's items leave the executors before the next come
+        path = scratch_path(spark, "overlaps")
+        for b in range(blocks):
+            part, sent = scan(b)
+            part.write.mode("append").parquet(path)
+            sent.destroy()
+        found = spark.read.schema(part.schema).parquet(path)
     out = [id_col, item_col if item_col != id_col else f"benchmark_{item_col}"]
     return found.withColumnsRenamed({"doc": out[0], "item": out[1]})
 
