@@ -106,6 +106,7 @@ class Index:
                 continue
             self.ids.append(item)
             self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in seq], np.uint64))
+        self.longest = max(map(len, self.items), default=0)
         self.tables = []
         for mask in MASKS:
             found = [(h, np.full(len(h), i), at) for i, seq in enumerate(self.items) for at, h in [seeds(seq, mask)]]
@@ -120,18 +121,20 @@ class Index:
         out = [(item, 0, len(seq), len(seq)) for item in self.short.get(tuple(seq), ())] if len(seq) < self.min_match else []
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in seq), np.uint64, len(seq))
-        width = len(ids) + max(map(len, self.items), default=0) + 2  # more than an item has diagonals
+        width = len(ids) + self.longest + 2  # more than an item has diagonals
         hit = []
         for mask, table, items, low, high in self.tables:
             at, h = seeds(ids, mask)
             if not len(at) or not len(table):
                 continue
+            known = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
+            if not known.any():
+                continue
+            at, h = at[known], h[known]
             order = np.argsort(h, kind="stable")
             h, _, first, last = runs(h[order], np.zeros(len(h), np.int64), at[order])
             begin, end = np.searchsorted(table, h), np.searchsorted(table, h, side="right")
-            some = np.flatnonzero(end > begin)
-            sizes = (end - begin)[some]
-            for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS)) + 1):
+            for part in np.split(np.arange(len(h)), np.flatnonzero(np.diff(np.cumsum(end - begin) // PAIRS)) + 1):
                 n = (end - begin)[part]
                 run = np.repeat(part, n)  # every run of the text with every run of the items
                 post = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[part], n)
