@@ -7,7 +7,8 @@ whose position in the file minus position in the template agree (within
 ``SLACK`` words, so a wrapped or slightly edited notice still lines up) propose
 a place; the place is accepted when the template's mandatory key phrases stand
 there.  The score is the share of template words found in order at the best
-accepted place.
+accepted place.  A long notice has more index terms, and half of a template's
+terms must agree.
 
 Words are runs of ASCII digits, letters (A-Z lowered) and non-ASCII
 characters.  A null text counts as empty: no words, no labels, score 0.
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from widestat.llm.common import text_of
+from widestat.llm.notices import NOTICES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -37,36 +39,10 @@ BASE_PHRASES = (
     (("general", "public", "license"), "gpl"),
 )
 
-# (label, notice, mandatory key phrases): fixed texts of common notices.
-TEMPLATES = (
-    ("mit", "Released under the MIT License", ("mit license",)),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-            "associated documentation files (the Software), to deal in the Software without restriction",
-     ("free of charge", "to deal in the software without restriction")),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license", "version 2 0")),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3",
-     ("gnu general public license", "version 3")),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2",
-     ("gnu general public license", "version 2")),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-            "General Public License as published by the Free Software Foundation",
-     ("gnu general public license", "free software foundation")),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-     ("gnu lesser general public license",)),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-            "provided that the following conditions are met",
-     ("source and binary forms", "following conditions are met")),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
-            "is hereby granted", ("with or without fee is hereby granted",)),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-     ("mozilla public license",)),
-    ("unlicense", "This is free and unencumbered software released into the public domain",
-     ("released into the public domain",)),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
-    ("cc-by-4.0", "Licensed under CC BY 4.0", ("cc by 4 0",)),
-)
-INDEX_TERMS = 4  # rarest words of a template that enter the index
+TEMPLATES = NOTICES
+#: Rarest words of a template that enter the index: at least so many, and one
+#: for each so many words.
+INDEX_TERMS, WORDS_A_TERM = 4, 16
 SLACK = 3
 
 
@@ -96,17 +72,20 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> dict[str, i
 
 
 def build_index(frequency: dict[str, int]):
-    """(postings: word -> [(template, position)], templates as word lists)."""
+    """(postings: word -> [(template, position)], templates as word lists, the
+    terms of each that must agree, their key phrases as word lists)."""
     total = frequency.get("", 0) + 1
     sequences = [words(notice) for _, notice, _ in TEMPLATES]
     postings: dict[str, list[tuple[int, int]]] = {}
+    need = []
     for t, seq in enumerate(sequences):
         rarity = {w: math.log(total / (frequency.get(w, 0) + 1)) for w in seq}
-        terms = set(sorted(rarity, key=lambda w: (-rarity[w], w))[:INDEX_TERMS])
+        terms = set(sorted(rarity, key=lambda w: (-rarity[w], w))[:max(INDEX_TERMS, len(seq) // WORDS_A_TERM)])
+        need.append(max(2, (len(terms) + 1) // 2))
         for at, w in enumerate(seq):
             if w in terms:
                 postings.setdefault(w, []).append((t, at))
-    return postings, sequences
+    return postings, sequences, need, [[p.split() for p in phrases] for _, _, phrases in TEMPLATES]
 
 
 def phrase_in(seq: list[str], phrase: list[str]) -> bool:
@@ -126,7 +105,7 @@ def in_order(template: list[str], window: list[str]) -> int:
 
 def match_templates(seq: list[str], present: set[str], index) -> list[tuple[str, int, float]]:
     """(label, first word, score) of every accepted place."""
-    postings, sequences = index
+    postings, sequences, need, phrases = index
     places: dict[int, list[tuple[int, str]]] = {}
     for at, w in enumerate(seq):
         if w in present:
@@ -134,9 +113,7 @@ def match_templates(seq: list[str], present: set[str], index) -> list[tuple[str,
                 places.setdefault(t, []).append((at - q, w))
     found = []
     for t, hits in places.items():
-        label, _, phrases = TEMPLATES[t]
-        terms = sum(1 for p in postings.values() if any(x == t for x, _ in p))
-        need = max(2, (terms + 1) // 2)
+        label = TEMPLATES[t][0]
         hits.sort()
         low, open_to = 0, -1
         inside: Counter = Counter()
@@ -149,10 +126,10 @@ def match_templates(seq: list[str], present: set[str], index) -> list[tuple[str,
                     del inside[gone]
                 low += 1
             start = max(0, hits[low][0])
-            if len(inside) >= need and start > open_to:
+            if len(inside) >= need[t] and start > open_to:
                 size = len(sequences[t])
                 window = seq[max(0, start - SLACK):offset + size + SLACK]
-                if all(phrase_in(window, p.split()) for p in phrases):
+                if all(phrase_in(window, p) for p in phrases[t]):
                     found.append((label, start, in_order(sequences[t], window) / size))
                     open_to = start + SLACK
     return found
