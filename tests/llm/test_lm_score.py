@@ -92,6 +92,17 @@ def test_target_sample_is_bounded(spark):
     assert len(ids) == 100 and (np.diff(ids) > 0).all() and (ids == L.target_ids(labels.repartition(7), 100)).all()
 
 
+def test_target_is_every_good_document(spark):
+    """More good documents than the driver once took: the target counts them all."""
+    n = 200_050
+    docs = spark.range(n, numPartitions=8).selectExpr("id doc_id", "'ab' text")
+    labels = spark.range(n).selectExpr("id doc_id", "1 quality", "0 toxic")
+    counts = L.count_grams(docs, L.good_documents(labels), "doc_id", "text")
+    assert [(r.target, r.background) for r in counts.collect()] == [(n, n)] * 3
+    r = L.score(docs, labels).agg(F.max("score").alias("most"), F.min("score").alias("least"), F.count("*").alias("n")).first()
+    assert (r.most, r.least, r.n) == (pytest.approx(0, abs=1e-12), pytest.approx(0, abs=1e-12), n)
+
+
 def test_held_out_ranking(spark):
     """Fitted on half of the labels, the score ranks the other half's good
     documents above its bad ones."""

@@ -2,8 +2,8 @@
 
 Tokens are characters; a text is read after ``ORDER - 1`` begin marks and ends
 with an end mark.  Both models count the same n-grams and share one vocabulary
-(the characters of the corpus): the target model over a sample of documents
-labelled good, the background model over all documents.  They are matched: the
+(the characters of the corpus): the target model over every document labelled
+good, the background model over all documents.  They are matched: the
 background's counts are scaled to the target's total, and both are smoothed
 alike, order by order,
 
@@ -13,7 +13,8 @@ where h' drops the first character of h, down to add-one over the vocabulary.
 A document's score is the mean over its tokens of background loss less target
 loss, so higher is closer to the target.
 
-Counts cover every character of every document.  They are folded by Arrow batch
+Counts cover every character of every document; which ones are good is a join,
+so neither their ids nor their number pass through the driver.  They are folded by Arrow batch
 and by task and summed in a shuffle, so what is gathered grows with the input.
 Only n-grams of the highest order are counted; the lower orders are sums of
 these.  The finished model, one row for each n-gram seen, goes to the tasks in
@@ -42,9 +43,6 @@ from widestat.session import scratch_path
 
 ORDER = 5
 MU = 5.0
-#: Labelled good documents that the target model is fitted on, at most; those
-#: with the least hashes are taken.
-TARGET_DOCS = 200_000
 BLOCK_GRAMS = 4_000_000
 BITS = 21
 LOW = (1 << BITS) - 1
@@ -89,32 +87,38 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def target_ids(labels: DataFrame, limit: int = TARGET_DOCS) -> np.ndarray:
-    """Sorted ids of at most ``limit`` documents labelled good and not toxic."""
-    good = (labels.where("doc_id is not null").groupBy("doc_id")
-            .agg(F.min("quality").alias("good"), F.max("toxic").alias("bad")).where("good = 1 and coalesce(bad, 0) = 0"))
-    rows = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64))
+def good_documents(labels: DataFrame) -> DataFrame:
+    """(doc_id) of every document labelled good and not toxic, once each."""
+    return (labels.where("doc_id is not null").groupBy("doc_id")
+            .agg(F.min("quality").alias("good"), F.max("toxic").alias("bad"))
+            .where("good = 1 and coalesce(bad, 0) = 0").select("doc_id"))
+
 
+def target_ids(labels: DataFrame, limit: int) -> np.ndarray:
+    """Sorted ids of at most ``limit`` good documents, those with the least
+    hashes: a look at the labels; the model is fitted on all of them."""
+    rows = good_documents(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64))
 
-def count_grams(docs: DataFrame, good: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(high, low, target, background): counts of every n-gram seen."""
-    sent = docs.sparkSession.sparkContext.broadcast(good)
 
+def count_grams(docs: DataFrame, good: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(high, low, target, background): counts of every n-gram seen, in the
+    documents of ``good`` (doc_id) and in all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            is_good, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for i, j in slices(texts):
                 high, low, lengths = grams(texts[i:j])
-                own = np.array([-1 if d is None else d for d in ids[i:j]], np.int64)
-                known = np.array([d is not None for d in ids[i:j]])
-                is_target = np.repeat(known & np.isin(own, sent.value), lengths)
+                is_target = np.repeat(is_good[i:j], lengths)
                 _, at, back, n = np.unique(keys(high, low), return_index=True, return_inverse=True, return_counts=True)
                 t = np.bincount(back, is_target, len(n)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (high[at], low[at], t, n)],
                                                  ["high", "low", "target", "background"])
 
-    parts = (docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
+    # A shuffle join at every size: the ids of a partition are its hash table, no text is sorted.
+    own = good.select(F.col("doc_id").cast("long").alias("id"), F.lit(True).alias("good")).hint("shuffle_hash")
+    parts = (docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t")).join(own, "id", "left")
+             .select(F.coalesce("good", F.lit(False)).alias("good"), "t")
              .mapInArrow(run, "high long, low long, target long, background long"))
     return parts.groupBy("high", "low").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
@@ -161,11 +165,11 @@ def fit(counts: DataFrame, mu: float = MU) -> DataFrame:
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          target_docs: int = TARGET_DOCS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+          block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score), losses in nats
     a token, one row for each input row."""
     spark = docs.sparkSession
-    model = fit(count_grams(docs, target_ids(labels, target_docs), id_col, text_col))
+    model = fit(count_grams(docs, good_documents(labels), id_col, text_col))
     blocks = max(1, -(-model.count() // block_grams))
     id_type = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_key"), text_of(text_col).alias("t"))
