@@ -57,3 +57,15 @@ def test_guard_passes_partitioned_window(spark):
     df = spark.range(100)
     part = df.withColumn("rn", F.row_number().over(Window.partitionBy(F.col("id") % 3).orderBy("id")))
     assert not FLAGS["window without partition"].search(part._jdf.queryExecution().executedPlan().toString())
+
+
+def test_crosstab_discovered_has_a_column_for_every_nation(spark, tmp_path):
+    """A nation without suppliers or lines is a column of nulls, as in the SQL."""
+    for name, rows, schema in (
+            ("lineitem", [(1, "A", 2.0), (1, "A", 3.0), (2, "R", 5.0)], "l_suppkey long, l_returnflag string, l_quantity double"),
+            ("supplier", [(1, 0), (2, 0), (3, 1)], "s_suppkey long, s_nationkey long"),
+            ("nation", [(0, "NATION_0"), (1, "NATION_1"), (2, "NATION_2")], "n_nationkey long, n_name string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = catalog.queries()["crosstab_discovered"](spark, str(tmp_path))
+    assert out.columns == ["l_returnflag", "NATION_0", "NATION_1", "NATION_2"]
+    assert sorted(map(tuple, out.collect())) == [("A", 5.0, None, None), ("R", 5.0, None, None)]

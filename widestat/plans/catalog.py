@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from widestat.functions.cells import clean_cell
 from widestat.operators.clean import clean_measures, domain_profile, lost_cells
 from widestat.operators.keys import restrict, split_key, split_key_pivot_form
-from widestat.operators.reshape import crosstab, stratum_crosstab, wide_to_long
+from widestat.operators.reshape import crosstab, discover_values, stratum_crosstab, wide_to_long
 from widestat.operators.rowid import with_row_id
 from widestat.operators.slices import SLICE_SOURCE, SliceParams, one_slice
 from widestat.operators.translate import relabel, relabel_age, shorten, translate
@@ -436,13 +436,14 @@ def q_feed_republished(spark, sf):
 
 
 def q_crosstab_discovered(spark, sf):
-    # The pivot's values are the suppliers' nations, declared nowhere.
+    # The pivot's values are found, declared nowhere: every nation has a column,
+    # also one without suppliers.
     lines = cube.table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
     supplier = cube.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     nation = cube.table(spark, sf, "nation").select("n_nationkey", "n_name")
     named = (lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
              .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
-    return crosstab(named, ["l_returnflag"], "n_name", None, "q")
+    return crosstab(named, ["l_returnflag"], "n_name", discover_values(nation, "n_name"), "q", unlisted="fail")
 
 
 def q_split_key_pivot_discovered(spark, sf):
